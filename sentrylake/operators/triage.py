@@ -8,7 +8,9 @@ from sentrylake.functions.scale import recent_counts
 from sentrylake.functions.text import contains_any, detail_number, fired
 from sentrylake.operators.baselines import pair_frequency, pair_host, process_frequency
 
-NEVER = F.lit(False)
+
+def never():
+    return F.lit(False)
 
 
 def auth_failure(include_action=False):
@@ -106,10 +108,10 @@ def with_listed(rows: DataFrame, iocs: DataFrame = None) -> DataFrame:
               ("host", "destination_host", "listed_dst")]
     for kind, column, flag in checks:
         if iocs is None:
-            rows = rows.withColumn(flag, NEVER)
+            rows = rows.withColumn(flag, never())
             continue
         keys = iocs.filter(F.col("type") == kind).select(F.col("value").alias(column), F.lit(True).alias("_hit"))
-        rows = rows.join(keys.distinct(), column, "left").withColumn(flag, F.coalesce("_hit", NEVER)).drop("_hit")
+        rows = rows.join(keys.distinct(), column, "left").withColumn(flag, F.coalesce("_hit", never())).drop("_hit")
     return rows
 
 

@@ -17,24 +17,24 @@ def load_iocs_csv(spark: SparkSession, path) -> DataFrame:
 
 
 def load_iocs_json(spark: SparkSession, path) -> DataFrame:
-    """A JSON map of lists, or a list of objects, per file."""
-    text = spark.read.text(path, wholetext=True).select(F.trim("value").alias("t"))
+    """Each file is a JSON map of lists or a list of objects."""
+    return parse_iocs_json(spark.read.text(path, wholetext=True))
+
+
+def parse_iocs_json(texts: DataFrame) -> DataFrame:
+    """One JSON document per row: a map of lists, or a list of objects.
+
+    The type name of a map entry is its key; plural keys are type synonyms.
+    """
+    text = texts.select(F.trim("value").alias("t"))
     maps = (
         text.filter(F.col("t").startswith("{"))
-        .select(F.explode(F.from_json("t", "map<string,array<string>>")).alias("k", "vs"))
-        .select(F.explode("vs").alias("indicator"), F.regexp_replace("k", "s+$", "").alias("type"))
-        # 'hashes' and 'processes' lose only their final letters
-        .select("indicator", F.when(F.col("type") == "hashe", "hash").when(F.col("type") == "proces", "process")
-                .when(F.col("type") == "processe", "process").otherwise(F.col("type")).alias("type"))
+        .select(F.explode(F.from_json("t", "map<string,array<string>>")).alias("type", "values"))
+        .select(F.explode("values").alias("indicator"), "type")
     )
-    objects = (
-        text.filter(F.col("t").startswith("["))
-        .select(F.explode(F.from_json(
-            "t", "array<struct<indicator string, value string, type string, indicator_type string>>")).alias("o"))
-        .select(
-            F.coalesce("o.indicator", "o.value").alias("indicator"),
-            F.coalesce("o.type", "o.indicator_type", F.lit("unknown")).alias("type"),
-        )
-        .filter(F.col("indicator").isNotNull())
+    entry = "array<struct<indicator: string, value: string, type: string, indicator_type: string>>"
+    objects = text.filter(F.col("t").startswith("[")).select(F.explode(F.from_json("t", entry)).alias("o")).select(
+        F.coalesce("o.indicator", "o.value").alias("indicator"),
+        F.coalesce("o.type", "o.indicator_type", F.lit("unknown")).alias("type"),
     )
-    return maps.unionByName(objects)
+    return maps.unionByName(objects).filter(F.col("indicator").isNotNull())
