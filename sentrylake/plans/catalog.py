@@ -1,6 +1,10 @@
 """All registered queries."""
 
-from sentrylake.plans import queries_events  # noqa: F401
+from sentrylake.plans import (  # noqa: F401
+    queries_events,
+    queries_incidents,
+    queries_rules,
+)
 from sentrylake.plans.investigate import investigate
 from sentrylake.plans.registry import ORACLES, QUERIES, tidy
 from sentrylake.plans.workspace import workspace

@@ -221,9 +221,9 @@ register("densify_days", lambda w: E.densify_days(E.daily_counts(wide_labels(w))
 register("best_rolling_days", lambda w: E.best_rolling_days(E.densify_days(E.daily_counts(wide_labels(w)))), """
 SELECT CAST(n AS BIGINT) AS days, day - n + 1 AS first_day, day AS last_day, CAST(total AS BIGINT) AS events FROM (
   SELECT n, day, total, row_number() OVER (PARTITION BY n ORDER BY total DESC, day) AS rn FROM (
-    SELECT 3 AS n, day, sum(events) OVER (ORDER BY day ROWS 2 PRECEDING) AS total, row_number() OVER (ORDER BY day) AS at FROM dense
+    SELECT 3 AS n, day, sum(events) OVER (ORDER BY day ROWS 2 PRECEDING) AS total, row_number() OVER (ORDER BY day) AS seen FROM dense
     UNION ALL SELECT 5, day, sum(events) OVER (ORDER BY day ROWS 4 PRECEDING), row_number() OVER (ORDER BY day) FROM dense)
-  WHERE at >= n) WHERE rn = 1""", ["dense"])
+  WHERE seen >= n) WHERE rn = 1""", ["dense"])
 
 TOP_COLUMNS = ["user", "source_host", "destination_host", "process"]
 register("topk_values", lambda w: E.topk_values(w.events, TOP_COLUMNS), """

@@ -116,7 +116,7 @@ def parse_csv_logs(spark: SparkSession, path) -> DataFrame:
     return spark.read.option("header", True).option("escape", '"').csv(path)
 
 
-def parse_json_logs(lines: DataFrame, schema: str, column="value", array_files=False) -> DataFrame:
+def parse_json_logs(lines: DataFrame, schema: str, column="value") -> DataFrame:
     """Objects of JSON lines; a line that holds a list adds its objects; bad lines are dropped.
 
     For a file that is one JSON array, read it with `wholetext` lines.
@@ -125,7 +125,8 @@ def parse_json_logs(lines: DataFrame, schema: str, column="value", array_files=F
     many = F.from_json(text, f"array<struct<{schema}>>", {"mode": "PERMISSIVE"})
     one = F.from_json(text, f"struct<{schema}>", {"mode": "PERMISSIVE"})
     return (
-        lines.filter(F.try_parse_json(text).isNotNull())
+        # inside brackets a line with anything after its value is malformed too
+        lines.filter(F.json_array_length(F.concat(F.lit("["), text, F.lit("]"))) == 1)
         .select(
             F.explode(
                 F.when(text.startswith("["), many).when(text.startswith("{"), F.array(one))
