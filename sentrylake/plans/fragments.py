@@ -147,16 +147,16 @@ SELECT *, CASE WHEN risk_score >= 75 THEN 'Critical' WHEN risk_score >= 50 THEN
   CASE WHEN risk_v1 >= 75 THEN 'Critical' WHEN risk_v1 >= 50 THEN 'High' WHEN risk_v1 >= 25 THEN 'Medium' ELSE 'Low' END AS risk_level,
   CASE WHEN confidence_v1 >= 70 THEN 'High' WHEN confidence_v1 >= 40 THEN 'Medium' ELSE 'Low' END AS confidence_level
 FROM (SELECT *,
-  least(100.0::DOUBLE, round_even(base + lateral + least(10.0::DOUBLE, n / dur * 90.0::DOUBLE)
+  least(100.0::DOUBLE, round_even(base + reach_bonus + least(10.0::DOUBLE, n / dur * 90.0::DOUBLE)
      + CASE WHEN n_agents >= 3 THEN 15.0 WHEN n_agents >= 2 THEN 10.0 ELSE 0.0 END::DOUBLE, 1)) AS risk_score,
-  CAST(least(100.0::DOUBLE, round_even(base + lateral + least(10.0::DOUBLE, n / dur * 60.0::DOUBLE * 1.5::DOUBLE)
+  CAST(least(100.0::DOUBLE, round_even(base + reach_bonus + least(10.0::DOUBLE, n / dur * 60.0::DOUBLE * 1.5::DOUBLE)
      + CASE WHEN max_risk >= 6 OR has_burst = 1 THEN 15.0 ELSE 0.0 END::DOUBLE, 0)) AS BIGINT) AS risk_v1,
   least(100.0::DOUBLE, round_even(least(50.0::DOUBLE, greatest(n_sources, n_agents) * 12.5::DOUBLE) + vol + 15.0::DOUBLE
      + least(15.0::DOUBLE, sum_risk / n / 8.0::DOUBLE * 15.0::DOUBLE), 1)) AS confidence_score,
   CAST(least(100.0::DOUBLE, round_even(least(50.0::DOUBLE, n_sources * 12.5::DOUBLE) + vol + 15.0::DOUBLE
      + CASE WHEN dur > 300 AND n >= 5 THEN 15.0 WHEN n >= 3 THEN 8.0 ELSE 0.0 END::DOUBLE, 0)) AS BIGINT) AS confidence_v1
 FROM (SELECT *, least(55.0::DOUBLE, max_risk * 3.5::DOUBLE + ln(1 + sum_risk) * 5.0::DOUBLE) AS base,
-  least(20.0::DOUBLE, greatest(0, n_hosts - 1) * 4.0::DOUBLE) AS lateral, least(20.0::DOUBLE, log2(n + 1) * 4.0::DOUBLE) AS vol FROM inc))""", "inc")
+  least(20.0::DOUBLE, greatest(0, n_hosts - 1) * 4.0::DOUBLE) AS reach_bonus, least(20.0::DOUBLE, log2(n + 1) * 4.0::DOUBLE) AS vol FROM inc))""", "inc")
 
 # lists
 fragment("iocs", "SELECT DISTINCT 'user' AS type, usr AS value FROM ev WHERE is_extreme = 1 UNION "
