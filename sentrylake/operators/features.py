@@ -318,8 +318,8 @@ def psi(windows: DataFrame, features=V.WINDOW_FEATURES, reference="train", targe
         .agg(side(reference).alias("p"), side(target).alias("q"))
     )
     totals = counted.groupBy("feature").agg(side(reference).alias("np"), side(target).alias("nq"))
-    p = F.greatest(F.col("p") / F.col("np"), F.lit(floor))
-    q = F.greatest(F.col("q") / F.col("nq"), F.lit(floor))
+    p = F.greatest(F.try_divide("p", "np"), F.lit(floor))
+    q = F.greatest(F.try_divide("q", "nq"), F.lit(floor))
     value = F.sum((q - p) * F.log(q / p))
     return (
         binned.join(totals, "feature")
@@ -344,10 +344,12 @@ def mid_ranks(rows: DataFrame, group, value="value") -> DataFrame:
 
 
 def feature_label_corr(windows: DataFrame, features=V.WINDOW_FEATURES, label="label") -> DataFrame:
-    """Pearson and Spearman correlation with the label, per feature and split."""
+    """Pearson and Spearman correlation with the label, per feature and split.
+
+    Null when either side is constant.
+    """
     rows = long_form(windows, features, keep=("split", label)).withColumn("y", F.col(label).cast("double"))
     ranked = mid_ranks(rows, ["feature", "split"]).withColumnRenamed("rank", "rx")
     # ranks of a two-valued label are a linear map of it, which corr ignores
-    return ranked.groupBy("feature", "split").agg(
-        F.corr("value", "y").alias("pearson"), F.corr("rx", "y").alias("spearman")
-    )
+    r = lambda a: F.try_divide(F.covar_pop(a, "y"), F.stddev_pop(a) * F.stddev_pop("y"))
+    return ranked.groupBy("feature", "split").agg(r("value").alias("pearson"), r("rx").alias("spearman"))

@@ -213,7 +213,7 @@ def triage_summary(triaged: DataFrame) -> DataFrame:
         F.count("*").alias("total_events"),
         flagged.alias("flagged_events"),
         (F.count("*") - flagged).alias("normal_events"),
-        F.round(flagged / F.count("*") * 100, 1).alias("flagged_percent"),
+        F.round(F.try_divide(flagged * 100, F.count("*")), 1).alias("flagged_percent"),
         F.round(F.avg("risk_score"), 2).alias("mean_risk"),
         F.max("risk_score").cast("bigint").alias("max_risk"),
     )

@@ -4,6 +4,8 @@ from sentrylake.plans import (  # noqa: F401
     queries_events,
     queries_incidents,
     queries_rules,
+    queries_streams,
+    queries_windows,
 )
 from sentrylake.plans.investigate import investigate
 from sentrylake.plans.registry import ORACLES, QUERIES, tidy

@@ -12,13 +12,22 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def event_stream(spark: SparkSession, folder: str) -> DataFrame:
+    """The source events as a file stream."""
+    schema = table(spark, folder, "events").schema
+    return spark.readStream.schema(schema).parquet(f"{folder}/events*.parquet")
+
+
 def canonical_events(spark: SparkSession, folder: str, squeeze: int = 120) -> DataFrame:
+    return canonical_of(table(spark, folder, "events"), squeeze)
+
+
+def canonical_of(src: DataFrame, squeeze: int = 120) -> DataFrame:
     """Canonical events with `squeeze` source seconds per event second.
 
     120 packs thirty days into six hours (dense windows); 1 keeps real time.
     The label is synthetic and independent of every score.
     """
-    src = table(spark, folder, "events")
     micros = F.expr(f"timestampdiff(MICROSECOND, timestamp_ntz'{EPOCH}', cast(ts as timestamp_ntz))")
     k = F.get_json_object("props", "$.k").cast("bigint")
     kind = F.col("event_type")
@@ -98,8 +107,11 @@ def threat_rows(events: DataFrame) -> DataFrame:
 
 
 def verdict_log(spark: SparkSession, folder: str) -> DataFrame:
+    return verdict_log_of(table(spark, folder, "orders"))
+
+
+def verdict_log_of(orders: DataFrame) -> DataFrame:
     """A verdict log derived from orders: one verdict per order."""
-    o = table(spark, folder, "orders")
     # --- fixed values: order status as verdict text ---
     verdict = (
         F.when(F.col("o_orderstatus") == "O", "confirmed suspicious")
@@ -108,7 +120,7 @@ def verdict_log(spark: SparkSession, folder: str) -> DataFrame:
     )
     user = F.concat(F.lit("U"), F.col("o_custkey"))
     host = F.concat(F.lit("C"), F.length("o_orderpriority"))
-    return o.select(
+    return orders.select(
         F.col("o_orderkey").alias("seq"),
         F.concat(F.lit("INC-"), F.col("o_custkey")).alias("incident_id"),
         verdict.alias("verdict"),
