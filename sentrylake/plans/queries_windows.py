@@ -110,10 +110,13 @@ SELECT feature, round(v, 6) AS psi, CASE WHEN v < 0.1 THEN 'stable' WHEN v < 0.2
   SELECT feature, bin, greatest(count(*) FILTER (split = 'train') / any_value(np), 1e-6) AS p, greatest(count(*) FILTER (split = 'test') / any_value(nq), 1e-6) AS q FROM (
    SELECT feature, split, len(list_filter(e, lambda x: x < value)) AS bin, np, nq FROM lw JOIN edges USING (feature),
     (SELECT count(*) FILTER (split = 'train') AS np, count(*) FILTER (split = 'test') AS nq FROM mlw_f) WHERE split IN ('train', 'test')) GROUP BY 1, 2) GROUP BY 1)""", ["lw", "edges"])
-register("feature_label_corr", lambda w: X.feature_label_corr(w.ml_windows), """
+# products of logarithms tie only up to their last bits, so ranks are taken on nine decimals
+fragment("lwr", "SELECT * REPLACE (round(value, 9) AS value) FROM lw", "lw")
+register("feature_label_corr", lambda w: X.feature_label_corr(w.ml_windows.withColumns(
+    {f: F.round(f, 9) for f in V.WINDOW_FEATURES if f not in INT_FEATURES})), """
 SELECT feature, split, CASE WHEN stddev_pop(value) > 0 AND stddev_pop(label) > 0 THEN round(corr(value, label), 6) END AS pearson,
  CASE WHEN stddev_pop(value) > 0 AND stddev_pop(label) > 0 THEN round(corr(r, label), 6) END AS spearman FROM (
- SELECT *, rank() OVER (PARTITION BY feature, split ORDER BY value) + (count(*) OVER (PARTITION BY feature, split, value) - 1) / 2 AS r FROM lw) GROUP BY 1, 2""", ["lw"])
+ SELECT *, rank() OVER (PARTITION BY feature, split ORDER BY value) + (count(*) OVER (PARTITION BY feature, split, value) - 1) / 2 AS r FROM lwr) GROUP BY 1, 2""", ["lwr"])
 
 # ---- evaluation ------------------------------------------------------------------------------
 

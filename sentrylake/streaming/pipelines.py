@@ -39,14 +39,11 @@ def stream_features(indicated: DataFrame, size=V.WINDOW_SECONDS, late="10 minute
 
 
 def stream_sessions(events: DataFrame, gap=V.CORRELATION_GAP, late="10 minutes") -> DataFrame:
-    """Per-entity sessions: events at most `gap` seconds apart.
-
-    Session windows are open at their end, hence one second more than the gap.
-    """
+    """Per-entity sessions: events at most `gap` seconds apart (touching sessions merge)."""
     entities = event_entities(events).withColumn("event_time", event_time()).withWatermark("event_time", late)
     return (
         entities.groupBy(
-            "entity_type", "entity", F.session_window("event_time", f"{gap + 1} seconds").alias("s")
+            "entity_type", "entity", F.session_window("event_time", f"{gap} seconds").alias("s")
         )
         .agg(F.count("*").alias("events"), F.min("timestamp").alias("first_time"), F.max("timestamp").alias("last_time"))
         .select("entity_type", "entity", F.unix_timestamp("s.start").alias("session_start"),
