@@ -8,9 +8,6 @@ from pathlib import Path
 
 sys.path.insert(0, str(Path(__file__).resolve().parent))
 
-from pyspark.sql import functions as F  # noqa: E402
-
-from sentrylake.functions import fixed_values as V  # noqa: E402
 from sentrylake.operators import baselines as B  # noqa: E402
 from sentrylake.operators import correlate as C  # noqa: E402
 from sentrylake.operators import evaluate as EV  # noqa: E402
@@ -19,7 +16,7 @@ from sentrylake.operators import features as X  # noqa: E402
 from sentrylake.operators import specialists as S  # noqa: E402
 from sentrylake.operators import triage as T  # noqa: E402
 from sentrylake.plans.investigate import investigate  # noqa: E402
-from sentrylake.plans.workspace import TRAIN_END, workspace  # noqa: E402
+from sentrylake.plans.workspace import workspace  # noqa: E402
 from sentrylake.session import build_session, materialize  # noqa: E402
 
 
@@ -37,13 +34,13 @@ def main():
     )
     spark.sparkContext.setLogLevel("ERROR")
     w = workspace(spark, folder)
-    ev = w.events
-    base = B.build_baseline(B.baseline_cutoff(ev, TRAIN_END))
-    base.velocity = materialize(base.velocity)
+    # the stored tables a real flow starts from
+    ev = w.events = materialize(w.events)
+    base = w.baseline
     iocs = materialize(w.iocs)
     jobs = {
         "triage": lambda: run(T.triage(ev, rare_pair_at_most=1)),
-        "baselines": lambda: [run(d) for d in vars(B.build_baseline(ev)).values()],
+        "baselines": lambda: B.store_baseline(B.build_baseline(ev)),
         "auth_specialist": lambda: run(S.auth_specialist(ev, base, iocs)),
         "process_specialist": lambda: run(S.process_specialist(ev, base, iocs)),
         "network_specialist": lambda: run(S.network_specialist(ev, base, iocs)),

@@ -65,24 +65,27 @@ def recent_sums(per_second, keys, seconds, ts="timestamp", block=BLOCK_SECONDS):
     )
 
 
-def gap_segments(df, keys, gap, ts="timestamp", block=BLOCK_SECONDS * 24):
+def gap_segments(df, keys, gap, ts="timestamp", block=BLOCK_SECONDS * 24, opener=None):
     """Cut each key's distinct times into segments at gaps longer than `gap`.
 
     Returns (keys, ts, previous, segment): the previous time of the key (null
-    for the first) and the start time of the segment. Two levels: rows inside a
-    (key, block), then one row per non-empty block.
+    for the first) and the start time of the segment; with `opener`, a column
+    of `df` (then one row per (keys, ts)), also `opened_by`, its value at the
+    segment start. Two levels: rows inside a (key, block), then one row per
+    non-empty block.
     """
     keys = list(keys)
-    seconds = df.select(*keys, ts).distinct().withColumn(
-        "_block", block_of(F.col(ts), block)
-    )
+    if opener is None:
+        seconds = df.select(*keys, ts).distinct().withColumn("_id", F.lit(0))
+    else:
+        seconds = df.select(*keys, ts, F.col(opener).alias("_id"))
+    seconds = seconds.withColumn("_block", block_of(F.col(ts), block))
     inside = W.partitionBy(*keys, "_block").orderBy(ts)
+    here = F.struct(F.col(ts).alias("t"), F.col("_id").alias("id"))
     rows = seconds.withColumn("_prev", F.lag(ts).over(inside))
-    rows = rows.withColumn(
-        "_start", F.when(F.col(ts) - F.col("_prev") > F.lit(gap), F.col(ts))
-    )
+    rows = rows.withColumn("_start", F.when(F.col(ts) - F.col("_prev") > F.lit(gap), here))
     blocks = rows.groupBy(*keys, "_block").agg(
-        F.min(ts).alias("_first"),
+        F.min(here).alias("_first"),
         F.max(ts).alias("_last"),
         F.max("_start").alias("_inner_start"),
     )
@@ -94,7 +97,7 @@ def gap_segments(df, keys, gap, ts="timestamp", block=BLOCK_SECONDS * 24):
             "_head",
             F.when(
                 F.col("_carry_prev").isNull()
-                | (F.col("_first") - F.col("_carry_prev") > F.lit(gap)),
+                | (F.col("_first.t") - F.col("_carry_prev") > F.lit(gap)),
                 F.col("_first"),
             ),
         )
@@ -102,15 +105,17 @@ def gap_segments(df, keys, gap, ts="timestamp", block=BLOCK_SECONDS * 24):
             "_carry_start",
             F.last(F.coalesce("_inner_start", "_head"), ignorenulls=True).over(before),
         )
-        .select(*keys, "_block", "_first", "_carry_prev", "_head", "_carry_start")
+        .select(*keys, "_block", "_carry_prev", "_head", "_carry_start")
     )
     so_far = inside.rowsBetween(W.unboundedPreceding, 0)
     rows = rows.withColumn("_open", F.last("_start", ignorenulls=True).over(so_far))
+    start = F.coalesce("_open", "_head", "_carry_start")
     return rows.join(blocks, [*keys, "_block"]).select(
         *keys,
         ts,
         F.coalesce("_prev", "_carry_prev").alias("previous"),
-        F.coalesce("_open", "_head", "_carry_start").alias("segment"),
+        start["t"].alias("segment"),
+        *([start["id"].alias("opened_by")] if opener else []),
     )
 
 

@@ -1,6 +1,6 @@
 """Profiles of normal behavior: one DataFrame per profile, joined to events."""
 
-from dataclasses import dataclass
+from dataclasses import dataclass, fields
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from sentrylake.functions import fixed_values as V
 from sentrylake.functions.scale import weighted_percentile
-from sentrylake.functions.text import detail_number, present
+from sentrylake.functions.text import detail_number
+from sentrylake.session import materialize
 
 
 def pair_host():
@@ -259,3 +260,9 @@ def build_baseline(events: DataFrame) -> Baseline:
         pair_threshold=adaptive_threshold(pairs, "pair_count"),
         process_threshold=adaptive_threshold(processes, "process_count"),
     )
+
+
+def store_baseline(base: Baseline) -> Baseline:
+    """The same profiles as written tables: each is computed once, and its exact
+    size decides how it is joined."""
+    return Baseline(**{f.name: materialize(getattr(base, f.name)) for f in fields(base)})

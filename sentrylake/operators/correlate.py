@@ -56,7 +56,7 @@ def connected_components(edges: DataFrame, max_rounds=60) -> DataFrame:
     for _ in range(max_rounds):
         both = current.unionByName(current.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.min("b").alias("m")).withColumn("m", F.least("a", "m"))
-        large = pairs(
+        large = (
             both.filter("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
         )
         # every (a, b) now has b < a, so b is a smaller neighbour of a
@@ -84,24 +84,22 @@ def connected_components(edges: DataFrame, max_rounds=60) -> DataFrame:
 
 
 def correlate_incidents(candidates: DataFrame, gap=V.CORRELATION_GAP) -> DataFrame:
-    """(event_id, component) for every candidate; component = its first event id.
+    """(event_id, component) for every candidate.
 
-    An event without entities is its own component.
+    A run of an entity's events is named by the event that opens it; a
+    component by the smallest such id, which is its first event when ids follow
+    time. An event without entities is its own component.
     """
-    seen = materialize(event_entities(candidates))
+    seen = event_entities(candidates)
     keys = ["entity_type", "entity"]
     at = seen.groupBy(*keys, "timestamp").agg(F.min("event_id").alias("first_id"))
-    segments = gap_segments(at, keys, gap)
-    placed = at.join(segments, [*keys, "timestamp"])
-    roots = placed.groupBy(*keys, "segment").agg(F.min("first_id").alias("root"))
-    placed = materialize(
-        placed.join(roots, [*keys, "segment"]).select(*keys, "timestamp", "root")
+    runs = gap_segments(at, keys, gap, opener="first_id")
+    # an event touches at most five entities, so at most five runs
+    touched = materialize(
+        seen.join(runs, [*keys, "timestamp"])
+        .groupBy("event_id")
+        .agg(F.min("opened_by").alias("root"), F.collect_set("opened_by").alias("roots"))
     )
-    # an event touches at most five entities, so at most five roots
-    touched = seen.join(placed, [*keys, "timestamp"]).groupBy("event_id").agg(
-        F.min("root").alias("root"), F.collect_set("root").alias("roots")
-    )
-    touched = materialize(touched)
     links = touched.filter(F.size("roots") > 1).select(
         F.col("root").alias("b"), F.explode("roots").alias("a")
     )

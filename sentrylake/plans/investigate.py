@@ -27,7 +27,7 @@ def investigate(events, baseline=None, threats=None, safe=None, gap=V.CORRELATIO
     `baseline` defaults to profiles of the events themselves; pass one built
     before a cutoff so that rules for new pairs, hosts and processes can fire.
     """
-    base = baseline or B.build_baseline(events)
+    base = baseline or B.store_baseline(B.build_baseline(events))
     findings = materialize(S.all_findings(events, base, threats, safe, enabled))
     candidates = C.collect_candidates(findings)
     members = materialize(C.incident_members(candidates, C.correlate_incidents(candidates, gap)))

@@ -109,9 +109,7 @@ class Workspace:
     @cached_property
     def baseline(self) -> B.Baseline:
         """Profiles learned before the training cutoff, applied to later rows too."""
-        base = B.build_baseline(B.baseline_cutoff(self.events, TRAIN_END))
-        base.velocity = materialize(base.velocity)
-        return base
+        return B.store_baseline(B.build_baseline(B.baseline_cutoff(self.events, TRAIN_END)))
 
     @cached_property
     def findings(self) -> DataFrame:
