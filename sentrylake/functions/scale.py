@@ -183,6 +183,36 @@ def number_rows(df, order, name="row_number"):
     )
 
 
+def group_quantiles(counted, group, value, weight, shares):
+    """Exact linear-interpolated quantiles per group, from (group, value, weight) rows.
+
+    `shares` maps column names to shares. Ranks come from running totals, so
+    no task holds the values of a whole group.
+    """
+    totals = running_totals(
+        counted.select(*group, value, weight), [*[F.col(g) for g in group], F.col(value)], [weight]
+    )
+    cum = F.col(f"cum_{weight}")
+    sizes = totals.groupBy(*group).agg(
+        F.sum(weight).alias("_n"), F.min(cum - F.col(weight)).alias("_base")
+    )
+    rows = totals.join(sizes, group).withColumn("_hi", cum - F.col("_base")).withColumn(
+        "_lo", F.col("_hi") - F.col(weight)
+    )
+
+    def at(position):
+        held = (F.col("_lo") <= position) & (position < F.col("_hi"))
+        return F.max(F.when(held, F.col(value)))
+
+    out = []
+    for name, share in shares.items():
+        position = (F.col("_n") - 1) * F.lit(float(share))
+        low, high = at(F.floor(position)), at(F.ceil(position))
+        part = F.max(position - F.floor(position))
+        out.append((low + (high - low) * part).alias(name))
+    return rows.groupBy(*group).agg(*out)
+
+
 def _sliced(df, order):
     return df.repartitionByRange(*order).withColumn("_slice", F.spark_partition_id())
 

@@ -10,7 +10,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from sentrylake.functions import fixed_values as V
-from sentrylake.functions.scale import running_totals
+from sentrylake.functions.scale import group_quantiles, running_totals
 from sentrylake.functions.text import present
 
 
@@ -167,19 +167,20 @@ def constrained_threshold(burden: DataFrame, max_per_hour=2.0, min_precision=0.1
 
 
 def score_distribution(rows: DataFrame, truth="y", score="score") -> DataFrame:
+    """Count, mean, population std and quartiles of the scores of each class."""
     per = rows.groupBy(F.col(truth).alias("y"), F.col(score).cast("double").alias("score")).agg(
         F.count("*").alias("w")
     )
-    at = lambda p: F.percentile("score", p, F.col("w"))
     n = F.sum("w")
     mean = F.sum(F.col("score") * F.col("w")) / n
     square = F.sum(F.col("score") * F.col("score") * F.col("w")) / n
-    return per.groupBy("y").agg(
+    moments = per.groupBy("y").agg(
         n.alias("n"), mean.alias("mean"),
         F.sqrt(F.greatest(F.lit(0.0), square - mean * mean)).alias("std"),
-        F.min("score").alias("minimum"), at(0.25).alias("q1"), at(0.5).alias("median"),
-        at(0.75).alias("q3"), F.max("score").alias("maximum"),
+        F.min("score").alias("minimum"), F.max("score").alias("maximum"),
     )
+    cuts = group_quantiles(per, ["y"], "score", "w", {"q1": 0.25, "median": 0.5, "q3": 0.75})
+    return moments.join(cuts, "y")
 
 
 def event_level_eval(events: DataFrame, flagged, in_incident, in_severe, truth="is_redteam") -> DataFrame:
@@ -200,34 +201,43 @@ def match_labels(labels: DataFrame, members: DataFrame, bridge: DataFrame, toler
 
     A label matches an incident when its time lies within the incident's span
     widened by the tolerance and its user or one of its hosts is in it. Equi
-    join on (type, entity, time block): incident spans are cut into blocks, so
-    an entity in many incidents is spread over its blocks.
+    join on (type, entity, level, time block): each span takes the block size
+    of its own length (doubling per level), so it covers at most two blocks
+    however long it is, and an entity in many incidents is spread over time.
     """
     reach = max(tolerances)
     spans = members.groupBy("component").agg(
         F.min("timestamp").alias("t0"), F.max("timestamp").alias("t1")
     )
     low, high = F.floor((F.col("t0") - reach) / block), F.floor((F.col("t1") + reach) / block)
-    sides = (
-        bridge.filter(F.col("entity_type").isin("user", "host"))
-        .join(spans, "component")
-        .withColumn("_block", F.explode(F.sequence(low, high)))
-    )
+    level = F.when(high > low, F.ceil(F.log2((high - low).cast("double")))).otherwise(0).cast("int")
+    at_level = lambda b, l: F.floor(b / F.pow(F.lit(2.0), l)).cast("bigint")
+    spans = spans.withColumn("_level", level).select(
+        "component", "t0", "t1", "_level",
+        F.explode(F.array_distinct(F.array(at_level(low, F.col("_level")), at_level(high, F.col("_level"))))).alias("_block"),
+    )
+    # the levels in use: at most the logarithm of the covered time
+    levels = spans.select("_level").distinct().agg(F.collect_set("_level").alias("_levels"))
+    sides = bridge.filter(F.col("entity_type").isin("user", "host")).join(spans, "component")
     entry = lambda kind, c: F.struct(F.lit(kind).alias("entity_type"), present(c).alias("entity"))
     wanted = (
         labels.select(
-            "event_id", "timestamp", F.floor(F.col("timestamp") / block).alias("_block"),
+            "event_id", "timestamp",
             F.explode(F.array_distinct(F.array(
                 entry("user", "user"), entry("host", "source_host"), entry("host", "destination_host")
             ))).alias("e"),
         )
-        .select("event_id", "timestamp", "_block", "e.entity_type", "e.entity")
+        .select("event_id", "timestamp", "e.entity_type", "e.entity")
         .filter(F.col("entity").isNotNull())
+        .crossJoin(F.broadcast(levels))
+        .withColumn("_level", F.explode("_levels"))
+        .withColumn("_block", at_level(F.floor(F.col("timestamp") / block), F.col("_level")))
+        .drop("_levels")
     )
     t = F.col("timestamp")
     distance = F.greatest(F.lit(0), F.col("t0") - t, t - F.col("t1"))
     nearest = (
-        wanted.join(sides, ["entity_type", "entity", "_block"])
+        wanted.join(sides, ["entity_type", "entity", "_level", "_block"])
         .filter(distance <= reach)
         .groupBy("event_id", "component")
         .agg(F.min(distance).alias("distance"))
@@ -281,29 +291,33 @@ def windows_with_events(windows: DataFrame, flagged: DataFrame, size=V.WINDOW_SE
     )
 
 
-def windows_with_spans(windows: DataFrame, spans: DataFrame, size=V.WINDOW_SECONDS) -> DataFrame:
+def windows_with_spans(windows: DataFrame, spans: DataFrame, block=3600) -> DataFrame:
     """Window ids overlapped by a span (time_start, time_end), closed intervals.
 
-    A span reaches all bins between its ends, so only distinct bins touched by
-    a span end, and the coverage of inner bins, are needed: both sides are
-    exploded to bins and joined on them.
+    A window is overlapped iff the latest end among the spans that start by the
+    window's end reaches the window's start: a running maximum over time. Spans
+    are first reduced to one latest end per start second, so neither their
+    number nor their length matters; the maximum runs inside time blocks and
+    then over one row per block.
     """
-    bins = lambda a, b: F.explode(F.sequence(F.floor(F.col(a) / size), F.floor(F.col(b) / size)))
-    left = windows.select("window_id", "t_start", "t_end", bins("t_start", "t_end").alias("_bin"))
-    # clip each span to the bin and keep the extreme spans of a bin: a window
-    # overlaps some span of the bin iff one clipped piece meets it
-    pieces = (
-        spans.select("time_start", "time_end", bins("time_start", "time_end").alias("_bin"))
-        .select(
-            "_bin",
-            F.greatest("time_start", F.col("_bin") * size).alias("a"),
-            F.least("time_end", F.col("_bin") * size + size - 1).alias("b"),
+    starts = spans.groupBy(F.col("time_start").alias("t")).agg(F.max("time_end").alias("reach"))
+    none = F.lit(None).cast("bigint")
+    points = starts.select("t", F.lit(0).alias("kind"), "reach", none.alias("window_id"), none.alias("t_start")).unionByName(
+        windows.select(
+            F.col("t_end").alias("t"), F.lit(1).alias("kind"), none.alias("reach"),
+            F.col("window_id").cast("bigint").alias("window_id"), F.col("t_start").cast("bigint").alias("t_start"),
         )
-        .distinct()
-    )
+    ).withColumn("_block", F.floor(F.col("t") / block))
+    inside = W.partitionBy("_block").orderBy("t", "kind").rowsBetween(W.unboundedPreceding, 0)
+    # one row per block of the covered time
+    blocks = points.groupBy("_block").agg(F.max("reach").alias("_top"))
+    earlier = W.orderBy("_block").rowsBetween(W.unboundedPreceding, -1)
+    carried = blocks.select("_block", F.max("_top").over(earlier).alias("_carry"))
     return (
-        left.join(pieces, "_bin")
-        .filter((F.col("b") >= F.col("t_start")) & (F.col("a") <= F.col("t_end")))
+        points.withColumn("_here", F.max("reach").over(inside))
+        .filter(F.col("kind") == 1)
+        .join(carried, "_block")
+        .filter(F.greatest("_here", "_carry") >= F.col("t_start"))
         .select("window_id").distinct()
     )
 
@@ -313,7 +327,7 @@ def window_alert_overlap(windows, flagged, spans, size=V.WINDOW_SECONDS) -> Data
     mark = lambda ids, c: ids.select("window_id", F.lit(1).alias(c))
     return (
         windows.join(mark(windows_with_events(windows, flagged, size), "event_alert"), "window_id", "left")
-        .join(mark(windows_with_spans(windows, spans, size), "incident_alert"), "window_id", "left")
+        .join(mark(windows_with_spans(windows, spans), "incident_alert"), "window_id", "left")
         .withColumns({c: F.coalesce(F.col(c), F.lit(0)) for c in ("event_alert", "incident_alert")})
     )
 

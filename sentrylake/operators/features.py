@@ -5,7 +5,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from sentrylake.functions import fixed_values as V
-from sentrylake.functions.scale import running_totals
+from sentrylake.functions.scale import group_quantiles, running_totals
 from sentrylake.operators.triage import auth_failure
 
 SIZE, ORIGIN = V.WINDOW_SECONDS, V.STUDY_ORIGIN
@@ -304,12 +304,12 @@ def psi(windows: DataFrame, features=V.WINDOW_FEATURES, reference="train", targe
     Both shares are floored, so empty bins are finite. Equal decile edges merge.
     """
     rows = long_form(windows, features).filter(F.col("split").isin(reference, target))
-    # equal values are counted once per feature: percentiles see distinct values only
+    # equal values are counted once per feature
     counted = rows.groupBy("feature", "split", "value").agg(F.count("*").alias("w"))
-    steps = F.array(*[F.lit(i / 10) for i in range(1, 10)])
-    edges = counted.filter(F.col("split") == reference).groupBy("feature").agg(
-        F.array_distinct(F.percentile("value", steps, F.col("w"))).alias("edges")
-    )
+    cuts = {f"_d{i}": i / 10 for i in range(1, 10)}
+    edges = group_quantiles(
+        counted.filter(F.col("split") == reference).select("feature", "value", "w"), ["feature"], "value", "w", cuts
+    ).select("feature", F.array_distinct(F.array(*cuts)).alias("edges"))
     bins = F.size(F.filter("edges", lambda e: e < F.col("value")))
     side = lambda s: F.coalesce(F.sum(F.when(F.col("split") == s, F.col("w"))), F.lit(0))
     binned = (

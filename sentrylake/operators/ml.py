@@ -79,11 +79,16 @@ def fit(train: DataFrame, estimator, features=V.WINDOW_FEATURES, fixed_weights=N
     return Pipeline(stages=[*feature_pipeline(features), estimator]).fit(weighted)
 
 
+def _positive():
+    """Probability of class 1; 0 when training saw one class only."""
+    return F.coalesce(F.get(vector_to_array("probability"), F.lit(1)), F.lit(0.0))
+
+
 def score_new_table(model, rows: DataFrame, features=V.WINDOW_FEATURES, keep=("window_id",)) -> DataFrame:
     """Scores of an unseen table; absent feature columns are 0."""
     filled = rows.withColumns({f: F.lit(0.0) for f in features if f not in rows.columns})
     scored = model.transform(filled.withColumn("weight", F.lit(1.0)))
-    return scored.select(*keep, vector_to_array("probability")[1].alias("score"))
+    return scored.select(*keep, _positive().alias("score"))
 
 
 def feature_importance(model, features=V.WINDOW_FEATURES) -> DataFrame:
@@ -113,7 +118,7 @@ def platt_calibration(train: DataFrame, rows: DataFrame, estimator, features=V.W
     ).fit(held.withColumn("label", F.col("label").cast("double")))
     base = score_new_table(fit(train, estimator, features), rows, features, keep=("window_id",))
     return sigmoid.transform(base).select(
-        "window_id", F.col("score").alias("raw_score"), vector_to_array("probability")[1].alias("score")
+        "window_id", F.col("score").alias("raw_score"), _positive().alias("score")
     )
 
 

@@ -164,6 +164,15 @@ def process_specialist(events: DataFrame, base: Baseline, threats=None, safe=Non
     lower = with_flags(
         lower, safe, [("process", "process_lower", "_safe_proc"), ("host", "source_host", "_safe_src")]
     ).filter(F.col("_safe_proc").isNull() | F.col("_safe_src").isNull())
+    # the first run of a process the profile has never seen, per user: a narrow pass
+    unseen = (
+        lower.filter(F.col("user").isNotNull() & F.col("process").isNotNull())
+        .select("user", "process", "timestamp", "event_id")
+        .join(base.processes, "process", "left_anti")
+    )
+    first = unseen.groupBy("user", "process").agg(
+        F.min(F.struct("timestamp", "event_id"))["event_id"].alias("_first_id")
+    )
     lower = with_flags(
         lower, threats,
         [("user", "user", "_bad_user"), *HOST_FLAGS,
@@ -174,12 +183,6 @@ def process_specialist(events: DataFrame, base: Baseline, threats=None, safe=Non
         .join(bursts, ["source_host", "timestamp"], "left")
         .crossJoin(F.broadcast(base.process_threshold.withColumnRenamed("threshold", "rare_limit")))
     )
-    unseen = lower.filter(
-        F.col("user").isNotNull() & F.col("process").isNotNull() & F.col("process_count").isNull()
-    )
-    first = unseen.groupBy("user", "process").agg(
-        F.min(F.struct("timestamp", "event_id"))["event_id"].alias("_first_id")
-    )
     lower = lower.join(first, ["user", "process"], "left")
     seen = F.coalesce("process_count", F.lit(0))
     bad_host, which_host = listed_host()
@@ -250,7 +253,19 @@ def dga_hit(name):
 
 
 def network_specialist(events: DataFrame, base: Baseline, threats=None, safe=None) -> DataFrame:
+    """Flagged DNS and flow events, with the beacon bonus on the last one per beaconing host.
+
+    Only events to beaconing hosts are scored a second time to find the last
+    flagged one.
+    """
     rows = events.filter(F.lower("event_type").isin("dns", "flow"))
+    found = beacons(rows)
+    flagged = score_network(rows, base, threats, safe)
+    suspects = rows.join(found.select("destination_host"), "destination_host", "left_semi")
+    return add_beacons(flagged, score_network(suspects, base, threats, safe), found)
+
+
+def score_network(rows: DataFrame, base: Baseline, threats=None, safe=None) -> DataFrame:
     known = base.known.filter("entity_type = 'host'").select(
         F.col("entity").alias("destination_host"), F.lit(1).alias("_known_dst")
     )
@@ -292,16 +307,17 @@ def network_specialist(events: DataFrame, base: Baseline, threats=None, safe=Non
          & F.col("_known_dst").isNull() & F.col("_safe_dst").isNull(),
          F.format_string("Communication with previously unseen destination: %s", "destination_host")),
     ]
-    flagged = finish(rows, rules, V.NETWORK_AGENT,
-                     "Compound threat: multiple network risk signals identified")
-    return add_beacons(flagged, beacons(events))
+    return finish(rows, rules, V.NETWORK_AGENT,
+                  "Compound threat: multiple network risk signals identified")
 
 
-def add_beacons(flagged: DataFrame, found: DataFrame) -> DataFrame:
-    """+3 and a beacon evidence line on the last flagged event to each beaconing host."""
+def add_beacons(flagged: DataFrame, suspects: DataFrame, found: DataFrame) -> DataFrame:
+    """+3 and a beacon evidence line on the last flagged event to each beaconing host.
+
+    `suspects` are the flagged events to hosts in `found`.
+    """
     last = (
-        flagged.filter(F.col("destination_host").isNotNull())
-        .groupBy("destination_host")
+        suspects.groupBy("destination_host")
         .agg(F.max(F.struct("timestamp", "event_id"))["event_id"].alias("event_id"))
         .join(found, "destination_host")
         .select(

@@ -67,8 +67,25 @@ SELECT e AS events, i AS incidents, CAST(m AS BIGINT) AS multi_agent_incidents,
 register("correlation_summary", lambda w: C.correlation_summary(w.incidents), """
 SELECT count(*) AS incidents, CAST(sum(n) AS BIGINT) AS events, count(*) FILTER (n_sources >= 2) AS multi_source, round(avg(t1 - t0), 1) AS mean_duration,
   round(avg(n), 1) AS mean_events FROM inc""", ["inc"])
-# all events, joined by real users and hosts: one giant component (checked by brute force in tests)
-register("graph_alert_clusters", lambda w: C.graph_alert_clusters(w.events))
+# all events, linked by their real users and hosts: minimum labels spread over the links
+fragment("gent", "SELECT event_id, ts, 'u' || usr AS e FROM ev UNION ALL SELECT event_id, ts, 'h' || src FROM ev UNION ALL "
+         "SELECT event_id, ts, 'h' || dst FROM ev WHERE dst IS NOT NULL AND dst <> src", "ev")
+fragment("gnxt", "SELECT event_id AS a, lead(event_id) OVER w AS b, lead(ts) OVER w - ts AS gap FROM gent WINDOW w AS (PARTITION BY e ORDER BY ts, event_id)", "gent")
+
+
+def graph_query(name, gap):
+    lnk, cc = f"glnk{gap}", f"gcc{gap}"
+    fragment(lnk, f"SELECT a, b FROM gnxt WHERE gap <= {gap} UNION SELECT b, a FROM gnxt WHERE gap <= {gap}", "gnxt")
+    fragment(f"{cc}(n, m) USING KEY (n)", f"SELECT event_id, event_id FROM ev UNION SELECT l.b, min(r.m) FROM {cc} r JOIN {lnk} l ON l.a = r.n "
+             f"JOIN recurring.{cc} p ON p.n = l.b WHERE r.m < p.m GROUP BY l.b", lnk)
+    register(name, lambda w: C.graph_alert_clusters(w.events, gap=gap), f"""
+SELECT m AS component, count(*) AS event_count, min(ts) AS time_start, max(ts) AS time_end, any_value(h) AS host_count FROM {cc} JOIN ev ON event_id = n
+JOIN (SELECT m, count(DISTINCT e) AS h FROM {cc} JOIN gent ON event_id = n WHERE e LIKE 'h%' GROUP BY 1) USING (m) GROUP BY 1 HAVING count(*) >= 3 AND any_value(h) >= 2""",
+             [f"{cc}(n, m) USING KEY (n)"])
+
+
+graph_query("graph_alert_clusters", 600)
+graph_query("graph_alert_clusters_short_gap", 1)
 
 # ---- incident scoring and review ----------------------------------------------------------------
 
