@@ -247,3 +247,53 @@ def test_burst_window_partitions_are_bounded(spark):
     plan = plan_of(recent_counts(df, ["user"], 300))
     assert "hashpartitioning(user" in plan and "_block" in plan
     assert recent_counts(df, ["user"], 300).agg(F.max("n_recent")).first()[0] == 301
+
+
+def test_group_quantiles_equal_numpy(spark):
+    import numpy as np
+    from sentrylake.functions.scale import group_quantiles
+
+    rng = random.Random(2)
+    rows = [(g, float(rng.randrange(50)), rng.randrange(1, 5)) for g in "ab" for _ in range(60)] + [("c", 3.5, 1)]
+    df = spark.createDataFrame(rows, "g string, v double, w int").groupBy("g", "v").agg(F.sum("w").alias("w"))
+    got = {r.g: (r.q1, r.q2, r.q3) for r in group_quantiles(df, ["g"], "v", "w", {"q1": 0.05, "q2": 0.5, "q3": 0.9}).collect()}
+    for g in "abc":
+        values = [v for k, v, w in rows if k == g for _ in range(w)]
+        assert got[g] == pytest.approx(tuple(np.percentile(values, [5, 50, 90])))
+
+
+def random_spans(seed, n=120):
+    rng = random.Random(seed)
+    out = []
+    for i in range(n):
+        a = rng.randrange(0, 400_000)
+        out.append((i, a, a + rng.choice([0, 30, 700, 20_000, 350_000])))
+    return out
+
+
+def test_window_overlap_equals_brute_force(spark):
+    from sentrylake.operators.evaluate import windows_with_spans
+
+    spans = random_spans(4, 25)
+    windows = [(i, i * 900, i * 900 + random.Random(i).randrange(600)) for i in range(900)]
+    got = {r.window_id for r in windows_with_spans(
+        spark.createDataFrame(windows, "window_id bigint, t_start bigint, t_end bigint"),
+        spark.createDataFrame([s[1:] for s in spans if s[2] - s[1] < 30_000], "time_start bigint, time_end bigint")).collect()}
+    want = {w for w, a, b in windows if any(not (e < a or s > b) for _, s, e in spans if e - s < 30_000)}
+    assert got == want and 0 < len(got) < len(windows)
+
+
+def test_label_match_equals_brute_force(spark, make_events):
+    from sentrylake.operators.evaluate import match_labels
+
+    spans = random_spans(9)
+    rng = random.Random(1)
+    members = spark.createDataFrame([(i, t) for i, a, b in spans for t in {a, b}], "component bigint, timestamp bigint")
+    users = {i: {rng.choice(["hot", f"u{rng.randrange(9)}"])} for i, _, _ in spans}
+    bridge = spark.createDataFrame([(i, "user", u) for i, us in users.items() for u in us], "component bigint, entity_type string, entity string")
+    labels = [{"event_id": i, "timestamp": rng.randrange(0, 800_000), "user": rng.choice(["hot", "u1", "u2", "none"])} for i in range(200)]
+    labels += [{"event_id": 1000 + i, "timestamp": spans[i][2] + d, "user": "hot"} for i, d in enumerate([0, 1, 59, 60, 61, 600, 601])]
+    got = {(r.tolerance, r.event_id, r.component) for r in match_labels(make_events(labels), members, bridge).collect()}
+    want = {(t, l["event_id"], i) for t in (0, 60, 300, 600) for l in labels for i, a, b in spans
+            if a - t <= l["timestamp"] <= b + t and l["user"] in users[i]}
+    assert got == want and got
