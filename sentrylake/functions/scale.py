@@ -15,16 +15,6 @@ from sentrylake.session import materialize
 
 BLOCK_SECONDS = 3600
 SALTS = 32
-BROADCAST_ROWS = 200_000
-
-
-def checked_broadcast(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Broadcast `df` if it is proven to hold at most `max_rows` rows.
-
-    Larger tables are returned unhinted, so the planner shuffles both sides.
-    """
-    small = df.limit(max_rows + 1).count() <= max_rows
-    return F.broadcast(df) if small else df
 
 
 def block_of(ts: Column, block: int) -> Column:

@@ -72,19 +72,28 @@ def infer_event_type(rows: DataFrame) -> DataFrame:
 
 def layout_time(text, layout):
     """Epoch seconds of `text` under one layout, else null."""
-    pattern, shape, prefix = layout
+    pattern, shape, prefix, suffix = layout
     clean = F.regexp_replace(text, r"\s+", " ")
-    parsed = F.try_to_timestamp(F.concat(F.lit(prefix), clean), F.lit(pattern))
+    parsed = F.try_to_timestamp(F.concat(F.lit(prefix), clean, F.lit(suffix)), F.lit(pattern))
     return F.when(clean.rlike(shape), F.unix_timestamp(parsed))
 
 
+def general_time(text):
+    """Epoch seconds of any text that some layout or Spark itself can read; UTC without a zone."""
+    clock = F.when(text.rlike(r"(Z|[+-]\d{2}:?\d{2})$"), text).otherwise(F.concat(text, F.lit(" UTC")))
+    other = F.when(text.contains(":"), F.unix_timestamp(clock.try_cast("timestamp"))).otherwise(
+        F.unix_date(text.try_cast("date")) * V.DAY_SECONDS
+    )
+    return F.coalesce(*[layout_time(text, l) for l in V.TIMESTAMP_LAYOUTS], other)
+
+
 def normalize_timestamps(rows: DataFrame) -> DataFrame:
     """Epoch seconds in `timestamp`; failures are 0.
 
     One aggregate decides for the whole table: numeric when more than 80 % of
     the rows are numbers (milliseconds or microseconds by the median), else
     the first layout that fits at least 70 % of the texts present. The
-    decision is a single row, joined back. A session in UTC is assumed.
+    decision is a single row, joined back. The session time zone does not matter.
     """
     text = F.trim(F.col("timestamp").cast("string"))
     number = text.try_cast("double")
@@ -113,7 +122,7 @@ def normalize_timestamps(rows: DataFrame) -> DataFrame:
     )
     parsed = F.coalesce(
         *[F.when(F.col("_layout") == i, layout_time(text, l)) for i, l in enumerate(V.TIMESTAMP_LAYOUTS)],
-        F.when(F.col("_layout") == -1, F.unix_timestamp(text.try_cast("timestamp"))),
+        F.when(F.col("_layout") == -1, general_time(text)),
     )
     value = F.when(F.col("_numeric"), (number / F.col("_unit")).cast("bigint")).otherwise(parsed)
     return (
