@@ -9,6 +9,7 @@ from sentrylake.functions.scale import gap_segments, recent_counts
 from sentrylake.functions.text import basename, fired, longest_label, shannon_entropy
 from sentrylake.operators.baselines import Baseline
 from sentrylake.operators.triage import auth_failure, flow_bytes, flow_duration, unusual_protocol
+from sentrylake.session import store_if_large
 
 FINDING_COLUMNS = [
     "event_id", "timestamp", "event_type", "user", "source_user",
@@ -97,12 +98,14 @@ def auth_specialist(events: DataFrame, base: Baseline, threats=None, safe=None)
         F.lit(V.BURST_MORE_THAN),
         F.coalesce(F.floor(F.col("mean") + 2 * F.col("std")), F.lit(V.BURST_MORE_THAN)),
     ).cast("bigint")
-    bursts = (
+    # few keys burst: on large input written first, so that its exact size decides the join
+    bursts = store_if_large(
         recent_counts(rows, ["user"], V.AUTH_BURST_SECONDS)
         .filter(F.col("n_recent") > V.BURST_MORE_THAN)
         .join(base.velocity, "user", "left")
         .select("user", "timestamp", "n_recent", limit.alias("burst_limit"))
-        .filter(F.col("n_recent") > F.col("burst_limit"))
+        .filter(F.col("n_recent") > F.col("burst_limit")),
+        rows,
     )
     rows = with_flags(
         rows, safe, [("user", "user", "_safe_user"), ("host", "source_host", "_safe_src")]
@@ -157,8 +160,11 @@ def auth_specialist(events: DataFrame, base: Baseline, threats=None, safe=None)
 
 def process_specialist(events: DataFrame, base: Baseline, threats=None, safe=None) -> DataFrame:
     rows = events.filter(F.lower("event_type") == "process")
-    bursts = recent_counts(rows, ["source_host"], V.PROCESS_BURST_SECONDS).filter(
-        F.col("n_recent") > V.BURST_MORE_THAN
+    bursts = store_if_large(
+        recent_counts(rows, ["source_host"], V.PROCESS_BURST_SECONDS).filter(
+            F.col("n_recent") > V.BURST_MORE_THAN
+        ),
+        rows,
     )
     lower = rows.withColumn("process_lower", F.lower("process"))
     lower = with_flags(
@@ -259,7 +265,7 @@ def network_specialist(events: DataFrame, base: Baseline, threats=None, safe=Non
     flagged one.
     """
     rows = events.filter(F.lower("event_type").isin("dns", "flow"))
-    found = beacons(rows)
+    found = store_if_large(beacons(rows), rows)
     flagged = score_network(rows, base, threats, safe)
     suspects = rows.join(found.select("destination_host"), "destination_host", "left_semi")
     return add_beacons(flagged, score_network(suspects, base, threats, safe), found)

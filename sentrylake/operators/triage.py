@@ -7,6 +7,7 @@ from sentrylake.functions import fixed_values as V
 from sentrylake.functions.scale import recent_counts
 from sentrylake.functions.text import contains_any, detail_number, fired
 from sentrylake.operators.baselines import pair_frequency, pair_host, process_frequency
+from sentrylake.session import store_if_large
 
 
 def never():
@@ -64,13 +65,15 @@ def triage(
 
     Only the keys that fire a count rule (bursts, rare pairs, rare processes)
     are joined back, and each event type only takes the joins it needs, so no
-    join sees a null key. The label is never read.
+    join sees a null key. On large input the four key tables are written first:
+    their exact sizes then decide whether the wide event rows must be shuffled
+    at all. The label is never read.
     """
     host = pair_host()
-    bursts = auth_bursts(events).withColumnRenamed("n_recent", "auth_recent")
-    spawns = process_bursts(events).withColumnRenamed("n_recent", "proc_recent")
-    pairs = rare_pairs(events, rare_pair_at_most).withColumnRenamed("host", "pair_host")
-    procs = rare_processes(events, rare_process_below)
+    bursts = store_if_large(auth_bursts(events).withColumnRenamed("n_recent", "auth_recent"), events)
+    spawns = store_if_large(process_bursts(events).withColumnRenamed("n_recent", "proc_recent"), events)
+    pairs = store_if_large(rare_pairs(events, rare_pair_at_most).withColumnRenamed("host", "pair_host"), events)
+    procs = store_if_large(rare_processes(events, rare_process_below), events)
 
     keyed = events.withColumn("pair_host", host)
     none = F.lit(None).cast("bigint")
