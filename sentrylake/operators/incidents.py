@@ -87,18 +87,17 @@ def incident_evidence(members: DataFrame, first=8) -> DataFrame:
 
 def uncertainty_notes(incidents: DataFrame) -> DataFrame:
     has = lambda s: F.array_contains("sources", s)
-    # --- fixed values: caveat texts ---
     notes = [
         (F.size("sources") <= 1,
-         "Single-telemetry source: lack of cross-domain corroboration limits validation confidence."),
+         V.CAVEATS["single_source"]),
         ((F.col("n_processes") == 0) & has("auth"),
-         "Absence of process execution telemetry: command-line parameters and execution lineage could not be verified."),
+         V.CAVEATS["no_process"]),
         (has("dns") & ~has("flow"),
-         "DNS query observed without corresponding network flow volume confirmation."),
+         V.CAVEATS["no_flow"]),
         (F.col("n_people") == 0,
-         "Activity dominated by machine/system accounts; human intentionality remains unverified."),
+         V.CAVEATS["machines"]),
         (F.lit(True),
-         "Classification is based on behavioral anomaly detection and multi-source corroboration."),
+         V.CAVEATS["standing"]),
     ]
     return incidents.withColumn("uncertainty", fired([(c, F.lit(t)) for c, t in notes]))
 
@@ -133,16 +132,12 @@ def incident_narrative(scored: DataFrame, heads: DataFrame) -> DataFrame:
     users = head_text(F.col("first_users"), F.col("n_users"), nothing="unspecified users")
     hosts = head_text(F.col("first_hosts"), F.col("n_hosts"), nothing="unspecified endpoints")
     sources = F.array_join(F.transform("sources", lambda s: F.upper(s)), " -> ")
-    # --- fixed values: narrative templates ---
     strong = F.format_string(
-        "Incident %s is an elevated cross-domain anomaly (%s severity, Risk %.1f/100) involving %s on %s. "
-        "Specialist agents flagged abnormal burst velocity and rare entity mappings across %s. "
-        "Behavioral anomaly detection indicates potential threat activity warranting SOC analyst verification.",
+        V.NARRATIVES["strong"],
         "incident_id", "severity", "risk_score", users, hosts, sources,
     )
     weak = F.format_string(
-        "Incident %s displays moderate anomalous signals (Risk %.1f/100, Confidence %.1f/100) involving %s. "
-        "Specialist findings indicate isolated baseline deviations without confirmed malicious lateral penetration.",
+        V.NARRATIVES["weak"],
         "incident_id", "risk_score", "confidence_score", users,
     )
     return rows.withColumn("explanation", F.when(F.col("risk_score") >= 60, strong).otherwise(weak))
@@ -157,32 +152,31 @@ def response_priority(scored: DataFrame, heads: DataFrame) -> DataFrame:
     risk = F.col("risk_score")
     has = lambda *s: F.arrays_overlap("sources", F.array(*[F.lit(x) for x in s]))
     names = lambda c, n: F.array_join(F.slice(c, 1, n), ", ")
-    # --- fixed values: step texts ---
     investigate = fired([
         (F.size("first_users") > 0,
-         F.concat(F.lit("Audit active sessions and recent authentication logs for accounts: "), names("first_users", 4))),
+         F.concat(F.lit(V.STEPS["audit"]), names("first_users", 4))),
         (F.size("first_hosts") > 0,
-         F.concat(F.lit("Inspect host event logs, volatile memory, and active processes on endpoints: "),
+         F.concat(F.lit(V.STEPS["inspect"]),
                   names("first_hosts", 4))),
         (has("process"),
-         F.lit("Collect parent-child process execution trees and verify cryptographic file hashes.")),
+         F.lit(V.STEPS["lineage"])),
         (has("flow", "dns"),
-         F.lit("Review network flow egress logs and DNS sinkhole captures for command-and-control beacons.")),
+         F.lit(V.STEPS["egress"])),
     ])
     contain = (
         F.when(risk >= 75, F.array(
-            F.concat(F.lit("Stage immediate network segment isolation for compromised hosts: "),
-                     names("first_hosts", 3), F.lit(" (pending analyst sign-off).")),
-            F.concat(F.lit("Prepare administrative credential suspension for compromised accounts: "),
+            F.concat(F.lit(V.STEPS["isolate"]),
+                     names("first_hosts", 3), F.lit(V.STEPS["sign_off"])),
+            F.concat(F.lit(V.STEPS["suspend"]),
                      names("first_users", 3), F.lit(".")),
-            F.lit("Revoke active Kerberos ticket-granting tickets (TGT) and force credential rotation."),
+            F.lit(V.STEPS["revoke"]),
         ))
         .when(risk >= 50, F.array(
-            F.lit("Increase telemetry sampling frequency and enable enhanced PowerShell / process logging on involved hosts."),
-            F.lit("Place affected user accounts on high-alert monitoring watchlists."),
+            F.lit(V.STEPS["sample"]),
+            F.lit(V.STEPS["watch"]),
         ))
         .otherwise(F.array(
-            F.lit("Log anomalous behavioral pattern to baseline profile for continuous anomaly drift tracking."),
+            F.lit(V.STEPS["log"]),
         ))
     )
     return rows.withColumns(
@@ -215,15 +209,14 @@ def risk_confidence_crosstab(scored: DataFrame) -> DataFrame:
 def review_queue(scored: DataFrame) -> DataFrame:
     """Status and note per incident from the two levels; labels are never read."""
     risk, sure = F.col("risk_level"), F.col("confidence_level")
-    # --- fixed values: review texts ---
     ladder = [
-        (risk.isin("Critical", "High") & sure.isin("High", "Medium"), "Review Required",
-         "High severity cross-source anomaly with strong multi-source corroboration."),
-        ((sure == "Low") & (F.col("risk_v1") >= 40), "Needs More Investigation",
-         "Elevated risk signals but low multi-source telemetry support. Requires further host log queries."),
-        (risk == "Low", "Benign / False Positive",
-         "Standard background variance or noisy administrative activity. Safe to dismiss."),
-        (F.lit(True), "Review Required", "Moderate suspicion level. Routine queue inspection advised."),
+        (risk.isin("Critical", "High") & sure.isin("High", "Medium"), V.REVIEW_STATUS["required"],
+         V.REVIEW_NOTES["strong"]),
+        ((sure == "Low") & (F.col("risk_v1") >= 40), V.REVIEW_STATUS["more"],
+         V.REVIEW_NOTES["thin"]),
+        (risk == "Low", V.REVIEW_STATUS["benign"],
+         V.REVIEW_NOTES["benign"]),
+        (F.lit(True), V.REVIEW_STATUS["required"], V.REVIEW_NOTES["moderate"]),
     ]
     status = F.coalesce(*[F.when(c, s) for c, s, _ in ladder])
     note = F.coalesce(*[F.when(c, n) for c, _, n in ladder])
@@ -300,11 +293,10 @@ def join_investigation(incidents, analyses, recommendations, reviews) -> DataFra
         .join(recommendations, "incident_id", "left")
         .join(latest_reviews(reviews), "incident_id", "left")
     )
-    # --- fixed values: defaults ---
     return joined.select(
         *incidents.columns,
         fill("risk_score", 50.0), fill("confidence_score", 50.0), fill("severity", "Medium"),
-        fill("explanation", "Multi-agent anomaly detected."),
-        fill("recommended_action", "Investigate host"), fill("priority", "P2 - High Priority"),
-        F.coalesce("verdict", F.lit("PENDING_REVIEW")).alias("review_status"),
+        fill("explanation", V.JOIN_DEFAULTS["explanation"]),
+        fill("recommended_action", V.JOIN_DEFAULTS["action"]), fill("priority", "P2 - High Priority"),
+        F.coalesce("verdict", F.lit(V.JOIN_DEFAULTS["review"])).alias("review_status"),
     )

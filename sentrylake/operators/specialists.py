@@ -131,31 +131,31 @@ def auth_specialist(events: DataFrame, base: Baseline, threats=None, safe=None)
     bad_host, which_host = listed_host()
     rules = [
         ("R1", 2, auth_failure(include_action=True),
-         F.format_string("Failed authentication attempt by user %s", F.coalesce("user", F.lit("")))),
+         F.format_string(V.AUTH_EVIDENCE["failure"], F.coalesce("user", F.lit("")))),
         ("R2", 2, F.col("n_recent").isNotNull(),
-         F.format_string("High authentication velocity: %d attempts within 300s (threshold: %d)",
+         F.format_string(V.AUTH_EVIDENCE["burst"],
                          "n_recent", "burst_limit")),
-        ("R3", 1, unusual_protocol(), F.lit("Network authentication using NTLM protocol")),
+        ("R3", 1, unusual_protocol(), F.lit(V.AUTH_EVIDENCE["protocol"])),
         ("R4", 2, has_pair & (seen <= F.col("rare_limit")),
-         F.format_string("Infrequent lateral authentication: %s -> %s (observed %d times in baseline)",
+         F.format_string(V.AUTH_EVIDENCE["rare_pair"],
                          "user", "pair_host", seen)),
         ("R8", 3, F.col("_bad_user").isNotNull(),
-         F.format_string("Identified known threat actor credential: %s", "user")),
+         F.format_string(V.AUTH_EVIDENCE["listed_user"], "user")),
         ("R9", 2, bad_host,
-         F.format_string("Authentication involves known compromised endpoint: %s", which_host)),
+         F.format_string(V.AUTH_EVIDENCE["listed_host"], which_host)),
         ("R11", 2, (F.col("timestamp") > 0) & (share < V.OFF_HOURS_SHARE_BELOW),
-         F.format_string("Off-hours authentication at hour %d:00 (only %.1f%% of normal activity)",
+         F.format_string(V.AUTH_EVIDENCE["off_hours"],
                          "hour", share * 100)),
         ("R12", 2, has_pair & (seen == 0),
-         F.format_string("First-time user-host pair: %s has never authenticated to %s", "user", "pair_host")),
+         F.format_string(V.AUTH_EVIDENCE["first_pair"], "user", "pair_host")),
         ("R14", 1,
          F.col("user").isNotNull() & F.col("destination_host").isNotNull()
          & F.col("usual_users").between(1, V.LOW_DIVERSITY_AT_MOST) & (seen == 0),
-         F.format_string("Host %s has low user diversity (baseline: %d users); new user %s is anomalous",
+         F.format_string(V.AUTH_EVIDENCE["low_diversity"],
                          "destination_host", "usual_users", "user")),
     ]
     return finish(rows, rules, V.AUTH_AGENT,
-                  "Compound threat: multiple anomalous authentication signals simultaneously")
+                  V.AUTH_EVIDENCE["compound"])
 
 
 def process_specialist(events: DataFrame, base: Baseline, threats=None, safe=None) -> DataFrame:
@@ -194,23 +194,23 @@ def process_specialist(events: DataFrame, base: Baseline, threats=None, safe=Non
     bad_host, which_host = listed_host()
     rules = [
         ("R5", 2, F.col("process").isNotNull() & (seen < F.col("rare_limit")),
-         F.format_string("Execution of infrequent binary: %s (seen %d times in baseline)", "process", seen)),
+         F.format_string(V.PROCESS_EVIDENCE["rare"], "process", seen)),
         ("R6", 2, F.col("n_recent").isNotNull(),
-         F.format_string("Rapid process spawning burst: %d processes in 120s on host %s",
+         F.format_string(V.PROCESS_EVIDENCE["burst"],
                          "n_recent", "source_host")),
         ("R9", 2, bad_host,
-         F.format_string("Process activity executed on known compromised host: %s", which_host)),
+         F.format_string(V.PROCESS_EVIDENCE["listed_host"], which_host)),
         ("R8", 3, F.col("_bad_user").isNotNull(),
-         F.format_string("Process executed under known threat actor account: %s", "user")),
+         F.format_string(V.PROCESS_EVIDENCE["listed_user"], "user")),
         ("R15", 2, basename(F.col("process")).isin(V.LOLBINS),
-         F.format_string("LOLBin (Living-off-the-Land Binary) execution detected: %s", "process")),
+         F.format_string(V.PROCESS_EVIDENCE["lolbin"], "process")),
         ("R15b", 3, F.col("_bad_proc").isNotNull() | F.col("_bad_proc_lower").isNotNull(),
-         F.format_string("Process matches threat intelligence indicator: %s", "process")),
+         F.format_string(V.PROCESS_EVIDENCE["listed_process"], "process")),
         ("R16", 2, F.col("_first_id") == F.col("event_id"),
-         F.format_string("Never-before-seen process: %s (zero occurrences in baseline)", "process")),
+         F.format_string(V.PROCESS_EVIDENCE["new"], "process")),
     ]
     return finish(lower, rules, V.PROCESS_AGENT,
-                  "Compound threat: multiple anomalous process execution signals detected")
+                  V.PROCESS_EVIDENCE["compound"])
 
 
 def beacons(events: DataFrame) -> DataFrame:
@@ -297,24 +297,24 @@ def score_network(rows: DataFrame, base: Baseline, threats=None, safe=None) -> D
     bad_host, which_host = listed_host()
     rules = [
         ("R7", 1, is_flow & (flow_bytes() > F.col("byte_limit")),
-         F.format_string("High-volume data transfer: %d bytes (threshold: %d) (%s)",
+         F.format_string(V.NETWORK_EVIDENCE["bytes"],
                          flow_bytes(), "byte_limit", path)),
         ("R7", 1, is_flow & (flow_duration() > V.FLOW_DURATION_ABOVE),
-         F.format_string("Prolonged connection duration: %ds (%s)", flow_duration(), path)),
+         F.format_string(V.NETWORK_EVIDENCE["duration"], flow_duration(), path)),
         ("R9", 2, bad_host,
-         F.format_string("Network telemetry communicates with known compromised host: %s", which_host)),
+         F.format_string(V.NETWORK_EVIDENCE["listed_host"], which_host)),
         ("R17", 2, is_dns & dga_hit(F.col("destination_host")),
-         F.format_string("High-entropy DNS query (potential DGA/C2): %s (entropy: %.2f)",
+         F.format_string(V.NETWORK_EVIDENCE["entropy"],
                          "destination_host", shannon_entropy(longest_label(F.col("destination_host"))))),
         ("R17b", 3, F.col("_bad_domain").isNotNull(),
-         F.format_string("DNS resolution to known malicious domain: %s", "destination_host")),
+         F.format_string(V.NETWORK_EVIDENCE["listed_domain"], "destination_host")),
         ("R13", 1,
          F.col("_any_known") & F.col("source_host").isNotNull() & F.col("destination_host").isNotNull()
          & F.col("_known_dst").isNull() & F.col("_safe_dst").isNull(),
-         F.format_string("Communication with previously unseen destination: %s", "destination_host")),
+         F.format_string(V.NETWORK_EVIDENCE["unseen"], "destination_host")),
     ]
     return finish(rows, rules, V.NETWORK_AGENT,
-                  "Compound threat: multiple network risk signals identified")
+                  V.NETWORK_EVIDENCE["compound"])
 
 
 def add_beacons(flagged: DataFrame, suspects: DataFrame, found: DataFrame) -> DataFrame:
@@ -329,7 +329,7 @@ def add_beacons(flagged: DataFrame, suspects: DataFrame, found: DataFrame) -> Da
         .select(
             "event_id",
             F.format_string(
-                "Beaconing pattern detected to %s: %d connections at ~%.0fs intervals (CV: %.2f)",
+                V.NETWORK_EVIDENCE["beacon"],
                 "destination_host", "contacts", "mean_gap", "cv",
             ).alias("_beacon"),
         )

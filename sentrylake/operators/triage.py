@@ -153,23 +153,23 @@ def apply_rules(rows, columns, bytes_above, duration_above, skip=()) -> DataFram
     is_auth, is_flow = kind == "auth", kind == "flow"
     w = V.TRIAGE_WEIGHTS
     rules = [
-        ("R1_AUTH_FAILURE", is_auth & auth_failure(), F.lit("Authentication attempt failed")),
+        ("R1_AUTH_FAILURE", is_auth & auth_failure(), F.lit(V.TRIAGE_REASONS["failure"])),
         ("R2_AUTH_BURST", F.col("auth_recent").isNotNull(),
-         F.format_string("Rapid auth burst: %d logons in 5 minutes", "auth_recent")),
+         F.format_string(V.TRIAGE_REASONS["auth_burst"], "auth_recent")),
         ("R3_UNUSUAL_AUTH", is_auth & unusual_protocol(),
-         F.lit("Network logon / NTLM authentication protocol observed")),
+         F.lit(V.TRIAGE_REASONS["protocol"])),
         ("R4_RARE_USER_HOST", F.col("rare_pair"),
-         F.format_string("Rare user-to-host lateral mapping (%s -> %s)", "user", "pair_host")),
+         F.format_string(V.TRIAGE_REASONS["rare_pair"], "user", "pair_host")),
         ("R5_SUSPICIOUS_PROC", F.col("rare_process"),
-         F.format_string("Infrequently executed process (%s)", "process")),
+         F.format_string(V.TRIAGE_REASONS["rare_process"], "process")),
         ("R6_PROC_BURST", F.col("proc_recent").isNotNull(),
-         F.format_string("Process burst: %d processes spawned in 2 minutes", "proc_recent")),
+         F.format_string(V.TRIAGE_REASONS["process_burst"], "proc_recent")),
         ("R7_NETWORK_ANOMALY", is_flow & ((flow_bytes() > bytes_above) | (flow_duration() > duration_above)),
-         F.format_string("High-volume or prolonged network flow (%d bytes, %ds)", flow_bytes(), flow_duration())),
+         F.format_string(V.TRIAGE_REASONS["flow"], flow_bytes(), flow_duration())),
         ("R8_REDTEAM_USER", F.col("listed_user"),
-         F.format_string("Associated with known threat actor account (%s)", "user")),
+         F.format_string(V.TRIAGE_REASONS["listed_user"], "user")),
         ("R9_REDTEAM_HOST", F.col("listed_src") | F.col("listed_dst"),
-         F.format_string("Involves known compromised host (%s)",
+         F.format_string(V.TRIAGE_REASONS["listed_host"],
                          F.when(F.col("listed_src"), F.col("source_host")).otherwise(F.col("destination_host")))),
     ]
     rules = [(name, cond, text) for name, cond, text in rules if name not in skip]
@@ -186,7 +186,7 @@ def score_event(scored: DataFrame, compound) -> DataFrame:
     """Turn fired rules into the final score, flag, rule list and reasons."""
     bonus = V.TRIAGE_WEIGHTS["R10_TEMPORAL_BURST"]
     text = F.format_string(
-        "Compound threat: %d distinct risk indicators triggered simultaneously", F.size("_names")
+        V.TRIAGE_REASONS["compound"], F.size("_names")
     )
     return scored.withColumns(
         {
