@@ -43,7 +43,8 @@ def best_rolling_days(dense: DataFrame, sizes=(3, 5)) -> DataFrame:
         best = rolling_days(dense, n).filter(F.col("total").isNotNull()).agg(
             F.max(F.struct("total", (-F.col("day")).alias("neg"))).alias("b")
         )
-        row = best.select(
+        # no row when there are fewer than n days
+        row = best.filter(F.col("b").isNotNull()).select(
             F.lit(n).cast("bigint").alias("days"),
             (-F.col("b.neg") - (n - 1)).alias("first_day"),
             (-F.col("b.neg")).alias("last_day"),
