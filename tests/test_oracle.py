@@ -9,7 +9,8 @@ QUERIES, ORACLES = entry.queries(), entry.oracle_sql()
 # may be empty on the smallest data; the larger run checks their values
 SPARSE = {"r6_process_burst", "r17_dga_entropy", "rare_process_set", "multi_agent_flag", "evidence_conflicts",
           "label_match_audit", "regular_destinations", "r18_beaconing", "stream_bursts", "training_staging",
-          "constrained_threshold", "best_rolling_days", "r17b_listed_domain", "r9_listed_host", "search_incidents", "r2_auth_burst", "unmatched_attacks"}
+          "constrained_threshold", "best_rolling_days", "r17b_listed_domain", "r9_listed_host",
+          "graph_alert_clusters_short_gap", "search_incidents", "r2_auth_burst", "unmatched_attacks"}
 
 
 @pytest.fixture(scope="module")
