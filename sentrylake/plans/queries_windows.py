@@ -114,8 +114,8 @@ SELECT feature, round(v, 6) AS psi, CASE WHEN v < 0.1 THEN 'stable' WHEN v < 0.2
 fragment("lwr", "SELECT * REPLACE (round(value, 9) AS value) FROM lw", "lw")
 register("feature_label_corr", lambda w: X.feature_label_corr(w.ml_windows.withColumns(
     {f: F.round(f, 9) for f in V.WINDOW_FEATURES if f not in INT_FEATURES})), """
-SELECT feature, split, CASE WHEN stddev_pop(value) > 0 AND stddev_pop(label) > 0 THEN round(corr(value, label), 6) END AS pearson,
- CASE WHEN stddev_pop(value) > 0 AND stddev_pop(label) > 0 THEN round(corr(r, label), 6) END AS spearman FROM (
+SELECT feature, split, CASE WHEN stddev_pop(value) > 0 AND stddev_pop(label) > 0 THEN round(corr(value, label), 6) + 0.0::DOUBLE END AS pearson,
+ CASE WHEN stddev_pop(value) > 0 AND stddev_pop(label) > 0 THEN round(corr(r, label), 6) + 0.0::DOUBLE END AS spearman FROM (
  SELECT *, rank() OVER (PARTITION BY feature, split ORDER BY value) + (count(*) OVER (PARTITION BY feature, split, value) - 1) / 2 AS r FROM lwr) GROUP BY 1, 2""", ["lwr"])
 
 # ---- evaluation ------------------------------------------------------------------------------
