@@ -1,8 +1,10 @@
 """Queries of the training-data operators and their oracle SQL."""
 
-from sentrylake.llm import decontaminate
+from sentrylake.llm import decontaminate, quality_model, toxicity
 
 QUERIES = {
+    "op4_toxicity": toxicity.op4,
+    "op6_quality_model": quality_model.op6,
     "op9_decontaminate": decontaminate.op9,
 }
 ORACLES = {
