@@ -1,10 +1,12 @@
 """Queries of the training-data operators and their oracle SQL."""
 
-from sentrylake.llm import decontaminate, quality_model, toxicity
+from sentrylake.llm import decontaminate, line_rules, quality_model, secret_scan, toxicity
 
 QUERIES = {
     "op4_toxicity": toxicity.op4,
     "op6_quality_model": quality_model.op6,
+    "op7_secret_scan": secret_scan.op7,
+    "op8_line_rules": line_rules.op8,
     "op9_decontaminate": decontaminate.op9,
 }
 ORACLES = {
