@@ -1,8 +1,9 @@
 """Queries of the training-data operators and their oracle SQL."""
 
-from sentrylake.llm import decontaminate, line_rules, quality_model, secret_scan, toxicity
+from sentrylake.llm import decontaminate, line_rules, quality_model, secret_scan, token_counts, toxicity
 
 QUERIES = {
+    "op1_token_counts": token_counts.op1,
     "op4_toxicity": toxicity.op4,
     "op6_quality_model": quality_model.op6,
     "op7_secret_scan": secret_scan.op7,
