@@ -1,10 +1,12 @@
 """Queries of the training-data operators and their oracle SQL."""
 
-from sentrylake.llm import decontaminate, line_rules, quality_model, secret_scan, token_counts, toxicity
+from sentrylake.llm import decontaminate, line_rules, mixing, quality_model, secret_scan, token_counts, token_output, toxicity
 
 QUERIES = {
     "op1_token_counts": token_counts.op1,
+    "op3_mixing": mixing.op3,
     "op4_toxicity": toxicity.op4,
+    "op5_token_output": token_output.op5,
     "op6_quality_model": quality_model.op6,
     "op7_secret_scan": secret_scan.op7,
     "op8_line_rules": line_rules.op8,
