@@ -1,9 +1,10 @@
 """Queries of the training-data operators and their oracle SQL."""
 
-from sentrylake.llm import decontaminate, line_rules, mixing, quality_model, secret_scan, token_counts, token_output, toxicity
+from sentrylake.llm import decontaminate, line_rules, mixing, quality_model, secret_scan, token_counts, token_output, toxicity, warc
 
 QUERIES = {
     "op1_token_counts": token_counts.op1,
+    "op2_warc": warc.op2,
     "op3_mixing": mixing.op3,
     "op4_toxicity": toxicity.op4,
     "op5_token_output": token_output.op5,
@@ -13,5 +14,6 @@ QUERIES = {
     "op9_decontaminate": decontaminate.op9,
 }
 ORACLES = {
+    "op2_warc": warc.OP2_SQL,
     "op9_decontaminate": decontaminate.OP9_SQL,
 }
