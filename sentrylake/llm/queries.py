@@ -1,6 +1,6 @@
 """Queries of the training-data operators and their oracle SQL."""
 
-from sentrylake.llm import decontaminate, line_rules, mixing, quality_model, secret_scan, token_counts, token_output, toxicity, warc
+from sentrylake.llm import decontaminate, jaccard_join, line_rules, mixing, quality_model, secret_scan, token_counts, token_output, toxicity, warc
 
 QUERIES = {
     "op1_token_counts": token_counts.op1,
@@ -12,6 +12,7 @@ QUERIES = {
     "op7_secret_scan": secret_scan.op7,
     "op8_line_rules": line_rules.op8,
     "op9_decontaminate": decontaminate.op9,
+    "op10_jaccard_join": jaccard_join.op10,
 }
 ORACLES = {
     "op2_warc": warc.OP2_SQL,
