@@ -27,12 +27,13 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from sentrylake.llm.common import texts_of
+from sentrylake.llm.common import text_key, texts_of
 from sentrylake.operators.correlate import connected_components
 from sentrylake.session import materialize
 
 WORDS = 3
 PERCENT = 90
+WORD = r"[^\x20\x09-\x0D]"
 FILTER_BITS = 24
 MEMO = 400_000
 
@@ -182,7 +183,7 @@ def shared_filter(rows, bits=FILTER_BITS):
 
 
 def member_rows(documents, table, words=WORDS, percent=PERCENT, bits=FILTER_BITS):
-    """(doc_id, n_shingles, fp, hits, shingles): hits are the signatures that pass the filter; shingles where there are any."""
+    """(doc_id, key, n_shingles, fp, hits, shingles): hits are the signatures that pass the filter; shingles where there are any."""
     shared = documents.sparkSession.sparkContext.broadcast(table)
 
     def run(batches):
@@ -190,19 +191,19 @@ def member_rows(documents, table, words=WORDS, percent=PERCENT, bits=FILTER_BITS
         seen = shared.value.view(np.uint64)
         none = np.zeros(0, np.uint64)
         for part in _slices(batches):
-            sets = [shingles_of(t, hashes, words) for t in texts_of(part.column(1))]
+            sets = [shingles_of(t, hashes, words) for t in texts_of(part.column(2))]
             hits = []
             for s in sets:
                 sigs = enum.of(s)
                 at = sigs >> np.uint64(64 - bits)
                 hits.append(sigs[(seen[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63)) & np.uint64(1)).astype(bool)])
             yield pa.RecordBatch.from_arrays([
-                part.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([fingerprint(s) for s in sets], pa.int64()),
+                part.column(0), part.column(1), pa.array([len(s) for s in sets], pa.int64()), pa.array([fingerprint(s) for s in sets], pa.int64()),
                 _lists(hits), _lists([s if len(h) else none for s, h in zip(sets, hits)]),
-            ], ["doc_id", "n_shingles", "fp", "hits", "shingles"])
+            ], ["doc_id", "key", "n_shingles", "fp", "hits", "shingles"])
 
-    return documents.select("doc_id", "text").mapInArrow(
-        run, "doc_id long, n_shingles long, fp long, hits array<long>, shingles array<long>")
+    return documents.select("doc_id", text_key().alias("key"), "text").mapInArrow(
+        run, "doc_id long, key binary, n_shingles long, fp long, hits array<long>, shingles array<long>")
 
 
 def hub_pairs(members):
@@ -259,6 +260,17 @@ def residual_links(found, percent=PERCENT):
     return both.filter(_similar(different, F.col("_nx") + F.col("_ny"), percent)).select(F.col("x").alias("a"), F.col("y").alias("b"))
 
 
+def _components(documents, words, percent):
+    """(doc_id, n_shingles, key, _c): the component of every document; `key` stands for its text."""
+    table = shared_filter(signature_rows(documents, words, percent))
+    members = materialize(member_rows(documents, table, words, percent))
+    found = materialize(compared(hub_pairs(members), members, percent))
+    links = found.filter("linked").select(F.col("fp").alias("a"), F.col("hub").alias("b")).unionAll(residual_links(found, percent))
+    joined = connected_components(links)
+    rows = members.select("doc_id", "n_shingles", "key", "fp").join(joined.withColumnRenamed("node", "fp"), "fp", "left")
+    return materialize(rows.select("doc_id", "n_shingles", "key", F.coalesce("component", "fp").alias("_c")))
+
+
 def jaccard_components(documents, words=WORDS, percent=PERCENT):
     """One row per document: doc_id, n_shingles, component_id (smallest doc_id reachable by links, its own included).
 
@@ -266,17 +278,29 @@ def jaccard_components(documents, words=WORDS, percent=PERCENT):
     is no smallest id; a component without any other has a null component_id.
     Repeated rows are answered one by one.
     """
-    table = shared_filter(signature_rows(documents, words, percent))
-    members = materialize(member_rows(documents, table, words, percent))
-    found = materialize(compared(hub_pairs(members), members, percent))
-    links = found.filter("linked").select(F.col("fp").alias("a"), F.col("hub").alias("b")).unionAll(residual_links(found, percent))
-    joined = connected_components(links)
-    rows = members.select("doc_id", "n_shingles", "fp").join(joined.withColumnRenamed("node", "fp"), "fp", "left")
-    rows = materialize(rows.select("doc_id", "n_shingles", F.coalesce("component", "fp").alias("_c")))
+    rows = _components(documents, words, percent)
     smallest = rows.filter("n_shingles > 0").groupBy("_c").agg(F.min("doc_id").alias("component_id"))
     alone = rows.filter("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
     return rows.filter("n_shingles > 0").join(smallest, "_c").select("doc_id", "n_shingles", "component_id").unionAll(alone)
 
 
+def first_of_each(documents, words=WORDS, percent=PERCENT):
+    """One document, with all its columns, of each component: the smallest doc_id (null last).
+
+    Documents without words are in no component and all stay.
+    """
+    rows = _components(documents, words, percent)
+    rows = rows.filter("n_shingles > 0").groupBy("_c", "doc_id", "key").agg(F.count("*").alias("n"))
+    order = F.struct(F.col("doc_id").isNull(), "doc_id", "key")
+    lead = rows.groupBy("_c").agg(F.min_by(F.struct("doc_id", "key", "n"), order).alias("k"))
+    lead = lead.select(F.col("k.doc_id").alias("_d"), F.col("k.key").alias("_k"), F.col("k.n").alias("_n"))
+    own = [F.col(f"`{c}`") for c in documents.columns]
+    table = documents.select(F.struct(*own).alias("_row"), text_key().alias("_key"), F.coalesce("text", F.lit("")).rlike(WORD).alias("_any"))
+    found = table.filter("_any").join(lead, F.col("_row.doc_id").eqNullSafe(F.col("_d")) & (F.col("_key") == F.col("_k")))
+    # rows that repeat id and text: the one with the smallest hash of all columns
+    several = found.filter("_n > 1").groupBy("_d", "_k").agg(F.min_by("_row", F.xxhash64("_row")).alias("_row"))
+    return table.filter("not _any").select("_row.*").unionAll(found.filter("_n = 1").select("_row.*")).unionAll(several.select("_row.*"))
+
+
 def op10(spark, folder):
     return jaccard_components(spark.read.parquet(f"{folder}/documents.parquet"))
