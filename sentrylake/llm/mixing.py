@@ -57,12 +57,11 @@ def source_targets(sizes, weights=WEIGHTS, percent=TOTAL_PERCENT, most=MOST_PASS
 
 
 def fit_budget(sizes, stock, budget):
-    """How many documents of each size to take so that their words come nearest to `budget` from below.
+    """How many documents of each size to take so that their words come nearest to `budget`.
 
     `sizes` ascending and positive, `stock` documents of each. The even share
     comes first. The rest goes to larger sizes while it exceeds the table of
-    the dynamic program, and to the program's best fill then; a set that comes
-    nearer from above by one further document is taken instead.
+    the dynamic program, and to the program's best fill then.
     """
     sizes, stock = np.asarray(sizes, np.int64), np.asarray(stock, np.int64)
     total = int((sizes * stock).sum())
@@ -77,34 +76,31 @@ def fit_budget(sizes, stock, budget):
         more = min(int(stock[k] - take[k]), max(0, (rest - DP_CELLS // 2) // int(sizes[k])))
         take[k] += more
         rest -= more * int(sizes[k])
-    take += _knapsack(sizes, stock - take, min(rest, DP_CELLS))
-    rest = budget - int((sizes * take).sum())
-    over = [(int(s) - rest, k) for k, s in enumerate(sizes) if take[k] < stock[k] and 0 < s - rest < rest]
-    if over:
-        take[min(over)[1]] += 1
-    return take
+    return take + _knapsack(sizes, stock - take, min(rest, DP_CELLS))
 
 
 def _knapsack(sizes, stock, budget):
-    """Bounded knapsack: counts whose sum is the largest reachable one up to `budget`."""
+    """Bounded knapsack: counts whose sum is the reachable one nearest to `budget` (the smaller of two)."""
     take = np.zeros(len(sizes), np.int64)
     if budget <= 0:
         return take
+    cells = 2 * budget  # a sum beyond is farther than none
     # of each reachable sum: the lot of documents added last (its size and number); lots are 1, 2, 4, ... documents
-    reached = np.zeros(budget + 1, bool)
+    reached = np.zeros(cells + 1, bool)
     reached[0] = True
-    last, lot = np.zeros(budget + 1, np.int32), np.zeros(budget + 1, np.int32)
+    last, lot = np.zeros(cells + 1, np.int32), np.zeros(cells + 1, np.int32)
     for k in range(len(sizes) - 1, -1, -1):
         size, number = int(sizes[k]), 1
-        left = min(int(stock[k]), budget // size)
+        left = min(int(stock[k]), cells // size)
         while left > 0 and not reached[budget]:
             number = min(number, left)
             step = number * size
-            fresh = np.flatnonzero(reached[: budget + 1 - step] & ~reached[step:]) + step
+            fresh = np.flatnonzero(reached[: cells + 1 - step] & ~reached[step:]) + step
             reached[fresh], last[fresh], lot[fresh] = True, k, number
             left -= number
             number *= 2
-    at = int(np.flatnonzero(reached)[-1])
+    sums = np.flatnonzero(reached)
+    at = int(sums[np.argmin(np.abs(sums - budget))])
     while at:
         k, number = int(last[at]), int(lot[at])
         take[k] += number

@@ -2,10 +2,10 @@
 
 A candidate is a long run of token characters with letters and digits that
 follows a sensitive word. Its novelty is what it adds to the compressed size
-of the text around it, per character, under a compressor primed with a
+of the text before it, per character, under a compressor primed with a
 dictionary of common identifiers: a repeated or guessable string adds little,
 a random one nearly its entropy. Candidates above `NOVELTY` that no pattern
-found are reported as spans of kind "novel".
+found, and their repetitions, are reported as spans of kind "novel".
 """
 
 import hashlib
@@ -56,14 +56,13 @@ class Novelty:
         self.size = lambda data, z=zstandard.ZstdCompressor(level=3, dict_data=primed): len(z.compress(data))
 
     def of(self, text, start, end):
-        before, after = text[max(0, start - AROUND) : start].encode(), text[end : end + AROUND].encode()
-        candidate = text[start:end].encode()
-        return (self.size(before + candidate + after) - self.size(before + after)) / len(candidate)
+        before, candidate = text[max(0, start - AROUND) : start].encode(), text[start:end].encode()
+        return (self.size(before + candidate) - self.size(before)) / len(candidate)
 
 
 def novel_spans(text, known, novelty):
     """Candidates after a sensitive word, apart from the `known` spans, that hardly compress."""
-    found, at, stop = [], 0, -1
+    found, novel, at, stop = [], set(), 0, -1
     for m in _CANDIDATE.finditer(text):
         start, end = m.span()
         while at < len(known) and known[at][0] < end:
@@ -74,7 +73,8 @@ def novel_spans(text, known, novelty):
             continue
         if not (any(c.isdigit() for c in token) and any(c.isalpha() for c in token)):
             continue
-        if _SENSITIVE.search(text, max(0, start - NEAR), start) and novelty.of(text, start, end) >= NOVELTY:
+        if _SENSITIVE.search(text, max(0, start - NEAR), start) and (token in novel or novelty.of(text, start, end) >= NOVELTY):
+            novel.add(token)
             found.append((start, 3, end))
     return found
 

@@ -15,11 +15,13 @@ from zlib import crc32
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import regex
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from sentrylake.llm.common import texts_of
+from sentrylake.llm.token_counts import byte_alphabet
 from sentrylake.session import checkpoint_root
 
 END = 2
@@ -29,25 +31,54 @@ PAGE_BYTES = 256 << 10
 
 # white space of ASCII ends a word for the tokenizer, whatever stands around it
 _GAP = re.compile("[ \t\n\r\x0b\x0c]+")
+# a special string may begin here, or a character beyond the plain ones
+_OTHER = re.compile(r"<\||[^\x00-\u024f]")
+# fixed values: the split of the word vocabulary, and the names of bytes in byte-level vocabularies
+_PIECE = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
+_BYTE_NAMES = byte_alphabet()
+
+
+class PieceIds(dict):
+    """Piece in lower case -> its ids as little-endian 32-bit integers, by the library's model; up to MEMO pieces."""
+
+    def __init__(self, tokenizer):
+        self.tokenize = tokenizer.model.tokenize
+
+    def __missing__(self, piece):
+        if len(self) >= MEMO:
+            self.clear()
+        if not piece.isascii() or not piece.isprintable():
+            name = piece.encode().decode("latin-1").translate(_BYTE_NAMES)
+        else:
+            name = piece
+        found = self[piece] = b"".join([t.id.to_bytes(4, "little") for t in self.tokenize(name)])
+        return found
 
 
 class WordIds(dict):
-    """Word -> its ids as little-endian 32-bit integers, remembered up to MEMO words."""
+    """Word -> its ids as little-endian 32-bit integers; up to MEMO words.
+
+    Words are brought to lower case and split into pieces as the tokenizer file
+    says: here where that is plain (letters up to U+024F, which are composed
+    already and change case one by one), by the whole tokenizer elsewhere.
+    """
 
     def __init__(self, tokenizer):
-        self.tokenizer = tokenizer
+        self.tokenizer, self.pieces = tokenizer, PieceIds(tokenizer)
+
+    def __missing__(self, word):
+        if len(self) >= MEMO:
+            self.clear()
+        if _OTHER.search(word):
+            found = np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
+        else:
+            found = b"".join(map(self.pieces.__getitem__, _PIECE.findall(word.lower())))
+        self[word] = found
+        return found
 
     def of_text(self, text):
-        """The ids of a text; words not met before are encoded together."""
-        words = _GAP.split(text)
-        new = [w for w in set(words) if w not in self]
-        if new:
-            if len(self) + len(new) > MEMO:
-                self.clear()
-                new = list(set(words))
-            for word, found in zip(new, self.tokenizer.encode_batch(new, add_special_tokens=False)):
-                self[word] = np.array(found.ids, "<u4").tobytes()
-        return b"".join(map(self.__getitem__, words))
+        """The ids of a text."""
+        return b"".join(map(self.__getitem__, _GAP.split(text)))
 
 
 _ENCODERS = {}
