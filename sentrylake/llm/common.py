@@ -77,3 +77,18 @@ def train_in_one_task(sample, fit, ddl):
 
     found = sample.repartition(1).sortWithinPartitions("_order", "doc_id").mapInArrow(run, ddl).collect()
     return found or fit(iter(())).to_pylist()  # an empty sample may have no task at all
+
+
+def bit_table(hashes, bits):
+    """(word, bits): a bit set of fixed size, 2**bits, of the 64-bit `hash` column; at most 2**(bits - 6) rows."""
+    at = F.shiftrightunsigned("hash", 64 - bits)
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), at.bitwiseAND(F.lit(63)).cast("int"))
+    return hashes.groupBy(F.shiftrightunsigned("hash", 70 - bits).alias("_word")).agg(F.bit_or(bit).alias("_bits"))
+
+
+def with_maybe(rows, hash, table, bits):
+    """`rows` with `_maybe`: false only where no hash in the table equals `hash`; broadcast, as its size is fixed by `bits`."""
+    keyed = rows.withColumn("_at", F.shiftrightunsigned(hash, 64 - bits)).withColumn("_word", F.shiftrightunsigned("_at", 6))
+    found = keyed.join(F.broadcast(table), "_word", "left")
+    held = F.call_function("shiftright", F.col("_bits"), F.col("_at").bitwiseAND(F.lit(63)).cast("int")).bitwiseAND(F.lit(1).cast("long")) == 1
+    return found.withColumn("_maybe", F.coalesce(held, F.lit(False))).drop("_at", "_word", "_bits")

@@ -18,7 +18,7 @@ from pyarrow import fs
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from sentrylake.llm.common import SLICE
+from sentrylake.llm.common import SLICE, bit_table, with_maybe
 from sentrylake.session import checkpoint_root, materialize
 
 REVISIT_BYTES = 1000
@@ -26,6 +26,7 @@ FILE_BYTES = 256 << 20
 RANGE_BYTES = 8 << 20
 GAP_BYTES = 64 << 10
 LEVEL = 4
+FILTER_BITS = 22
 DATE = "1970-01-01T00:00:00Z"  # pages carry no time of capture
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
@@ -81,17 +82,22 @@ def decide_records(pages, revisit_bytes=REVISIT_BYTES):
     same = ["digest", "_check", "size"]
     counted = rows.filter(F.col("size") >= revisit_bytes).groupBy(*same, "page_id", "url").agg(F.count("*").alias("_n"))
     key = F.struct("page_id", "url", "_n")
-    groups = counted.groupBy(*same).agg(F.max(key).alias("_lead"), F.sum("_n").alias("_all")).filter("_all > 1").drop("_all")
-    found = rows.join(groups, same, "left")
+    groups = materialize(
+        counted.groupBy(*same).agg(F.max(key).alias("_lead"), F.sum("_n").alias("_all")).filter("_all > 1").drop("_all"))
+    # most pages are in no group: they are told by a bit set and need no shuffle
+    table = bit_table(groups.select(F.col("_check").alias("hash")), FILTER_BITS)
+    rows = with_maybe(rows, F.col("_check"), table, FILTER_BITS)
+    names = ["page_id", "url", "html", "size", "digest", "leader", "leads"]
+    alone = rows.filter("not _maybe").withColumns({"leader": F.lit(None).cast("string"), "leads": F.lit(False)}).select(*names)
+    found = rows.filter("_maybe").join(groups, same, "left")
     first = F.col("page_id").eqNullSafe(F.col("_lead.page_id")) & F.col("url").eqNullSafe(F.col("_lead.url"))
     name = F.md5(F.concat_ws("\n", "digest", F.col("_lead.page_id").cast("string"), "_lead.url"))
     found = found.withColumn("leader", F.when(F.col("_lead").isNotNull(), name))
-    several = F.col("_lead").isNotNull() & first & (F.col("_lead._n") > 1)
-    sure = found.filter(~F.coalesce(several, F.lit(False))).withColumn("leads", F.coalesce(first & F.col("_lead").isNotNull(), F.lit(False)))
+    several = F.coalesce(F.col("_lead").isNotNull() & first & (F.col("_lead._n") > 1), F.lit(False))
+    sure = found.filter(~several).withColumn("leads", F.coalesce(first & F.col("_lead").isNotNull(), F.lit(False))).select(*names)
     number = F.row_number().over(Window.partitionBy("leader").orderBy("page_id"))
-    tied = found.filter(several).withColumn("leads", number == 1)
-    names = ["page_id", "url", "html", "size", "digest", "leader", "leads"]
-    return sure.select(*names).unionAll(tied.select(*names))
+    tied = found.filter(several).withColumn("leads", number == 1).select(*names)
+    return alone.unionAll(sure).unionAll(tied)
 
 
 def write_archives(pages, root, revisit_bytes=REVISIT_BYTES, file_bytes=FILE_BYTES):

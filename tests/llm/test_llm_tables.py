@@ -2,6 +2,7 @@
 
 import os
 import re
+import uuid
 from ast import literal_eval
 from collections import Counter, defaultdict
 
@@ -89,7 +90,7 @@ def test_warc_edge_cases(spark):
     rows = [(1, "u", same), (2, "u\r\nv: w", same), (2, "u\r\nv: w", same), (None, None, same), (3, None, None), (3, None, ""), (4, "u", "é" * 600),
             (5, "u", "é" * 600), (6, "s", "abc"), (7, "s", "abc"), (8, "b", "\r\n\r\nWARC/1.1\r\n" * 400)]
     pages = spark.createDataFrame([(*r, 0, "q") for r in rows], "page_id long, url string, html string, size int, digest string")
-    root = f"{checkpoint_root(spark)}/warc-test"
+    root = f"{checkpoint_root(spark)}/warc-{uuid.uuid4().hex}"
     index = warc.write_archives(pages, root, file_bytes=600)
     records = warc.read_records(index, root)
     by_page = {r.page_id: r for r in records.filter("record_type = 'response'").collect()}
@@ -278,8 +279,8 @@ def test_pipeline_stages(spark, folder, documents):
     docs = documents.withColumn("_row", F.lit("x")).withColumn("size", F.lit(1))
     for name, stage in corpus_pipeline.STAGES[:-1]:
         out = stage(spark, docs, folder)
-        path = f"{checkpoint_root(spark)}/test-{name}"
-        out.write.mode("overwrite").parquet(path)
+        path = f"{checkpoint_root(spark)}/test-{uuid.uuid4().hex}"
+        out.write.parquet(path)
         after = spark.read.parquet(path)
         assert after.columns == docs.columns and 0 < after.count()
         if name != "mixing":
