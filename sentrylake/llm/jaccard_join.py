@@ -27,14 +27,14 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from sentrylake.llm.common import text_key, texts_of
+from sentrylake.llm.common import bit_table, text_key, texts_of, with_maybe
 from sentrylake.operators.correlate import connected_components
-from sentrylake.session import materialize
+from sentrylake.session import discard, materialize
 
 WORDS = 3
 PERCENT = 90
 WORD = r"[^\x20\x09-\x0D]"
-FILTER_BITS = 24
+FILTER_BITS = 25
 MEMO = 400_000
 
 _MIX = (np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
@@ -65,10 +65,11 @@ def shingles_of(text, hashes, words=WORDS):
         return np.zeros(0, np.uint64)
     each = np.fromiter(map(hashes.__getitem__, found), np.uint64, len(found))
     size = min(words, len(found))
-    total = np.zeros(len(found) - size + 1, np.uint64)
+    total = np.full(len(found) - size + 1, size, np.uint64)
     for k in range(size):
-        total = mixed(total * _ODD + each[k : len(found) - size + 1 + k] + np.uint64(size))
-    return np.unique(total)
+        total *= _ODD
+        total += each[k : len(found) - size + 1 + k]
+    return np.unique(mixed(total))
 
 
 class Band:
@@ -82,24 +83,23 @@ class Band:
             self.n1, self.n2, self.k2, self.spare = 1, self.k + 2, self.k, 0
         else:
             self.spare = 1 if self.k >= 4 else 0
-            self.n1, self.n2, self.k2 = self.k // 2 + 1 + self.spare, 3, 1
+            self.n1, self.k2 = self.k // 2 + 1 + self.spare, 1
+            # two parts make fewer signatures, three make them more selective
+            self.n2 = 2 if high >= 8 * 2 * self.n1 else 3
         self.choices = np.array(list(combinations(range(self.n2), self.n2 - self.k2)))
-        seed = np.uint64(number * 1_000_003 + 1)
-        self.seed = mixed(np.array([seed]))[0]
+        self.seed = mixed(np.array([number * 1_000_003 + 1], np.uint64)) | np.uint64(1)
         cells = np.arange(self.n1 * self.n2, dtype=np.uint64)
         self.code = mixed((cells + np.uint64(1)) * _ODD + self.seed).reshape(self.n1, self.n2)
         self.mark = mixed(np.arange(len(self.choices), dtype=np.uint64) * _ODD + self.seed)
 
     def signatures(self, shingles):
         cells = self.n1 * self.n2
-        cell = (mixed(shingles + self.seed) % np.uint64(cells)).astype(np.int64)
-        low = np.bincount(cell, (shingles & np.uint64(0xFFFFFFFF)).astype(np.float64), cells)
-        high = np.bincount(cell, (shingles >> np.uint64(32)).astype(np.float64), cells)
-        total = low.astype(np.uint64) + (high.astype(np.uint64) << np.uint64(32))
-        empty = (np.bincount(cell, minlength=cells) == 0).reshape(self.n1, self.n2)
-        parts = mixed(total.reshape(self.n1, self.n2) + self.code)
+        cell = ((shingles * self.seed >> np.uint64(32)) * np.uint64(cells) >> np.uint64(32)).astype(np.int64)
+        # elements are sorted, so equal parts give equal sums
+        total = np.bincount(cell, (shingles >> np.uint64(20)).astype(np.float64), cells).reshape(self.n1, self.n2)
+        parts = mixed(total.astype(np.uint64) + self.code)
         chosen = mixed(parts[:, self.choices].sum(axis=2, dtype=np.uint64) + self.mark)
-        void = empty[:, self.choices].all(axis=2)
+        void = (total == 0)[:, self.choices].all(axis=2)
         # similar sets agree in more than `spare` partitions: unless that many have an empty
         # choice, they also share a signature with elements in it
         if void.any(axis=1).sum() <= self.spare:
@@ -152,77 +152,66 @@ def _slices(batches):
             yield batch.slice(start, STEP)
 
 
-def signature_rows(documents, words=WORDS, percent=PERCENT):
-    """(fp, sigs) of every document's set."""
+def set_rows(documents, words=WORDS, percent=PERCENT):
+    """(doc_id, key, n_shingles, fp, sigs) of every document; `key` stands for the text, `fp` for the set."""
 
     def run(batches):
         hashes, enum = WordHashes(), PartEnum(percent)
         for part in _slices(batches):
-            sets = [shingles_of(t, hashes, words) for t in texts_of(part.column(0))]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([fingerprint(s) for s in sets], pa.int64()), _lists([enum.of(s) for s in sets])], ["fp", "sigs"])
+            sets = [shingles_of(t, hashes, words) for t in texts_of(part.column(2))]
+            yield pa.RecordBatch.from_arrays([
+                part.column(0), part.column(1), pa.array([len(s) for s in sets], pa.int64()),
+                pa.array([fingerprint(s) for s in sets], pa.int64()), _lists([enum.of(s) for s in sets]),
+            ], ["doc_id", "key", "n_shingles", "fp", "sigs"])
 
-    return documents.select("text").mapInArrow(run, "fp long, sigs array<long>")
+    return documents.select("doc_id", text_key().alias("key"), "text").mapInArrow(
+        run, "doc_id long, key binary, n_shingles long, fp long, sigs array<long>")
 
 
-def shared_filter(rows, bits=FILTER_BITS):
-    """A bit table (of set size, whatever the input) of the signatures that two different sets have.
+def shared_signatures(rows):
+    """(sig, fp): the signatures that two different sets have, with the sets that have them."""
+    sigs = rows.select("fp", F.explode("sigs").alias("sig"))
+    pairs = sigs.groupBy("sig").agg(F.min("fp").alias("a"), F.max("fp").alias("b"))
+    shared = materialize(pairs.filter("a < b").select("sig"))
+    # most signatures are of one set only: a bit set keeps most of these from the second shuffle
+    table = bit_table(shared.select(F.col("sig").alias("hash")), FILTER_BITS)
+    maybe = with_maybe(sigs, F.col("sig"), table, FILTER_BITS).filter("_maybe").select("sig", "fp")
+    return materialize(maybe.join(shared, "sig").distinct())
 
-    Another signature passes it by chance; none of the shared ones is lost.
-    """
-    shared = (
-        rows.select("fp", F.explode("sigs").alias("sig")).groupBy("sig").agg(F.min("fp").alias("a"), F.max("fp").alias("b"))
-        .filter("a < b").select(F.shiftrightunsigned("sig", 64 - bits).alias("at"))
-    )
-    words = shared.groupBy((F.col("at") / 64).cast("long").alias("word")).agg(
-        F.bit_or(F.expr("shiftleft(1L, cast(at % 64 as int))")).alias("bits"))
-    table = np.zeros(1 << (bits - 6), np.int64)
-    for row in words.toLocalIterator():
-        table[row["word"]] = row["bits"]
-    return table
-
-
-def member_rows(documents, table, words=WORDS, percent=PERCENT, bits=FILTER_BITS):
-    """(doc_id, key, n_shingles, fp, hits, shingles): hits are the signatures that pass the filter; shingles where there are any."""
-    shared = documents.sparkSession.sparkContext.broadcast(table)
 
-    def run(batches):
-        hashes, enum = WordHashes(), PartEnum(percent)
-        seen = shared.value.view(np.uint64)
-        none = np.zeros(0, np.uint64)
-        for part in _slices(batches):
-            sets = [shingles_of(t, hashes, words) for t in texts_of(part.column(2))]
-            hits = []
-            for s in sets:
-                sigs = enum.of(s)
-                at = sigs >> np.uint64(64 - bits)
-                hits.append(sigs[(seen[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63)) & np.uint64(1)).astype(bool)])
-            yield pa.RecordBatch.from_arrays([
-                part.column(0), part.column(1), pa.array([len(s) for s in sets], pa.int64()), pa.array([fingerprint(s) for s in sets], pa.int64()),
-                _lists(hits), _lists([s if len(h) else none for s, h in zip(sets, hits)]),
-            ], ["doc_id", "key", "n_shingles", "fp", "hits", "shingles"])
+def hub_pairs(shared):
+    """(fp, hub): every set with the hubs of its groups; the hub is the member with most shared signatures."""
+    scored = shared.join(shared.groupBy("fp").agg(F.count("*").alias("score")), "fp")
+    hubs = scored.groupBy("sig").agg(F.max(F.struct("score", "fp"))["fp"].alias("hub"))
+    return materialize(shared.join(hubs, "sig").filter("fp <> hub").select("fp", "hub").distinct())
 
-    return documents.select("doc_id", text_key().alias("key"), "text").mapInArrow(
-        run, "doc_id long, key binary, n_shingles long, fp long, hits array<long>, shingles array<long>")
 
+def sets_of(documents, rows, pairs, words=WORDS):
+    """(fp, shingles) of the sets in `pairs`, from one text of each."""
+    wanted = pairs.select("fp").unionAll(pairs.select(F.col("hub").alias("fp"))).distinct()
+    keys = materialize(rows.select("fp", "key").join(wanted, "fp").groupBy("fp").agg(F.min("key").alias("key")))
+    table = bit_table(keys.select(F.xxhash64("key").alias("hash")), FILTER_BITS)
+    texts = documents.select("text", text_key().alias("key"))
+    maybe = with_maybe(texts, F.xxhash64("key"), table, FILTER_BITS).filter("_maybe")
+    once = maybe.groupBy("key").agg(F.first("text").alias("text")).join(keys, "key").select("fp", "text")
+
+    def run(batches):
+        hashes = WordHashes()
+        for part in _slices(batches):
+            sets = [shingles_of(t, hashes, words) for t in texts_of(part.column(1))]
+            yield pa.RecordBatch.from_arrays([part.column(0), _lists(sets)], ["fp", "shingles"])
 
-def hub_pairs(members):
-    """(fp, hub): every set with the hubs of its groups; the hub is the member with most hits."""
-    rows = members.filter(F.size("hits") > 0).select("fp", F.size("hits").alias("score"), F.explode("hits").alias("sig"))
-    hubs = rows.groupBy("sig").agg(
-        F.max(F.struct("score", "fp"))["fp"].alias("hub"), F.min("fp").alias("a"), F.max("fp").alias("b")).filter("a < b")
-    return rows.join(hubs.select("sig", "hub"), "sig").filter("fp <> hub").select("fp", "hub").distinct()
+    return materialize(once.mapInArrow(run, "fp long, shingles array<long>"))
 
 
-def compared(pairs, members, percent=PERCENT):
+def compared(pairs, sets, percent=PERCENT):
     """(fp, hub, size, linked, apart): `apart` are the elements in one of both sets only."""
-    sets = materialize(
-        members.filter(F.size("hits") > 0).groupBy("fp").agg(F.first("shingles").alias("shingles")))
     both = pairs.join(sets, "fp").join(sets.select(F.col("fp").alias("hub"), F.col("shingles").alias("_hub")), "hub")
     apart = both.select(
         "fp", "hub", F.size("shingles").alias("size"), F.size("_hub").alias("_other"),
         F.concat(F.array_except("shingles", "_hub"), F.array_except("_hub", "shingles")).alias("apart"))
-    return apart.withColumn("linked", _similar(F.size("apart"), F.col("size") + F.col("_other"), percent)).drop("_other")
+    linked = _similar(F.size("apart"), F.col("size") + F.col("_other"), percent)
+    return materialize(apart.withColumn("linked", linked).drop("_other"))
 
 
 def _similar(different, sizes, percent):
@@ -262,13 +251,19 @@ def residual_links(found, percent=PERCENT):
 
 def _components(documents, words, percent):
     """(doc_id, n_shingles, key, _c): the component of every document; `key` stands for its text."""
-    table = shared_filter(signature_rows(documents, words, percent))
-    members = materialize(member_rows(documents, table, words, percent))
-    found = materialize(compared(hub_pairs(members), members, percent))
+    sets = materialize(set_rows(documents, words, percent))
+    shared = shared_signatures(sets)
+    rows = materialize(sets.drop("sigs"))
+    discard(sets)
+    pairs = hub_pairs(shared)
+    discard(shared)
+    arrays = sets_of(documents, rows, pairs, words)
+    found = compared(pairs, arrays, percent)
+    discard(arrays)
     links = found.filter("linked").select(F.col("fp").alias("a"), F.col("hub").alias("b")).unionAll(residual_links(found, percent))
     joined = connected_components(links)
-    rows = members.select("doc_id", "n_shingles", "key", "fp").join(joined.withColumnRenamed("node", "fp"), "fp", "left")
-    return materialize(rows.select("doc_id", "n_shingles", "key", F.coalesce("component", "fp").alias("_c")))
+    found = rows.join(joined.withColumnRenamed("node", "fp"), "fp", "left")
+    return materialize(found.select("doc_id", "n_shingles", "key", F.coalesce("component", "fp").alias("_c")))
 
 
 def jaccard_components(documents, words=WORDS, percent=PERCENT):
