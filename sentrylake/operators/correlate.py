@@ -40,47 +40,41 @@ def event_entities(events: DataFrame) -> DataFrame:
     )
 
 
-def connected_components(edges: DataFrame, max_rounds=60) -> DataFrame:
+def connected_components(edges: DataFrame) -> DataFrame:
     """(node, component): the smallest node id of each component.
 
     Alternates two star contractions (each node points its larger neighbours,
     then its smaller ones, at the smallest id it knows), which needs
-    O(log^2 n) rounds at any graph diameter. The edge count never grows;
-    minima combine on the map side, and every round is written to shared
-    storage, so a lost executor costs one round at most.
+    O(log^2 n) rounds at any graph diameter, until a round changes nothing. The
+    edge count never grows; minima combine on the map side, and every half
+    round is written to shared storage once, so a lost executor costs that at most.
     """
     pairs = lambda df: df.filter("a <> b").distinct()
+    state = lambda df: df.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b"))).first()
     current = materialize(
         pairs(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")))
     )
-    for _ in range(max_rounds):
+    before = state(current)
+    while True:
         both = current.unionByName(current.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.min("b").alias("m")).withColumn("m", F.least("a", "m"))
-        large = (
+        # every (a, b) has b < a from here on, so b is a smaller neighbour of a
+        large = materialize(
             both.filter("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
         )
-        # every (a, b) now has b < a, so b is a smaller neighbour of a
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         joined = large.join(low, "a")
-        small = pairs(
+        following = materialize(pairs(
             joined.select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(
                 low.select("a", F.col("m").alias("b"))
             )
-        )
-        following = materialize(small)
-        stars = following.groupBy("a").agg(F.count("*").alias("n"))
-        roots = following.select(F.col("b").alias("a")).distinct()
-        unfinished = (
-            stars.filter("n > 1").select("a").unionByName(
-                roots.join(following.select("a").distinct(), "a", "left_semi")
-            )
-        )
-        done = unfinished.limit(1).count() == 0
+        ))
         discard(current)
-        current = following
-        if done:
+        discard(large)
+        current, after = following, state(following)
+        if after == before:
             return current.select(F.col("a").alias("node"), F.col("b").alias("component"))
-    raise RuntimeError("components did not settle")
+        before = after
 
 
 def correlate_incidents(candidates: DataFrame, gap=V.CORRELATION_GAP) -> DataFrame:
@@ -156,15 +150,11 @@ def incident_entities(members: DataFrame) -> DataFrame:
     )
 
 
-INLINE_LIMIT = 10_000
-
-
-def build_incidents(members: DataFrame, inline_limit=INLINE_LIMIT, numbered=True) -> DataFrame:
+def build_incidents(members: DataFrame, numbered=True) -> DataFrame:
     """One row per incident, numbered by (start, -size).
 
-    Sorted entity lists are inlined up to `inline_limit` entries per incident
-    and kind; a longer one is null here and whole in `incident_entities`.
-    Counts are always exact.
+    Entities are counted here and listed, one row each, by `incident_entities`;
+    `entity_heads` gives the first few for display.
     """
     facts = members.groupBy("component").agg(
         F.min("timestamp").alias("time_start"),
@@ -182,36 +172,21 @@ def build_incidents(members: DataFrame, inline_limit=INLINE_LIMIT, numbered=True
           for k, p in (("user", "users"), ("host", "hosts"), ("process", "processes"))],
         F.count_if((F.col("entity_type") == "user") & ~F.col("entity").endswith("$")).alias("n_people"),
     )
-    short = bridge.groupBy("component", "entity_type").agg(F.count("*").alias("_n")).filter(
-        F.col("_n") <= inline_limit
-    )
-    when_kind = lambda k: F.sort_array(
-        F.collect_list(F.when(F.col("entity_type") == k, F.col("entity")))
-    )
-    lists = bridge.join(short, ["component", "entity_type"], "left_semi").groupBy("component").agg(
-        when_kind("user").alias("users"), when_kind("host").alias("hosts"),
-        when_kind("process").alias("processes"),
-    )
-    empty = F.array().cast("array<string>")
     zero = lambda c: F.coalesce(F.col(c), F.lit(0))
-    inline = lambda c: F.when(
-        zero(f"n_{c}") <= inline_limit, F.coalesce(F.col(c), empty)
-    ).alias(c)
     rows = (
         facts.join(counts, "component", "left")
-        .join(lists, "component", "left")
         .select(
             *facts.columns,
             F.greatest(F.lit(1), F.col("time_end") - F.col("time_start")).alias("duration_sec"),
             (F.size("agents_involved") > 1).cast("int").alias("is_multi_agent"),
             zero("n_users").alias("n_users"), zero("n_hosts").alias("n_hosts"),
             zero("n_processes").alias("n_processes"), zero("n_people").alias("n_people"),
-            inline("users"), inline("hosts"), inline("processes"),
         )
     )
     if not numbered:
         return rows
     order = [F.col("time_start"), F.col("event_count").desc(), F.col("component")]
+    rows = materialize(rows)  # numbering reads its input twice
     return number_rows(rows, order, "incident_no").withColumn(
         "incident_id", F.format_string("INC-%04d", "incident_no")
     ).drop("incident_no")

@@ -82,12 +82,15 @@ def ratio_features(windows: DataFrame) -> DataFrame:
 DELTAS = {"delta_total_events": "total_events", "delta_auth_fails": "auth_fail", "delta_procs": "is_proc"}
 
 
+BLOCK_WINDOWS = 4096
+
+
 def delta_features(windows: DataFrame, dense=False, split="split") -> DataFrame:
-    """Change against the previous window; 0 for the first.
+    """Change against the previous window of the split; 0 for its first.
 
-    Sparse (default): the previous non-empty window of the split. Dense: the
-    window just before, absent counting as 0. Rows here are windows, so their
-    number is bounded by the time span.
+    Sparse (default): the previous non-empty window. Dense: the window just
+    before, absent counting as 0. Windows are compared inside blocks, and the
+    first of a block with the last of the block before, one row a block.
     """
     keys = [split] if split in windows.columns else []
     if dense:
@@ -98,31 +101,45 @@ def delta_features(windows: DataFrame, dense=False, split="split") -> DataFrame:
         joined = windows.join(before, [*keys, "window_id"], "left")
         change = {d: F.col(c) - F.coalesce(F.col(f"_{d}"), F.lit(0)) for d, c in DELTAS.items()}
         return joined.withColumns(change).drop(*[f"_{d}" for d in DELTAS])
-    order = W.partitionBy(*[F.col(k) for k in keys] or [F.lit(0)]).orderBy("window_id")
-    return windows.withColumns(
-        {d: F.coalesce(F.col(c) - F.lag(c).over(order), F.lit(0)) for d, c in DELTAS.items()}
-    )
+    values = F.struct(*DELTAS.values())
+    blocked = windows.withColumn("_block", F.floor(F.col("window_id") / BLOCK_WINDOWS))
+    inside = W.partitionBy(*keys, "_block").orderBy("window_id")
+    across = W.partitionBy(*keys).orderBy("_block")
+    ends = blocked.groupBy(*keys, "_block").agg(F.max_by(values, "window_id").alias("_last"))
+    carried = ends.select(*keys, "_block", F.lag("_last").over(across).alias("_carried"))
+    rows = blocked.withColumn("_before", F.lag(values).over(inside)).join(carried, [*keys, "_block"])
+    before = F.coalesce("_before", "_carried")
+    return rows.withColumns(
+        {d: F.coalesce(F.col(c) - before[c], F.lit(0)) for d, c in DELTAS.items()}
+    ).drop("_block", "_before", "_carried")
 
 
 def densify_windows(windows: DataFrame, first=None, last=None, fill=None) -> DataFrame:
     """Every window id from first to last; missing windows are all zeros."""
-    bounds = windows.agg(F.min("window_id").alias("lo"), F.max("window_id").alias("hi"))
-    lo = F.col("lo") if first is None else F.lit(first)
-    hi = F.col("hi") if last is None else F.lit(last)
-    grid = bounds.select(F.explode(F.sequence(lo.cast("bigint"), hi.cast("bigint"))).alias("window_id"))
+    lo, hi = windows.agg(F.min("window_id"), F.max("window_id")).first()
+    if lo is None:
+        return windows
+    lo, hi = lo if first is None else first, hi if last is None else last
+    grid = windows.sparkSession.range(lo, hi + 1).withColumnRenamed("id", "window_id")
     columns = fill or [c for c in windows.columns if c != "window_id"]
     return grid.join(windows, "window_id", "left").withColumns(
         {c: F.coalesce(F.col(c), F.lit(0)) for c in columns}
     )
 
 
-def window_features(indicated: DataFrame, size=SIZE, origin=ORIGIN, dense=False) -> DataFrame:
-    """The 23 model features and the label of each window."""
+def window_features(indicated: DataFrame, size=SIZE, origin=ORIGIN, dense=False, split=None) -> DataFrame:
+    """The 23 model features and the label of each window.
+
+    `split`, a column of window_id, cuts the windows into slices that are
+    treated apart: the first window of a slice has no window before it.
+    """
     base = tumbling_features(indicated, size, origin)
     if dense:
         base = densify_windows(base)
+    if split is not None:
+        base = base.withColumn("split", split)
     return delta_features(ratio_features(base), dense=dense).select(
-        "window_id", *V.WINDOW_FEATURES, "label"
+        "window_id", *V.WINDOW_FEATURES, "label", *(["split"] if split is not None else [])
     )
 
 

@@ -198,16 +198,17 @@ def _grow(features, depth, seed):
 def isolation_forest(train: DataFrame, features, trees=100, sample=256, seed=42, key="window_id"):
     """Trees as a table. Each tree takes the `sample` rows with the lowest per-tree hash.
 
-    A row enters a tree's lottery only if its hash is below a share that leaves
-    about four times the sample, falling back to all rows for small tables, so
-    the rows sent on are bounded by trees * sample, not by the table.
+    A row enters the lottery of those trees for which its hash is below a share
+    that leaves about eight times the sample, so the rows sent on are bounded by
+    trees * sample, not by the table.
     """
     total = train.count()
-    share = 1.0 if total <= sample * 8 else sample * 4.0 / total
-    bound = int((share - 0.5) * 2 * (2**63 - 1)) if share < 1.0 else 2**63 - 1
-    lots = train.select(key, *features).withColumn(
-        "tree", F.explode(F.sequence(F.lit(0), F.lit(trees - 1)))
-    ).withColumn("_h", F.xxhash64(F.lit(seed), "tree", key)).filter(F.col("_h") <= bound)
+    bound = min(2**63 - 1, int((min(1.0, sample * 8.0 / max(1, total)) - 0.5) * 2**64))
+    drawn = F.filter(
+        F.sequence(F.lit(0), F.lit(trees - 1)), lambda t: F.xxhash64(F.lit(seed), t, F.col(key)) <= F.lit(bound)
+    )
+    lots = train.select(key, *features, F.explode(drawn).alias("tree")).withColumn(
+        "_h", F.xxhash64(F.lit(seed), "tree", key))
     picked = top_k_per_group(lots, ["tree"], [F.col("_h"), F.col(key)], sample)
     depth = int(np.ceil(np.log2(max(2, min(sample, total)))))
     return picked.groupBy("tree").applyInPandas(_grow(list(features), depth, seed), TREE_SCHEMA)

@@ -9,7 +9,7 @@ from sentrylake.functions.scale import gap_segments, recent_counts
 from sentrylake.functions.text import basename, fired, longest_label, shannon_entropy
 from sentrylake.operators.baselines import Baseline
 from sentrylake.operators.triage import auth_failure, flow_bytes, flow_duration, unusual_protocol
-from sentrylake.session import store_if_large
+from sentrylake.session import materialize
 
 FINDING_COLUMNS = [
     "event_id", "timestamp", "event_type", "user", "source_user",
@@ -98,14 +98,12 @@ def auth_specialist(events: DataFrame, base: Baseline, threats=None, safe=None)
         F.lit(V.BURST_MORE_THAN),
         F.coalesce(F.floor(F.col("mean") + 2 * F.col("std")), F.lit(V.BURST_MORE_THAN)),
     ).cast("bigint")
-    # few keys burst: on large input written first, so that its exact size decides the join
-    bursts = store_if_large(
+    bursts = (
         recent_counts(rows, ["user"], V.AUTH_BURST_SECONDS)
         .filter(F.col("n_recent") > V.BURST_MORE_THAN)
         .join(base.velocity, "user", "left")
         .select("user", "timestamp", "n_recent", limit.alias("burst_limit"))
-        .filter(F.col("n_recent") > F.col("burst_limit")),
-        rows,
+        .filter(F.col("n_recent") > F.col("burst_limit"))
     )
     rows = with_flags(
         rows, safe, [("user", "user", "_safe_user"), ("host", "source_host", "_safe_src")]
@@ -160,11 +158,8 @@ def auth_specialist(events: DataFrame, base: Baseline, threats=None, safe=None)
 
 def process_specialist(events: DataFrame, base: Baseline, threats=None, safe=None) -> DataFrame:
     rows = events.filter(F.lower("event_type") == "process")
-    bursts = store_if_large(
-        recent_counts(rows, ["source_host"], V.PROCESS_BURST_SECONDS).filter(
-            F.col("n_recent") > V.BURST_MORE_THAN
-        ),
-        rows,
+    bursts = recent_counts(rows, ["source_host"], V.PROCESS_BURST_SECONDS).filter(
+        F.col("n_recent") > V.BURST_MORE_THAN
     )
     lower = rows.withColumn("process_lower", F.lower("process"))
     lower = with_flags(
@@ -261,14 +256,14 @@ def dga_hit(name):
 def network_specialist(events: DataFrame, base: Baseline, threats=None, safe=None) -> DataFrame:
     """Flagged DNS and flow events, with the beacon bonus on the last one per beaconing host.
 
-    Only events to beaconing hosts are scored a second time to find the last
-    flagged one.
+    Events are scored once; the flagged ones are written, and those to beaconing
+    hosts among them give the last one.
     """
     rows = events.filter(F.lower("event_type").isin("dns", "flow"))
-    found = store_if_large(beacons(rows), rows)
-    flagged = score_network(rows, base, threats, safe)
-    suspects = rows.join(found.select("destination_host"), "destination_host", "left_semi")
-    return add_beacons(flagged, score_network(suspects, base, threats, safe), found)
+    found = beacons(rows)
+    flagged = materialize(score_network(rows, base, threats, safe))
+    suspects = flagged.join(found.select("destination_host"), "destination_host", "left_semi")
+    return add_beacons(flagged, suspects, found)
 
 
 def score_network(rows: DataFrame, base: Baseline, threats=None, safe=None) -> DataFrame:

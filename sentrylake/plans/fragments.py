@@ -159,9 +159,9 @@ FROM (SELECT *, least(55.0::DOUBLE, max_risk * 3.5::DOUBLE + ln(1 + sum_risk) *
   least(20.0::DOUBLE, greatest(0, n_hosts - 1) * 4.0::DOUBLE) AS reach_bonus, least(20.0::DOUBLE, log2(n + 1) * 4.0::DOUBLE) AS vol FROM inc))""", "inc")
 
 # lists
-fragment("iocs", "SELECT DISTINCT 'user' AS type, usr AS value FROM ev WHERE is_extreme = 1 UNION "
-         "SELECT DISTINCT 'host', dst FROM ev WHERE is_extreme = 1 AND dst IS NOT NULL UNION "
-         "SELECT DISTINCT 'process', proc FROM ev WHERE is_extreme = 1 AND proc IS NOT NULL", "ev")
+fragment("iocs", "SELECT DISTINCT 'user' AS type, usr AS value FROM ev WHERE md5(usr) LIKE '7%' UNION "
+         "SELECT DISTINCT 'host', dst FROM ev WHERE md5(dst) LIKE '7%' UNION "
+         "SELECT DISTINCT 'process', proc FROM ev WHERE md5(proc) LIKE '7%'", "ev")
 fragment("verd", """
 SELECT o_orderkey AS seq, 'INC-' || o_custkey AS incident_id, 'U' || o_custkey AS usr, 'C' || length(o_orderpriority) AS host,
   CASE o_orderstatus WHEN 'O' THEN 'watch' WHEN 'F' THEN 'safe' END AS lst FROM orders""")
@@ -192,13 +192,13 @@ SELECT *, auth_fail / (is_auth + 1e-5::DOUBLE) AS auth_fail_rate, auth_ntlm / (i
   "user" / (destination_host + 1e-5::DOUBLE) AS user_to_host_ratio,
   CAST(is_auth > 0 AS INT) + CAST(is_proc > 0 AS INT) + CAST(is_dns > 0 AS INT) + CAST(is_flow > 0 AS INT) AS active_sources,
   CAST(CAST(is_auth > 0 AS INT) + CAST(is_proc > 0 AS INT) + CAST(is_dns > 0 AS INT) + CAST(is_flow > 0 AS INT) >= 2 AS INT) AS multi_source_flag,
-  ln(1 + is_auth) * ln(1 + is_proc) AS auth_proc_interaction, ln(1 + is_auth) * ln(1 + is_flow) AS auth_flow_interaction
+  ln(1 + is_auth) * ln(1 + is_proc) AS auth_proc_interaction, ln(1 + is_auth) * ln(1 + is_flow) AS auth_flow_interaction,
+  CASE WHEN window_id * {size} + 691200 < 702000 THEN 'train' WHEN window_id * {size} + 691200 < 707400 THEN 'validation' ELSE 'test' END AS split
 FROM {name}""", name)
     fragment(f"{name}_f", f"""
 SELECT *, coalesce(total_events - lag(total_events) OVER w, 0) AS delta_total_events,
-  coalesce(auth_fail - lag(auth_fail) OVER w, 0) AS delta_auth_fails, coalesce(is_proc - lag(is_proc) OVER w, 0) AS delta_procs,
-  CASE WHEN window_id * {size} + 691200 < 702000 THEN 'train' WHEN window_id * {size} + 691200 < 707400 THEN 'validation' ELSE 'test' END AS split
-FROM {name}_r WINDOW w AS (ORDER BY window_id)""", f"{name}_r")
+  coalesce(auth_fail - lag(auth_fail) OVER w, 0) AS delta_auth_fails, coalesce(is_proc - lag(is_proc) OVER w, 0) AS delta_procs
+FROM {name}_r WINDOW w AS (PARTITION BY split ORDER BY window_id)""", f"{name}_r")
 
 
 windows("win", 300, "is_redteam")

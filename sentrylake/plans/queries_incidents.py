@@ -39,9 +39,9 @@ register("incident_members", lambda w: w.members.select("event_id", "component",
          "SELECT event_id, component, CAST(risk AS BIGINT) AS risk_score FROM mem", ["mem"])
 register("incident_entities", lambda w: w.bridge, "SELECT * FROM bridge", ["bridge"])
 register("build_incidents", lambda w: w.incidents.select(
-    "incident_id", "component", "time_start", "time_end", "duration_sec", "event_count", "users", "hosts", "processes", "sources",
+    "incident_id", "component", "time_start", "time_end", "duration_sec", "event_count", "n_users", "n_hosts", "n_processes", "sources",
     "agents_involved", "is_multi_agent", "max_risk", "sum_risk"), """
-SELECT incident_id, component, t0 AS time_start, t1 AS time_end, dur AS duration_sec, n AS event_count, users, hosts, processes, sources, agents AS agents_involved,
+SELECT incident_id, component, t0 AS time_start, t1 AS time_end, dur AS duration_sec, n AS event_count, n_users, n_hosts, n_processes, sources, agents AS agents_involved,
   CAST(n_agents > 1 AS BIGINT) AS is_multi_agent, CAST(max_risk AS BIGINT) AS max_risk, sum_risk FROM inc""", ["inc"])
 register("incident_base_risk", lambda w: C.incident_base_risk(w.incidents).select("component", "base_risk"), """
 SELECT component, CAST(least(100, trunc(max_risk * 5 + greatest(0, sum_risk - max_risk) * 0.4::DOUBLE + n_sources * 5)) AS BIGINT) AS base_risk FROM inc""", ["inc"])

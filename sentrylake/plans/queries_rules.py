@@ -253,8 +253,8 @@ SELECT unnest([regexp_extract(url, '^https?://([^/]+)', 1), md5(url), substr(md5
 register("normalize_ioc_type", lambda w: threat_rows(w.events).withColumn("kind", L.normalize_ioc_type(F.col("type"))).groupBy("type", "kind").agg(
     F.count("*").alias("indicators")), """
 SELECT type, kind, count(*) AS indicators FROM (
- SELECT 'Account' AS type, 'user' AS kind FROM ev WHERE is_extreme = 1 UNION ALL SELECT 'ip', 'host' FROM ev WHERE is_extreme = 1 AND dst IS NOT NULL
- UNION ALL SELECT 'binary', 'process' FROM ev WHERE is_extreme = 1 AND proc IS NOT NULL) GROUP BY 1, 2""", ["ev"])
+ SELECT 'Account' AS type, 'user' AS kind FROM ev WHERE md5(usr) LIKE '7%' UNION ALL SELECT 'ip', 'host' FROM ev WHERE md5(dst) LIKE '7%'
+ UNION ALL SELECT 'binary', 'process' FROM ev WHERE md5(proc) LIKE '7%') GROUP BY 1, 2""", ["ev"])
 register("ioc_match", lambda w: L.ioc_match(w.events.select("event_id", "user"), w.iocs, "user", "user"),
          'SELECT event_id, usr AS "user" FROM ev WHERE usr IN (SELECT value FROM badu)', ["ev", "badu"])
 quiet = lambda w: w.events.filter("is_redteam = 1 and event_type = 'auth'").select(F.lit("Users").alias("type"), F.concat(F.col("user"), F.lit(" ")).alias("value"))

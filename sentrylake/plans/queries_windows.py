@@ -34,7 +34,7 @@ register("ratio_features", lambda w: X.ratio_features(X.tumbling_features(w.indi
 SELECT window_id, round(auth_fail_rate, 6) AS auth_fail_rate, round(auth_ntlm_rate, 6) AS auth_ntlm_rate, round(user_to_host_ratio, 6) AS user_to_host_ratio,
  CAST(active_sources AS BIGINT) AS active_sources, CAST(multi_source_flag AS BIGINT) AS multi_source_flag, round(auth_proc_interaction, 6) AS auth_proc_interaction,
  round(auth_flow_interaction, 6) AS auth_flow_interaction FROM win_r""", ["win_r"])
-register("window_features", lambda w: X.window_features(w.indicated), feature_sql("window_features", "win_f"), ["win_f"])
+register("window_features", lambda w: X.window_features(w.indicated, split=w.split_of(300)).drop("split"), feature_sql("window_features", "win_f"), ["win_f"])
 register("window_features_from_first_event", lambda w: X.tumbling_features(
     w.indicated.filter(F.col("timestamp") > TRAIN_END), origin=X.origin_of(w.events.filter(F.col("timestamp") > TRAIN_END))).select(
     "window_id", "total_events", "auth_fail", "user"), """
@@ -42,13 +42,13 @@ SELECT (ts - (SELECT min(ts) FROM ev WHERE ts > 702000)) // 300 AS window_id, co
  count(DISTINCT usr) AS "user" FROM ind WHERE ts > 702000 GROUP BY 1""", ["ind"])
 register("delta_features", lambda w: w.ml_windows.select("window_id", "delta_total_events", "delta_auth_fails", "delta_procs"),
          "SELECT window_id, delta_total_events, delta_auth_fails, delta_procs FROM mlw_f", ["mlw_f"])
-evening = lambda w: w.indicated.filter(F.col("corr_host") < "H2")
-fragment("part_w", "SELECT (ts - 691200) // 30 AS window_id, count(*) AS total_events, sum(auth_fail) AS auth_fail, sum(is_proc) AS is_proc FROM ind WHERE corr_host < 'H2' GROUP BY 1", "ind")
+seconds = lambda w: X.tumbling_features(w.indicated, 1)  # short enough to leave gaps
+fragment("part_w", "SELECT ts - 691200 AS window_id, count(*) AS total_events, sum(auth_fail) AS auth_fail, sum(is_proc) AS is_proc FROM ind GROUP BY 1", "ind")
 fragment("densew", "SELECT d AS window_id, coalesce(total_events, 0) AS total_events, coalesce(auth_fail, 0) AS auth_fail, coalesce(is_proc, 0) AS is_proc FROM "
          "(SELECT unnest(range((SELECT min(window_id) FROM part_w), (SELECT max(window_id) FROM part_w) + 1)) AS d) LEFT JOIN part_w ON d = window_id", "part_w")
-register("densify_windows", lambda w: X.densify_windows(X.tumbling_features(evening(w), 30)).select("window_id", "total_events", "auth_fail", "is_proc"), """
+register("densify_windows", lambda w: X.densify_windows(seconds(w)).select("window_id", "total_events", "auth_fail", "is_proc"), """
 SELECT window_id, CAST(total_events AS BIGINT) AS total_events, CAST(auth_fail AS BIGINT) AS auth_fail, CAST(is_proc AS BIGINT) AS is_proc FROM densew""", ["densew"])
-register("delta_features_dense", lambda w: X.delta_features(X.densify_windows(X.tumbling_features(evening(w), 30)), dense=True).select(
+register("delta_features_dense", lambda w: X.delta_features(X.densify_windows(seconds(w)), dense=True).select(
     "window_id", "delta_total_events", "delta_auth_fails", "delta_procs"), """
 SELECT window_id, CAST(total_events - coalesce(lag(total_events) OVER (ORDER BY window_id), 0) AS BIGINT) AS delta_total_events,
  CAST(auth_fail - coalesce(lag(auth_fail) OVER (ORDER BY window_id), 0) AS BIGINT) AS delta_auth_fails,

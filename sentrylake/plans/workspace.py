@@ -126,15 +126,13 @@ class Workspace:
     @cached_property
     def windows(self) -> DataFrame:
         """Five-minute windows with features, label and split."""
-        rows = X.window_features(self.indicated)
-        return materialize(rows.withColumn("split", self.split_of(V.WINDOW_SECONDS)))
+        return materialize(X.window_features(self.indicated, split=self.split_of(V.WINDOW_SECONDS)))
 
     @cached_property
     def ml_windows(self) -> DataFrame:
         """Half-minute windows with the rarer label, for models."""
         indicated = self.indicated.withColumn("is_redteam", F.col("is_extreme"))
-        rows = X.window_features(indicated, size=ML_WINDOW)
-        return materialize(rows.withColumn("split", self.split_of(ML_WINDOW)))
+        return materialize(X.window_features(indicated, size=ML_WINDOW, split=self.split_of(ML_WINDOW)))
 
     def split_of(self, size):
         start = F.col("window_id") * size + V.STUDY_ORIGIN

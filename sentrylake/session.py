@@ -53,21 +53,6 @@ def materialize(df: DataFrame) -> DataFrame:
     return out
 
 
-STORE_ABOVE = "spark.sentrylake.storeAboveBytes"
-
-
-def store_if_large(df: DataFrame, source: DataFrame) -> DataFrame:
-    """Write a sparse lookup table before it is joined to the wide rows of a large `source`.
-
-    The exact size of the written table can turn a shuffle of the wide rows
-    into a broadcast. Below the limit (256 MB of `source` by the planner's estimate) the
-    extra job would cost more than that shuffle.
-    """
-    limit = int(df.sparkSession.conf.get(STORE_ABOVE, str(256 << 20)))
-    estimate = int(str(source._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return materialize(df) if estimate > limit else df
-
-
 def discard(df: DataFrame) -> None:
     """Delete a table written by `materialize` that nothing reads any more."""
     path = getattr(df, "_stored_at", None)

@@ -96,13 +96,12 @@ def red_team_labels(events: DataFrame) -> DataFrame:
 
 
 def threat_rows(events: DataFrame) -> DataFrame:
-    """A raw threat list: everything an extreme event touched, under type synonyms."""
-    bad = events.filter(F.col("is_extreme") == 1)
+    """A raw threat list, under type synonyms: a sixteenth of all entities by a hash of their names, whatever their label."""
     item = lambda c, kind: F.struct(F.col(c).alias("indicator"), F.lit(kind).alias("type"))
     return (
-        bad.select(F.explode(F.array(
+        events.select(F.explode(F.array(
             item("user", "Account"), item("destination_host", "ip"), item("process", "binary"))).alias("i"))
-        .select("i.*").filter(F.col("indicator").isNotNull())
+        .select("i.*").filter(F.md5("indicator").startswith("7"))
     )
 
 

@@ -9,7 +9,6 @@ from sentrylake.functions.text import detail_number, present
 from sentrylake.operators.explore import day_of, hour_of
 from sentrylake.sources.readers import infer_from_row
 
-CANONICAL_OF = {name: target for target, names in V.COLUMN_SYNONYMS.items() for name in names}
 TEXT_COLUMNS = [c for c in V.EVENT_COLUMNS if c not in ("timestamp", "is_redteam")]
 
 
@@ -17,7 +16,7 @@ def column_plan(columns):
     """{external name: canonical name}; the first column of a target wins."""
     plan = {}
     for c in columns:
-        target = CANONICAL_OF.get(c.strip().lower().replace(" ", "_").replace("-", "_"))
+        target = V.COLUMN_SYNONYMS.get(c.strip().lower().replace(" ", "_").replace("-", "_"))
         if target and target not in plan.values():
             plan[c] = target
     return plan
