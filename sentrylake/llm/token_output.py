@@ -25,7 +25,7 @@ from sentrylake.llm.token_counts import byte_alphabet
 from sentrylake.session import checkpoint_root
 
 END = 2
-MEMO = 500_000
+MEMO = 250_000
 ROW_GROUP_BYTES = 16 << 20
 PAGE_BYTES = 256 << 10
 
