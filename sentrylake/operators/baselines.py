@@ -8,7 +8,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from sentrylake.functions import fixed_values as V
-from sentrylake.functions.scale import weighted_percentile
+from sentrylake.functions.scale import gap_segments, weighted_percentile
 from sentrylake.functions.text import detail_number
 from sentrylake.session import materialize
 
@@ -100,19 +100,24 @@ def auth_velocity(events: DataFrame, window_seconds=V.WINDOW_SECONDS) -> DataFra
 
     A window opens at an event and takes everything up to `window_seconds`
     later; the next event opens the next one. Rows are counted per second
-    first, so a user contributes at most one row per second of the data's time
-    span however many events it has; the sorted fold streams them with O(1)
-    state.
+    first. A gap longer than a window ends the open one, so the segments of a
+    user between such gaps are folded apart, by different tasks, with O(1) state.
     """
     per_second = (
         events.filter((F.lower("event_type") == "auth") & F.col("user").isNotNull())
         .groupBy("user", "timestamp")
         .agg(F.count("*").alias("n"))
     )
+    segments = gap_segments(per_second, ["user"], window_seconds).select("user", "timestamp", "segment")
+    # the segment goes in front of the name: one key for the fold, taken apart again after it
+    keyed = per_second.join(segments, ["user", "timestamp"]).select(
+        F.concat_ws(" ", "segment", "user").alias("user"), "timestamp", "n")
     folded = (
-        per_second.repartition("user")
+        keyed.repartition("user")
         .sortWithinPartitions("user", "timestamp")
         .mapInPandas(_greedy_windows(window_seconds), VELOCITY_STATE)
+        .groupBy(F.expr("substring(user, locate(' ', user) + 1)").alias("user"))
+        .agg(*[F.sum(c).alias(c) for c in ("windows", "total", "squares")])
     )
     mean = F.col("total") / F.col("windows")
     spread = F.sqrt(F.greatest(F.lit(0.0), F.col("squares") / F.col("windows") - mean * mean))

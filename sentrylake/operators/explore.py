@@ -5,7 +5,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from sentrylake.functions import fixed_values as V
-from sentrylake.functions.scale import block_of, top_k_per_group, weighted_percentile
+from sentrylake.functions.scale import block_of, group_quantiles, top_k_per_group
 
 
 def day_of(ts="timestamp"):
@@ -262,11 +262,9 @@ def action_counts(rows: DataFrame, k=20) -> DataFrame:
 
 def time_quantiles_by_type(rows: DataFrame) -> DataFrame:
     seconds = rows.groupBy("event_type", "timestamp").agg(F.count("*").alias("w"))
-    at = lambda p: weighted_percentile(F.col("timestamp"), p, F.col("w"))
-    return seconds.groupBy("event_type").agg(
-        F.min("timestamp").alias("t_min"), at(0.25).alias("q1"), at(0.5).alias("median"),
-        at(0.75).alias("q3"), F.max("timestamp").alias("t_max"),
-    )
+    ends = seconds.groupBy("event_type").agg(F.min("timestamp").alias("t_min"), F.max("timestamp").alias("t_max"))
+    inner = group_quantiles(seconds, ["event_type"], "timestamp", "w", {"q1": 0.25, "median": 0.5, "q3": 0.75})
+    return ends.join(inner, "event_type").select("event_type", "t_min", "q1", "median", "q3", "t_max")
 
 
 def label_hour_histogram(labels: DataFrame, split=None) -> DataFrame:

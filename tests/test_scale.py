@@ -232,22 +232,6 @@ def test_joins_of_rules_are_keyed(spark, folder):
     assert plan_of(S.auth_specialist(w.events, w.baseline, w.iocs)).count("BroadcastNestedLoopJoin") == 1
 
 
-def test_large_input_stores_sparse_keys_and_broadcasts_them(spark, folder):
-    from sentrylake.session import STORE_ABOVE
-
-    w = workspace(spark, folder)
-    plain = T.triage(w.events).select("event_id", "risk_score")
-    spark.conf.set(STORE_ABOVE, "0")
-    try:
-        stored = T.triage(w.events).select("event_id", "risk_score")
-        auth = S.auth_specialist(w.events, w.baseline, w.iocs)
-    finally:
-        spark.conf.unset(STORE_ABOVE)
-    # no wide row is shuffled when all key tables are small
-    assert "SortMergeJoin" not in plan_of(stored) and "SortMergeJoin" not in plan_of(auth)
-    assert plain.exceptAll(stored).count() == 0 and stored.exceptAll(plain).count() == 0
-
-
 def test_filters_and_columns_reach_the_scan(spark, folder):
     src = spark.read.parquet(f"{folder}/events.parquet")
     from sentrylake.sources.driver_tables import canonical_of
