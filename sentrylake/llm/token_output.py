@@ -25,7 +25,7 @@ from sentrylake.llm.token_counts import byte_alphabet
 from sentrylake.session import checkpoint_root
 
 END = 2
-MEMO = 250_000
+MEMO = 400_000
 ROW_GROUP_BYTES = 16 << 20
 PAGE_BYTES = 256 << 10
 
@@ -103,10 +103,12 @@ def encode_ids(documents, spec, end=END):
     @F.arrow_udf("array<int>")
     def ids(column: pa.Array) -> pa.Array:
         encoder = encoder_of(shared.value)
-        encoded = [encoder.of_text(t) + tail for t in texts_of(column)]
-        offsets = np.zeros(len(encoded) + 1, np.int32)
-        np.cumsum([len(e) // 4 for e in encoded], out=offsets[1:])
-        values = pa.Array.from_buffers(pa.int32(), int(offsets[-1]), [None, pa.py_buffer(b"".join(encoded))])
+        offsets, encoded = np.zeros(len(column) + 1, np.int32), bytearray()
+        for k, text in enumerate(texts_of(column)):
+            encoded += encoder.of_text(text)
+            encoded += tail
+            offsets[k + 1] = len(encoded) // 4
+        values = pa.Array.from_buffers(pa.int32(), len(encoded) // 4, [None, pa.py_buffer(encoded)])
         return pa.ListArray.from_arrays(pa.array(offsets), values)
 
     return documents.select("doc_id", ids("text").alias("ids"))
