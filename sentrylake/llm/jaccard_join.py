@@ -299,3 +299,21 @@ def first_of_each(documents, words=WORDS, percent=PERCENT):
 
 def op10(spark, folder):
     return jaccard_components(spark.read.parquet(f"{folder}/documents.parquet"))
+
+
+OP10_SQL = r"""
+WITH RECURSIVE d AS (
+  SELECT row_number() OVER () AS r, doc_id,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                            '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (
+  SELECT DISTINCT r, array_to_string(w[k : k + least(3, len(w)) - 1], ' ') AS g
+  FROM (SELECT r, w, unnest(range(1, greatest(len(w) - 2, 1) + 1)) AS k FROM d WHERE len(w) > 0)),
+n AS (SELECT r, count(*) AS n FROM s GROUP BY r),
+met AS (SELECT a.r AS a, b.r AS b, count(*) AS i FROM s a JOIN s b ON a.g = b.g AND a.r <> b.r GROUP BY 1, 2),
+links AS (
+  SELECT a, b FROM met JOIN n x ON x.r = a JOIN n y ON y.r = b WHERE 100 * i >= 90 * (x.n + y.n - i)),
+reach AS (SELECT r, r AS c FROM d UNION SELECT reach.r, links.b FROM reach JOIN links ON links.a = reach.c)
+SELECT any_value(d.doc_id) AS doc_id, CAST(any_value(coalesce(n.n, 0)) AS BIGINT) AS n_shingles, min(o.doc_id) AS component_id
+FROM reach JOIN d ON d.r = reach.r JOIN d o ON o.r = reach.c LEFT JOIN n ON n.r = reach.r GROUP BY reach.r
+"""

@@ -17,4 +17,5 @@ QUERIES = {
 ORACLES = {
     "op2_warc": warc.OP2_SQL,
     "op9_decontaminate": decontaminate.OP9_SQL,
+    "op10_jaccard_join": jaccard_join.OP10_SQL,
 }
