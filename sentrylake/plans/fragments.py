@@ -142,7 +142,7 @@ SELECT component, min(ts) AS t0, max(ts) AS t1, greatest(1, max(ts) - min(ts)) A
 FROM mem GROUP BY component""", "mem")
 fragment("inc", "SELECT *, 'INC-' || CASE WHEN no < 10000 THEN lpad(CAST(no AS VARCHAR), 4, '0') ELSE CAST(no AS VARCHAR) END AS incident_id "
          "FROM (SELECT *, row_number() OVER (ORDER BY t0, n DESC, component) AS no FROM inc0)", "inc0")
-fragment("scored", """
+SCORED = """
 SELECT *, CASE WHEN risk_score >= 75 THEN 'Critical' WHEN risk_score >= 50 THEN 'High' WHEN risk_score >= 25 THEN 'Medium' ELSE 'Low' END AS severity,
   CASE WHEN risk_v1 >= 75 THEN 'Critical' WHEN risk_v1 >= 50 THEN 'High' WHEN risk_v1 >= 25 THEN 'Medium' ELSE 'Low' END AS risk_level,
   CASE WHEN confidence_v1 >= 70 THEN 'High' WHEN confidence_v1 >= 40 THEN 'Medium' ELSE 'Low' END AS confidence_level
@@ -156,7 +156,8 @@ FROM (SELECT *,
   CAST(least(100.0::DOUBLE, round_even(least(50.0::DOUBLE, n_sources * 12.5::DOUBLE) + vol + 15.0::DOUBLE
      + CASE WHEN dur > 300 AND n >= 5 THEN 15.0 WHEN n >= 3 THEN 8.0 ELSE 0.0 END::DOUBLE, 0)) AS BIGINT) AS confidence_v1
 FROM (SELECT *, least(55.0::DOUBLE, max_risk * 3.5::DOUBLE + ln(1 + sum_risk) * 5.0::DOUBLE) AS base,
-  least(20.0::DOUBLE, greatest(0, n_hosts - 1) * 4.0::DOUBLE) AS reach_bonus, least(20.0::DOUBLE, log2(n + 1) * 4.0::DOUBLE) AS vol FROM inc))""", "inc")
+  least(20.0::DOUBLE, greatest(0, n_hosts - 1) * 4.0::DOUBLE) AS reach_bonus, least(20.0::DOUBLE, log2(n + 1) * 4.0::DOUBLE) AS vol FROM %s))"""
+fragment("scored", SCORED % "inc", "inc")
 
 # lists
 fragment("iocs", "SELECT DISTINCT 'user' AS type, usr AS value FROM ev WHERE md5(usr) LIKE '7%' UNION "

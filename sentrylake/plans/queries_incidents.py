@@ -9,7 +9,8 @@ from sentrylake.operators import incidents as I
 from sentrylake.operators import lists as L
 from sentrylake.operators import variants as VA
 from sentrylake.plans import queries_rules  # noqa: F401  (its SQL fragments are used here)
-from sentrylake.plans.fragments import fragment
+from sentrylake.plans.fragments import SCORED, fragment
+from sentrylake.plans.investigate import investigate
 from sentrylake.plans.registry import register
 from sentrylake.sources.driver_tables import verdict_log
 
@@ -87,6 +88,28 @@ JOIN (SELECT m, count(DISTINCT e) AS h FROM {cc} JOIN gent ON event_id = n WHERE
 graph_query("graph_alert_clusters", 600)
 graph_query("graph_alert_clusters_short_gap", 1)
 
+# ---- the whole chain on specialist findings, real users and both hosts ---------------------------
+
+fragment("icand", "SELECT f.agent, f.risk, f.rules, e.event_id, e.ts, e.event_type, e.usr, e.src, e.dst, e.proc FROM finds f JOIN ev e USING (event_id)", "finds", "ev")
+fragment("ient", "SELECT event_id, ts, 'u' || usr AS e FROM icand UNION ALL SELECT event_id, ts, 'h' || src FROM icand UNION ALL "
+         "SELECT event_id, ts, 'h' || dst FROM icand WHERE dst IS NOT NULL AND dst <> src", "icand")
+fragment("inxt", "SELECT event_id AS a, lead(event_id) OVER w AS b, lead(ts) OVER w - ts AS gap FROM ient WINDOW w AS (PARTITION BY e ORDER BY ts, event_id)", "ient")
+fragment("ilnk", "SELECT a, b FROM inxt WHERE gap <= 600 UNION SELECT b, a FROM inxt WHERE gap <= 600", "inxt")
+fragment("icc(n, m) USING KEY (n)", "SELECT event_id, event_id FROM icand UNION SELECT l.b, min(r.m) FROM icc r JOIN ilnk l ON l.a = r.n "
+         "JOIN recurring.icc p ON p.n = l.b WHERE r.m < p.m GROUP BY l.b", "ilnk")
+fragment("imem", "SELECT c.*, m AS component FROM icand c JOIN icc ON n = event_id WHERE m IN (SELECT m FROM icc JOIN icand ON n = event_id GROUP BY 1 "
+         "HAVING count(*) >= 3 OR max(risk) >= 5)", "icc(n, m) USING KEY (n)")
+fragment("iinc", """
+SELECT component, min(ts) AS t0, max(ts) AS t1, greatest(1, max(ts) - min(ts)) AS dur, count(*) AS n, max(risk) AS max_risk, CAST(sum(risk) AS BIGINT) AS sum_risk,
+  count(DISTINCT event_type) AS n_sources, count(DISTINCT agent) AS n_agents, count(DISTINCT usr) AS n_users, any_value(h) AS n_hosts, count(DISTINCT proc) AS n_processes,
+  0 AS has_burst
+FROM imem JOIN (SELECT component, count(DISTINCT e) AS h FROM imem JOIN ient USING (event_id) WHERE e LIKE 'h%' GROUP BY 1) USING (component) GROUP BY component""", "imem")
+fragment("iscored", SCORED % "iinc", "iinc")
+register("investigation", lambda w: investigate(w.events, w.baseline, w.iocs).responses.select(
+    "component", "time_start", "time_end", "event_count", "n_users", "n_hosts", "n_processes", "max_risk", "sum_risk", "risk_score", "confidence_score", "severity"), """
+SELECT component, t0 AS time_start, t1 AS time_end, n AS event_count, n_users, n_hosts, n_processes, CAST(max_risk AS BIGINT) AS max_risk, sum_risk, risk_score,
+  confidence_score, severity FROM iscored""", ["iscored"])
+
 # ---- incident scoring and review ----------------------------------------------------------------
 
 register("incident_risk", lambda w: w.scored.select("component", "risk_score"), "SELECT component, risk_score FROM scored", ["scored"])
