@@ -7,7 +7,6 @@ from sentrylake.plans import (  # noqa: F401
     queries_streams,
     queries_windows,
 )
-from sentrylake.plans.investigate import investigate
 from sentrylake.plans.registry import ORACLES, QUERIES, tidy
 from sentrylake.plans.workspace import workspace
 
@@ -16,8 +15,7 @@ __all__ = ["ORACLES", "QUERIES", "flagship"]
 
 def flagship(spark, folder):
     w = workspace(spark, folder)
-    found = investigate(w.events, w.baseline, w.iocs)
-    return tidy(found.responses.select(
+    return tidy(w.full.responses.select(
         "incident_id", "time_start", "time_end", "event_count", "n_users", "n_hosts", "risk_score",
         "confidence_score", "severity", "priority", "recommended_action", "explanation",
     ))

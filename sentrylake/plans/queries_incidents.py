@@ -10,7 +10,6 @@ from sentrylake.operators import lists as L
 from sentrylake.operators import variants as VA
 from sentrylake.plans import queries_rules  # noqa: F401  (its SQL fragments are used here)
 from sentrylake.plans.fragments import SCORED, fragment
-from sentrylake.plans.investigate import investigate
 from sentrylake.plans.registry import register
 from sentrylake.sources.driver_tables import verdict_log
 
@@ -105,7 +104,7 @@ SELECT component, min(ts) AS t0, max(ts) AS t1, greatest(1, max(ts) - min(ts)) A
   0 AS has_burst
 FROM imem JOIN (SELECT component, count(DISTINCT e) AS h FROM imem JOIN ient USING (event_id) WHERE e LIKE 'h%' GROUP BY 1) USING (component) GROUP BY component""", "imem")
 fragment("iscored", SCORED % "iinc", "iinc")
-register("investigation", lambda w: investigate(w.events, w.baseline, w.iocs).responses.select(
+register("investigation", lambda w: w.full.responses.select(
     "component", "time_start", "time_end", "event_count", "n_users", "n_hosts", "n_processes", "max_risk", "sum_risk", "risk_score", "confidence_score", "severity"), """
 SELECT component, t0 AS time_start, t1 AS time_end, n AS event_count, n_users, n_hosts, n_processes, CAST(max_risk AS BIGINT) AS max_risk, sum_risk, risk_score,
   confidence_score, severity FROM iscored""", ["iscored"])

@@ -1,17 +1,25 @@
 """Queries: window features, evaluation, models and streams."""
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sentrylake.functions import fixed_values as V
+from sentrylake.operators import baselines as B
+from sentrylake.operators import correlate as C
 from sentrylake.operators import evaluate as EV
 from sentrylake.operators import explore as E
 from sentrylake.operators import features as X
 from sentrylake.operators import ml as M
+from sentrylake.operators.lists import build_iocs
 from sentrylake.operators.triage import triage
 from sentrylake.plans import queries_incidents  # noqa: F401  (its SQL fragments are used here)
 from sentrylake.plans.fragments import fragment
+from sentrylake.plans.investigate import investigate
 from sentrylake.plans.registry import register
 from sentrylake.plans.workspace import CANDIDATE_SKIP, TRAIN_END
+from sentrylake.sources.driver_tables import threat_rows
 
 INT_FEATURES = [f for f in V.WINDOW_FEATURES if f not in (
     "auth_fail_rate", "auth_ntlm_rate", "user_to_host_ratio", "auth_proc_interaction", "auth_flow_interaction")]
@@ -122,8 +130,9 @@ SELECT feature, split, CASE WHEN stddev_pop(value) > 0 AND stddev_pop(label) > 0
 
 by_event = lambda w: w.triaged.select("event_id", F.col("is_redteam").alias("y"), F.col("risk_score").alias("score"), F.col("is_suspicious").alias("pred"))
 fragment("be", "SELECT event_id, is_redteam AS y, risk AS score, flagged AS pred FROM triaged", "triaged")
-by_size = lambda w: w.events.filter("event_type = 'flow'").select(F.col("is_redteam").alias("y"), (F.col("bytes") % 1009 / 1009 + F.col("duration") / 400).alias("score"))
-fragment("bs", "SELECT is_redteam AS y, (bytes % 1009) / 1009 + duration / 400 AS score FROM ev WHERE event_type = 'flow'", "ev")
+# a score every event has: flow size and length, else a small share of the id
+by_size = lambda w: w.events.select(F.col("is_redteam").alias("y"), F.coalesce(F.col("bytes") % 1009 / 1009 + F.col("duration") / 400, F.col("event_id") % 97 / 485).alias("score"))
+fragment("bs", "SELECT is_redteam AS y, coalesce((bytes % 1009) / 1009 + duration / 400, (event_id % 97) / 485) AS score FROM ev", "ev")
 
 
 def metric_sql(source, group=""):
@@ -171,11 +180,11 @@ WHERE aph <= 40 AND precision >= 0.1 ORDER BY f1 DESC, threshold DESC LIMIT 1"""
 register("score_distribution", lambda w: EV.score_distribution(by_size(w)), """
 SELECT CAST(y AS BIGINT) AS y, count(*) AS n, round(avg(score), 6) AS mean, round(stddev_pop(score), 6) AS std, round(min(score), 6) AS minimum, round(quantile_cont(score, 0.25), 6) AS q1,
  round(quantile_cont(score, 0.5), 6) AS median, round(quantile_cont(score, 0.75), 6) AS q3, round(max(score), 6) AS maximum FROM bs GROUP BY 1""", ["bs"])
-severe = lambda w: w.members.join(w.scored.filter("severity in ('Critical', 'High')").select("component"), "component", "left_semi")
-register("event_level_eval", lambda w: EV.event_level_eval(w.events, w.findings, w.members, severe(w)), metric_sql("""
+severe = lambda w: w.full.members.join(w.full.responses.filter("severity in ('Critical', 'High')").select("component"), "component", "left_semi")
+register("event_level_eval", lambda w: EV.event_level_eval(w.events, w.full.findings, w.full.members, severe(w)), metric_sql("""
 SELECT 'specialists' AS scope, is_redteam AS y, CAST(event_id IN (SELECT event_id FROM finds) AS INT) AS pred FROM ev UNION ALL
-SELECT 'incidents', is_redteam, CAST(event_id IN (SELECT event_id FROM mem) AS INT) FROM ev UNION ALL
-SELECT 'escalated', is_redteam, CAST(event_id IN (SELECT event_id FROM mem JOIN scored USING (component) WHERE severity IN ('Critical', 'High')) AS INT) FROM ev""", "scope"), ["finds", "scored"])
+SELECT 'incidents', is_redteam, CAST(event_id IN (SELECT event_id FROM imem) AS INT) FROM ev UNION ALL
+SELECT 'escalated', is_redteam, CAST(event_id IN (SELECT event_id FROM imem JOIN iscored USING (component) WHERE severity IN ('Critical', 'High')) AS INT) FROM ev""", "scope"), ["finds", "imem", "iscored"])
 fragment("near", """
 SELECT l.event_id, i.component, greatest(0, i.t0 - l.ts, l.ts - i.t1) AS d FROM (SELECT event_id, ts, usr, corr_host FROM ev WHERE is_redteam = 1) l JOIN inc i
 ON greatest(0, i.t0 - l.ts, l.ts - i.t1) <= 600 AND (list_contains(string_split(i.users, ';'), l.usr) OR list_contains(string_split(i.hosts, ';'), l.corr_host))""", "inc", "ev")
@@ -193,19 +202,24 @@ def minute_windows(w):
 
 
 fragment("mw", "SELECT (ts - 691200) // 60 AS window_id, min(ts) AS a, max(ts) AS b, max(is_redteam) AS y FROM ev GROUP BY 1", "ev")
-strong = lambda w: w.triaged.filter("risk_score >= 8")
-big = lambda w: w.incidents.filter("event_count >= 5").select("time_start", "time_end")
-register("window_alert_overlap", lambda w: EV.window_alert_overlap(minute_windows(w), strong(w), big(w)).select("window_id", "event_alert", "incident_alert"), """
-SELECT window_id, CAST(EXISTS (SELECT 1 FROM triaged t WHERE t.risk >= 8 AND t.ts BETWEEN a AND b) AS BIGINT) AS event_alert,
- CAST(EXISTS (SELECT 1 FROM inc WHERE n >= 5 AND t1 >= a AND t0 <= b) AS BIGINT) AS incident_alert FROM mw""", ["mw", "triaged", "inc"])
-graph = lambda w: big(w).filter("time_end - time_start > 900")
-minute_score = lambda w: w.events.groupBy(X.window_id(size=60).alias("window_id")).agg((F.max("bytes") / 500000).alias("score"))
-register("four_system_comparison", lambda w: EV.four_system_comparison(minute_windows(w), strong(w), graph(w), minute_score(w), big(w)), metric_sql("""
+flagged = lambda w: w.triaged.filter("is_suspicious = 1")
+spans = lambda w: w.incidents.select("time_start", "time_end")
+register("window_alert_overlap", lambda w: EV.window_alert_overlap(minute_windows(w), flagged(w), spans(w)).select("window_id", "event_alert", "incident_alert"), """
+SELECT window_id, CAST(EXISTS (SELECT 1 FROM triaged t WHERE t.flagged = 1 AND t.ts BETWEEN a AND b) AS BIGINT) AS event_alert,
+ CAST(EXISTS (SELECT 1 FROM inc WHERE t1 >= a AND t0 <= b) AS BIGINT) AS incident_alert FROM mw""", ["mw", "triaged", "inc"])
+graph = lambda w: C.graph_alert_clusters(w.events, gap=1).select("time_start", "time_end")
+# a fixed linear model of window features, so that its scores can be compared
+minute_score = lambda w: X.tumbling_features(w.indicated, 60).select(
+    "window_id", (3 * (F.col("is_flow") + F.col("auth_fail")) / F.col("total_events")).alias("score"))
+fragment("gspan", "SELECT m, min(ts) AS t0, max(ts) AS t1 FROM gcc1 JOIN ev ON event_id = n JOIN (SELECT m, count(DISTINCT e) AS h FROM gcc1 JOIN gent ON event_id = n "
+         "WHERE e LIKE 'h%' GROUP BY 1) USING (m) GROUP BY 1 HAVING count(*) >= 3 AND any_value(h) >= 2", "gcc1(n, m) USING KEY (n)")
+register("four_system_comparison", lambda w: EV.four_system_comparison(minute_windows(w), flagged(w), graph(w), minute_score(w), spans(w)), metric_sql("""
 SELECT system, y, CASE system WHEN 'rule_triage' THEN e WHEN 'incidents' THEN i WHEN 'graph_clusters' THEN g WHEN 'model_0.8459' THEN CAST(coalesce(s >= 0.8459, FALSE) AS INT)
  ELSE CAST(coalesce(s >= 0.93, FALSE) AS INT) END AS pred FROM
- (SELECT y, CAST(EXISTS (SELECT 1 FROM triaged t WHERE t.risk >= 8 AND t.ts BETWEEN a AND b) AS INT) AS e, CAST(EXISTS (SELECT 1 FROM inc WHERE n >= 5 AND t1 >= a AND t0 <= b) AS INT) AS i,
-  CAST(EXISTS (SELECT 1 FROM inc WHERE n >= 5 AND t1 - t0 > 900 AND t1 >= a AND t0 <= b) AS INT) AS g, (SELECT max(bytes) / 500000 FROM ev WHERE (ev.ts - 691200) // 60 = window_id) AS s FROM mw),
- (SELECT unnest(['rule_triage', 'incidents', 'graph_clusters', 'model_0.8459', 'model_0.93']) AS system)""", "system"), ["mw", "triaged", "inc"])
+ (SELECT y, CAST(EXISTS (SELECT 1 FROM triaged t WHERE t.flagged = 1 AND t.ts BETWEEN a AND b) AS INT) AS e, CAST(EXISTS (SELECT 1 FROM inc WHERE t1 >= a AND t0 <= b) AS INT) AS i,
+  CAST(EXISTS (SELECT 1 FROM gspan WHERE t1 >= a AND t0 <= b) AS INT) AS g, s FROM mw LEFT JOIN
+  (SELECT (ts - 691200) // 60 AS window_id, 3 * (sum(is_flow) + sum(auth_fail)) / count(*) AS s FROM ind GROUP BY 1) USING (window_id)),
+ (SELECT unnest(['rule_triage', 'incidents', 'graph_clusters', 'model_0.8459', 'model_0.93']) AS system)""", "system"), ["mw", "triaged", "inc", "gspan", "ind"])
 register("specialist_ablation", lambda w: EV.specialist_ablation(w.events, w.findings), metric_sql("""
 SELECT CAST(stage AS BIGINT) AS stage, is_redteam AS y, CAST(event_id IN (SELECT event_id FROM finds WHERE CASE agent WHEN 'AuthenticationAgent' THEN 1 WHEN 'ProcessAgent' THEN 2 ELSE 3 END <= stage) AS INT) AS pred
 FROM ev, (SELECT unnest([1, 2, 3]) AS stage)""", "stage"), ["finds"])
@@ -228,6 +242,31 @@ SELECT criterion, matched, (SELECT count(*) FROM lab) AS labels FROM (
 register("label_invariance_check", lambda w: EV.label_invariance_check(
     lambda df: triage(df, rare_pair_at_most=1, skip=CANDIDATE_SKIP).select("event_id", "risk_score", "is_suspicious"), w.events).agg(
     F.count("*").alias("differences")), "SELECT CAST(count(*) AS BIGINT) AS differences FROM events WHERE FALSE")
+
+
+def invariance_of_chain(w):
+    """Per stage of the investigation, rows that change when labels are flipped or all zero."""
+    def run(events):
+        base = B.store_baseline(B.build_baseline(B.baseline_cutoff(events, TRAIN_END)))
+        found = investigate(events, base, build_iocs(threat_rows(events)))
+        return {
+            "findings": found.findings.select("event_id", "agent", "risk_score", "rules", "evidence"),
+            "members": found.members.select("event_id", "component"),
+            "incidents": found.incidents.select("component", "event_count", "n_users", "n_hosts", "sum_risk"),
+            "responses": found.responses.select("component", "risk_score", "confidence_score", "severity", "recommended_action", "explanation"),
+        }
+
+    plain = run(w.events)
+    others = [run(w.events.withColumn("is_redteam", c)) for c in (F.lit(1) - F.col("is_redteam"), F.lit(0))]
+    parts = [
+        df.exceptAll(other[stage]).unionAll(other[stage].exceptAll(df)).agg(F.lit(stage).alias("stage"), F.count("*").alias("differences"))
+        for stage, df in plain.items() for other in others
+    ]
+    return reduce(DataFrame.unionAll, parts).groupBy("stage").agg(F.sum("differences").alias("differences"))
+
+
+register("label_invariance_chain", invariance_of_chain, """
+SELECT stage, CAST(0 AS BIGINT) AS differences FROM (SELECT unnest(['findings', 'members', 'incidents', 'responses']) AS stage) WHERE EXISTS (SELECT 1 FROM events)""")
 register("coverage_metrics", lambda w: EV.coverage_metrics(w.events, w.members), """
 SELECT e AS events, CAST(l AS BIGINT) AS labels, c AS captured, li AS label_incidents, i AS incidents, round(c * 100 / l, 6) AS label_coverage, round((e - i) * 100 / e, 6) AS alert_reduction FROM
  (SELECT count(*) AS e, sum(is_redteam) AS l FROM ev), (SELECT count(*) FILTER (is_redteam = 1) AS c, count(DISTINCT component) FILTER (is_redteam = 1) AS li,

@@ -18,6 +18,7 @@ from sentrylake.operators import incidents as I
 from sentrylake.operators import specialists as S
 from sentrylake.operators.lists import build_iocs
 from sentrylake.operators.triage import triage
+from sentrylake.plans.investigate import investigate
 from sentrylake.session import materialize
 from sentrylake.sources.driver_tables import canonical_events, red_team_labels, threat_rows
 
@@ -115,6 +116,11 @@ class Workspace:
     def findings(self) -> DataFrame:
         return materialize(S.all_findings(self.events, self.baseline, self.iocs))
 
+    @cached_property
+    def full(self):
+        """The whole chain on specialist findings, with real users and both hosts."""
+        return investigate(self.events, self.baseline, self.iocs)
+
     @cached_property
     def rare(self) -> DataFrame:
         return B.rare_process_set(self.events, TRAIN_END)
