@@ -8,6 +8,7 @@ any name, do not meet its own names.
 from collections.abc import Iterator
 
 import pyarrow as pa
+from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 SLICE = 256
@@ -27,8 +28,18 @@ def struct_of(rows, kind):
     return pa.StructArray.from_arrays(arrays, fields=list(kind))
 
 
+BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def short_batches(spark, rows="1000"):
+    """Send texts to Python in batches of fewer rows than Spark's default of 10,000, unless the user has set a number."""
+    if spark.conf.get(BATCH_ROWS, "10000") == "10000":
+        spark.conf.set(BATCH_ROWS, rows)
+
+
 def text_udf(make, kind, ddl):
     """A scalar Arrow UDF of one text column; `make()` gives, in each task, the function of one text that returns the fields of `kind`."""
+    short_batches(SparkSession.active())
 
     @F.arrow_udf(ddl)
     def run(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:

@@ -27,7 +27,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from sentrylake.llm.common import bit_table, text_key, texts_of, with_maybe
+from sentrylake.llm.common import bit_table, short_batches, text_key, texts_of, with_maybe
 from sentrylake.operators.correlate import connected_components
 from sentrylake.session import discard, materialize
 
@@ -35,7 +35,7 @@ WORDS = 3
 PERCENT = 90
 WORD = r"[^\x20\x09-\x0D]"
 FILTER_BITS = 25
-MEMO = 400_000
+MEMO = 200_000
 
 _MIX = (np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
 _ODD = np.uint64(0x9E3779B97F4A7C15)
@@ -164,6 +164,7 @@ def set_rows(documents, words=WORDS, percent=PERCENT):
                 pa.array([fingerprint(s) for s in sets], pa.int64()), _lists([enum.of(s) for s in sets]),
             ], ["doc_id", "key", "n_shingles", "fp", "sigs"])
 
+    short_batches(documents.sparkSession)
     return documents.select("doc_id", text_key().alias("key"), "text").mapInArrow(
         run, "doc_id long, key binary, n_shingles long, fp long, sigs array<long>")
 

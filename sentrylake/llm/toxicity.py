@@ -13,6 +13,7 @@ texts) in one task; scoring reads every text where it lies.
 
 import math
 import re
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -26,7 +27,7 @@ STEMS = (5, 7)
 EPOCHS = 15
 BATCH = 64
 RATE = 1.0
-MEMO = 400_000
+MEMO = 200_000
 L1 = 2e-4
 SEED = 17
 FOLDS = 5
@@ -52,7 +53,7 @@ def features_of(word):
 def fit(rows):
     """Features and weights, the first entry ("") being the bias, from rows with text and toxic."""
     vocabulary, seen, last = {}, [], []
-    words, sentence_ends, document_ends, labels = [], [], [], []
+    words, sentence_ends, document_ends, labels = array("i"), array("q"), array("q"), []
     for document, row in enumerate(rows):
         for start, end in sentences_of(row["text"]):
             found = words_of(row["text"][start:end])
@@ -74,9 +75,9 @@ def fit(rows):
     usual = np.array(seen, dtype=np.int64) >= MIN_DOCUMENTS
     cell = np.where(usual, np.cumsum(usual), 0) if len(seen) else np.zeros(0, np.int64)
     size = int(usual.sum()) + 1
-    words = cell[np.array(words, dtype=np.int64)]
-    weights, bias = _ascend(
-        words, np.array([0, *sentence_ends]), np.array([0, *document_ends]), np.array(labels, dtype=np.float64), size)
+    words = cell.astype(np.int32)[np.frombuffer(words, np.int32)] if words else np.zeros(0, np.int32)
+    ends = lambda x: np.concatenate([[0], np.array(x, np.int64)])
+    weights, bias = _ascend(words, ends(sentence_ends), ends(document_ends), np.array(labels, dtype=np.float64), size)
     names = [w for w, k in vocabulary.items() if usual[k] and weights[cell[k]] != 0]
     return pa.RecordBatch.from_pydict({
         "word": pa.array(["", *names], pa.string()),
