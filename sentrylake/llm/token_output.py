@@ -20,17 +20,18 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from sentrylake.llm.common import texts_of
+from sentrylake.llm.common import short_batches, texts_of
 from sentrylake.llm.token_counts import byte_alphabet
 from sentrylake.session import checkpoint_root
 
 END = 2
-MEMO = 400_000
+MEMO = 250_000
 ROW_GROUP_BYTES = 16 << 20
 PAGE_BYTES = 256 << 10
 
-# white space of ASCII ends a word for the tokenizer, whatever stands around it
-_GAP = re.compile("[ \t\n\r\x0b\x0c]+")
+# white space ends a word for the tokenizer; it takes U+001C to U+001F, which Python calls white space too, for marks
+_GAP = re.compile(r"[^\S\x1c-\x1f]+")
+_MARK = re.compile("[\x1c-\x1f]")
 # a special string may begin here, or a character beyond the plain ones
 _OTHER = re.compile(r"<\||[^\x00-\u024f]")
 # fixed values: the split of the word vocabulary, and the names of bytes in byte-level vocabularies
@@ -72,13 +73,20 @@ class WordIds(dict):
         if _OTHER.search(word):
             found = np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
         else:
-            found = b"".join(map(self.pieces.__getitem__, _PIECE.findall(word.lower())))
+            lowered, pieces = word.lower(), self.pieces
+            if lowered.isalpha():
+                found = pieces[lowered]
+            elif lowered[:-1].isalpha() and lowered[-1] in ".,":
+                found = pieces[lowered[:-1]] + pieces[lowered[-1]]
+            else:
+                found = b"".join(map(pieces.__getitem__, _PIECE.findall(lowered)))
         self[word] = found
         return found
 
     def of_text(self, text):
         """The ids of a text."""
-        return b"".join(map(self.__getitem__, _GAP.split(text)))
+        words = _GAP.split(text) if _MARK.search(text) else text.split()
+        return b"".join(map(self.__getitem__, words))
 
 
 _ENCODERS = {}
@@ -97,6 +105,7 @@ def encoder_of(spec):
 
 def encode_ids(documents, spec, end=END):
     """doc_id, ids: the ids of each whole text (null: empty) with `end` appended."""
+    short_batches(documents.sparkSession)
     shared = documents.sparkSession.sparkContext.broadcast(spec)
     tail = np.array([end], "<u4").tobytes()
 
