@@ -4,7 +4,6 @@ from dataclasses import dataclass, fields
 
 import pandas as pd
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from sentrylake.functions import fixed_values as V

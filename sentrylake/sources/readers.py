@@ -4,7 +4,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sentrylake.functions import fixed_values as V
-from sentrylake.functions.text import keyword_ladder, present
+from sentrylake.functions.text import keyword_ladder
 
 # --- fixed values: headerless layouts (field order) ---
 LAYOUTS = {
