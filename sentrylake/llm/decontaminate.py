@@ -10,7 +10,6 @@ The benchmark is searched in blocks of bounded size, so what is sent to the
 tasks does not grow with it; every document is searched for every block.
 """
 
-import hashlib
 
 import pyarrow as pa
 from pyspark.sql import functions as F
