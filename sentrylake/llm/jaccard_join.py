@@ -226,23 +226,29 @@ def residual_links(found, percent=PERCENT):
     With D the differences from the hub, a pair of members differs in
     |Dx| + |Dy| - 2 |Dx & Dy| elements. Let s = (100 - percent) / (100 + percent).
     If x does not link to the hub, a link to y needs |Dx & Dy| > |Dy| (1 - s) / 2,
-    and at least |Dx| - |x| (1 - percent/100) / (percent/100). Under one order of the
+    and at least |Dx| - |x| (1 - percent/100) / (percent/100). It needs more than
+    |Dx| (1 - s) / 2 only if y does not link to the hub either. Under one order of the
     elements, rarest first, the prefixes that these bounds leave must meet.
     """
     loose = found.filter(~F.col("linked")).select("hub").distinct()
     rows = materialize(found.filter(F.size("apart") > 0).join(loose, "hub", "left_semi"))
     tokens = rows.select("hub", "fp", "linked", "size", F.size("apart").alias("n"), F.explode("apart").alias("e"))
-    counts = tokens.groupBy("hub", "e").agg(F.count("*").alias("c"))
+    counts = tokens.groupBy("hub", "e").agg(F.count("*").alias("c"), F.count_if("linked").alias("_c_linked"))
     ordered = Window.partitionBy("hub", "fp").orderBy("c", "e")
     ranked = tokens.join(counts, ["hub", "e"]).withColumn("rank", F.row_number().over(ordered))
     # |Dx & Dy| > |Dy| (1 - s) / 2 with (1 - s) / 2 = percent / (100 + percent)
     as_partner = F.col("n") - F.floor(F.lit(percent) * F.col("n") / F.lit(100 + percent))
-    as_loose = F.least("n", F.floor(F.col("size") * (100 - percent) / F.lit(percent)) + 1, as_partner)
-    ranked = materialize(ranked.filter(F.col("rank") <= as_partner).select(
-        "hub", "e", "fp", "linked", (F.col("rank") <= as_loose).alias("probes")))
-    probes = ranked.filter(~F.col("linked") & F.col("probes")).select("hub", "e", F.col("fp").alias("x"))
-    partners = ranked.select("hub", "e", F.col("fp").alias("y"), "linked")
-    pairs = probes.join(partners, ["hub", "e"]).filter((F.col("x") < F.col("y")) | (F.col("linked") & (F.col("x") != F.col("y"))))
+    as_loose = F.least("n", F.floor(F.col("size") * (100 - percent) / F.lit(percent)) + 1)
+    # an element of one member meets nothing, and past the short prefix only linked members are met
+    partner = (F.col("rank") <= as_partner) & (F.col("c") > 1)
+    probe = ~F.col("linked") & (F.col("rank") <= as_loose) & (partner | (F.col("_c_linked") > 0))
+    ranked = materialize(ranked.filter(partner | probe).select(
+        "hub", "e", "fp", "linked", partner.alias("partner"), probe.alias("probes")))
+    probes = ranked.filter("probes").select("hub", "e", F.col("fp").alias("x"), F.col("partner").alias("_short"))
+    partners = ranked.filter("partner").select("hub", "e", F.col("fp").alias("y"), "linked")
+    # a partner that links to the hub is met by the whole prefix, a loose one by the short one
+    met = F.col("linked") | (F.col("_short") & (F.col("x") < F.col("y")))
+    pairs = probes.join(partners, ["hub", "e"]).filter(met)
     pairs = pairs.select("hub", "x", "y").distinct()
     side = lambda name: rows.select("hub", F.col("fp").alias(name), F.col("size").alias(f"_n{name}"), F.col("apart").alias(f"_d{name}"))
     both = pairs.join(side("x"), ["hub", "x"]).join(side("y"), ["hub", "y"])

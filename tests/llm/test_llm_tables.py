@@ -262,6 +262,26 @@ def test_similar_sets_share_a_signature():
     assert pairs > 500
 
 
+@pytest.mark.parametrize("percent", [90, 80])
+def test_links_past_a_hub_equal_brute_force(spark, percent):
+    """Members that link to the hub or not; e (1), which x and y alone lack, is the most frequent difference."""
+    import random
+
+    draw = random.Random(9)
+    hub = frozenset(range(1, 101))
+    groups = {0: [hub - {1}, hub - {1, 2, 3, 4, 5} | {201, 202, 203, 204, 205, 206}]}
+    for h in range(1, 30):
+        pools = draw.sample(sorted(hub), 14), range(300, 314)
+        groups[h] = list({hub - set(draw.sample(pools[0], draw.randint(0, 14))) | set(draw.sample(pools[1], draw.randint(0, 14))) for _ in range(12)} - {hub})
+    similar = lambda a, b: 100 * len(a & b) >= percent * len(a | b)
+    rows = [(k, h, len(m), similar(m, hub), sorted(m ^ hub)) for h, ms in groups.items() for k, m in enumerate(ms)]
+    found = spark.createDataFrame([(h * 100 + k, h, *rest) for k, h, *rest in rows], "fp long, hub long, size int, linked boolean, apart array<long>")
+    want = {frozenset((h * 100 + i, h * 100 + j)) for h, ms in groups.items() for i, a in enumerate(ms) for j, b in enumerate(ms[:i])
+            if similar(a, b) and not (similar(a, hub) and similar(b, hub))}
+    assert {frozenset(r) for r in jaccard_join.residual_links(found, percent).collect()} == want
+    assert percent < 90 or frozenset((0, 1)) in want
+
+
 def test_one_document_of_each_component_stays(spark):
     rows = planted()
     df = spark.createDataFrame([(i, t, k) for k, (i, t) in enumerate(rows)], "doc_id long, text string, _row int")
