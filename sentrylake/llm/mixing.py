@@ -2,17 +2,20 @@
 
 Sizes are words. Documents are counted by exact size within each source; all
 later decisions look at these counts only. A source's target is met by whole
-passes over it and a remaining budget below one pass. Of every size the share
-that the budget allows is taken, rounded down; what is then missing is small
-whatever the source's size, and bounded-knapsack dynamic programming over the
-sizes still in stock fits it, exactly where any subset does. Which documents of
-a size are taken is decided by a seeded hash.
+passes over it and a remaining budget below one pass. Of every size the even
+share of that budget is taken, but for FREE times the largest size; fractions
+of documents become whole ones by systematic rounding from a seeded start, so
+each size is taken in proportion whether its documents are many or one.
+Bounded-knapsack dynamic programming over the sizes still in stock then fills
+what is left, of any size, as exactly as any subset of these does. Which
+documents of a size are taken is decided by a seeded hash.
 """
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Window
 from pyspark.sql import functions as F
+from xxhash import xxh64_intdigest
 
 from sentrylake.functions.scale import number_rows
 from sentrylake.session import materialize
@@ -22,7 +25,7 @@ TOTAL_PERCENT = 150
 MOST_PASSES = 2
 SEED = 73
 PER_BUCKET = 4096
-DP_CELLS = 1 << 16
+FREE = 4
 
 
 def word_count(text="text"):
@@ -56,35 +59,35 @@ def source_targets(sizes, weights=WEIGHTS, percent=TOTAL_PERCENT, most=MOST_PASS
     return sources.select("source", "source_size", F.least(limit, F.lit(level) * F.col("_w")).alias("target"))
 
 
-def fit_budget(sizes, stock, budget):
+def fit_budget(sizes, stock, budget, start=0.5):
     """How many documents of each size to take so that their words come nearest to `budget`.
 
-    `sizes` ascending and positive, `stock` documents of each. The even share
-    comes first. The rest goes to larger sizes while it exceeds the table of
-    the dynamic program, and to the program's best fill then.
+    `sizes` ascending and positive, `stock` documents of each. Each size gets its
+    share, rounded up or down by where it falls from `start` (0 to 1) on; in order
+    of size these roundings differ from the shares by at most the largest size. The
+    program fills the rest, which is at most FREE + 1 times that size.
     """
     sizes, stock = np.asarray(sizes, np.int64), np.asarray(stock, np.int64)
     total = int((sizes * stock).sum())
     budget = max(0, min(int(budget), total))
     if not total or not budget:
         return np.zeros(len(sizes), np.int64)
-    take = np.array([int(n) * budget // total for n in stock], np.int64)
-    rest = budget - int((sizes * take).sum())
-    for k in range(len(sizes) - 1, -1, -1):  # greedy down to what the table holds
-        if rest <= DP_CELLS:
-            break
-        more = min(int(stock[k] - take[k]), max(0, (rest - DP_CELLS // 2) // int(sizes[k])))
-        take[k] += more
-        rest -= more * int(sizes[k])
-    return take + _knapsack(sizes, stock - take, min(rest, DP_CELLS))
+    even = max(0, budget - FREE * int(sizes[stock > 0].max()))
+    take, sofar = np.zeros(len(sizes), np.int64), int(start * total)
+    for k, n in enumerate(map(int, stock)):
+        take[k] = (sofar + n * even) // total - sofar // total
+        sofar += n * even
+    return take + _knapsack(sizes, stock - take, budget - int((sizes * take).sum()))
 
 
 def _knapsack(sizes, stock, budget):
     """Bounded knapsack: counts whose sum is the reachable one nearest to `budget` (the smaller of two)."""
+    sizes = np.asarray(sizes, np.int64)
     take = np.zeros(len(sizes), np.int64)
     if budget <= 0:
         return take
-    cells = 2 * budget  # a sum beyond is farther than none
+    # a sum beyond is farther than none, or than itself without one document
+    cells = min(2 * budget, budget + int(sizes.max()))
     # of each reachable sum: the lot of documents added last (its size and number); lots are 1, 2, 4, ... documents
     reached = np.zeros(cells + 1, bool)
     reached[0] = True
@@ -111,7 +114,7 @@ def _knapsack(sizes, stock, budget):
 _PLAN = "source string, size long, n long, passes int, extra long, source_size long, target double"
 
 
-def plan_takes(sizes, targets):
+def plan_takes(sizes, targets, seed=SEED):
     """(source, size, n, passes, extra, ...): every document `passes` times, `extra` documents of the size once more.
 
     One group a source; it holds one row for each size that occurs, not for each document.
@@ -125,7 +128,8 @@ def plan_takes(sizes, targets):
         some = size > 0
         extra = np.zeros(len(size), np.int64)
         if passes < MOST_PASSES:
-            extra[some] = fit_budget(size[some], n[some], round(target - passes * whole))
+            start = xxh64_intdigest(table["source"][0].as_py() or "", seed % (1 << 64)) / (1 << 64)
+            extra[some] = fit_budget(size[some], n[some], round(target - passes * whole), start)
         return pa.table({
             "source": table["source"], "size": table["size"], "n": table["n"],
             "passes": pa.array([passes] * len(size), pa.int32()), "extra": pa.array(extra, pa.int64()),
@@ -148,7 +152,7 @@ def mix(documents, seed=SEED):
     """
     rows = materialize(documents.select("doc_id", "source", word_count().alias("size")))
     sizes = materialize(rows.groupBy("source", "size").agg(F.count("*").alias("n")))
-    plan = materialize(plan_takes(sizes, source_targets(sizes)))
+    plan = materialize(plan_takes(sizes, source_targets(sizes), seed))
     return _choose(rows, plan, seed)
 
 

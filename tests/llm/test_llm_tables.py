@@ -183,6 +183,22 @@ def test_budget_fits_exactly_where_a_subset_does():
         assert abs(sum(s * int(t) for s, t in zip(sizes, fitted)) - min(budget, max(sums))) <= max(sizes)
 
 
+def test_long_and_distinct_sizes_are_taken_in_proportion():
+    import numpy as np
+
+    assert list(mixing.fit_budget([150_000], [1], 140_000)) == [1]
+    assert list(mixing.fit_budget([150_000], [1], 70_000)) == [0]
+    for low, high in ((1000, 3000), (200_000, 200_800)):
+        sizes, seen = np.arange(low, high), []
+        for start in (0.0, 0.3, 0.9):
+            take = mixing.fit_budget(sizes, np.ones(len(sizes)), int(sizes.sum()) * 2 // 5, start)
+            seen.append(tuple(take))
+            assert set(take) <= {0, 1} and (sizes * take).sum() == int(sizes.sum()) * 2 // 5
+            parts = [p.mean() for p in np.array_split(take, 4)]
+            assert max(parts) - min(parts) < 0.05
+        assert len(set(seen)) == 3
+
+
 # --- Jaccard join ---
 
 def brute_components(rows, words=3, percent=90):
