@@ -329,6 +329,13 @@ def test_pipeline_stages(spark, folder, documents):
     assert found.filter("n_hit > 0").count() == 0
 
 
+def test_pipeline_drops_a_copy_with_one_more_block(spark, folder):
+    text = [f"w{k}" for k in range(200)]
+    rows = [(1, " ".join(text)), (2, " ".join([f"licence{k}" for k in range(40)] + text)), (3, " ".join([f"x{k}" for k in range(100)] + text))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(r.doc_id for r in corpus_pipeline.drop_near_copies(spark, docs, folder).collect()) == [1, 3]
+
+
 def test_pipeline_of_nothing(spark, folder, documents):
     docs = documents.limit(0)
     for _, stage in corpus_pipeline.STAGES:
