@@ -233,6 +233,9 @@ SELECT agent, analyzed, coalesce(flagged, 0) AS flagged, CAST(coalesce(total, 0)
  (SELECT CASE event_type WHEN 'auth' THEN 'AuthenticationAgent' WHEN 'process' THEN 'ProcessAgent' ELSE 'NetworkAgent' END AS agent, count(*) AS analyzed FROM ev GROUP BY 1)
  LEFT JOIN (SELECT agent, count(*) AS flagged, sum(risk) AS total FROM finds GROUP BY 1) USING (agent)
  LEFT JOIN (SELECT agent, count(*) AS entities FROM sent GROUP BY 1) USING (agent)""", ["sent", "finds"])
+# every text of every specialist; its oracle-checked part, two texts of one specialist, is the query after it
+register("specialist_evidence_all", lambda w: S.specialist_evidence(w.findings).select(
+    "agent", "evidence", F.col("first_seen.event_id").alias("first_event_id"), "times"))
 register("specialist_evidence", lambda w: S.specialist_evidence(w.findings).filter(
     F.col("evidence").startswith("Failed") | F.col("evidence").startswith("Network auth")).select(
     "agent", "evidence", F.col("first_seen.event_id").alias("first_event_id"), "times"), """
