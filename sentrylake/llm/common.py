@@ -7,6 +7,7 @@ any name, do not meet its own names.
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
@@ -90,6 +91,22 @@ def train_in_one_task(sample, fit, ddl):
     return found or fit(iter(())).to_pylist()  # an empty sample may have no task at all
 
 
+MOST_BITS = 26
+_MIX = (np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
+
+
+def mixed(x):
+    """A hash of 64-bit integers (numpy)."""
+    x = (x ^ (x >> np.uint64(30))) * _MIX[0]
+    x = (x ^ (x >> np.uint64(27))) * _MIX[1]
+    return x ^ (x >> np.uint64(31))
+
+
+def bits_for(table):
+    """log2 of the size of a bit set for the rows of a written table: 16 to 32 bits a row, 2**26 bits (8 MB) at most."""
+    return min(MOST_BITS, max(16, (16 * table.count()).bit_length()))
+
+
 def bit_table(hashes, bits):
     """(word, bits): a bit set of fixed size, 2**bits, of the 64-bit `hash` column; at most 2**(bits - 6) rows."""
     at = F.shiftrightunsigned("hash", 64 - bits)
