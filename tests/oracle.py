@@ -10,7 +10,7 @@ sys.path.insert(0, str(Path(__file__).resolve().parent.parent))
 
 TABLES = ("region nation customer supplier part orders lineitem events documents "
           "embeddings pages benchmark labels conversations").split()
-KINDS = {"boolean": "BOOLEAN", "bigint": "BIGINT", "double": "DOUBLE", "string": "VARCHAR"}
+KINDS = {"boolean": "BOOLEAN", "int": "INTEGER", "bigint": "BIGINT", "double": "DOUBLE", "string": "VARCHAR"}
 
 
 def connect(folder):
