@@ -6,8 +6,10 @@ task, though no task may hold the corpus, so texts are cut where their content
 says: each string of `length` bytes belongs to its least 32-byte gram by hash,
 and neighbours that share that gram are one segment, at most 2 * length - 32
 bytes long. Equal strings have equal grams. Grams that occur once need no more
-work; segments of the others are grouped by gram, equal segments are counted
-together, and what still differs is sorted as a generalised suffix array.
+work. Of equal segments, told by 128 bits of hash, the first stands for all.
+Different segments of one gram can only share a string if the 32 bytes before
+the gram or the 32 after it agree too; of those that pass, the bytes are fetched
+and sorted as a generalised suffix array.
 
 Sorting takes two stages. Only suffixes smaller than their successors are
 compared with each other, by first character and then up to `length` bytes; the
@@ -21,41 +23,47 @@ alike. Null texts are empty. Texts below `length` bytes lose nothing.
 """
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from xxhash import xxh64_intdigest
 
 from sentrylake.llm.common import bit_table, bits_for, mixed, short_batches, text_key, with_maybe
 from sentrylake.session import discard, materialize
 
 LENGTH = 100
 GRAM = 32
-CHUNK = 1 << 15
-BLOCK = 2 << 20
+CHUNK = 1 << 15  # what is hashed at a time stays in the processor's cache
+BLOCK = 1 << 20
 HOT = 20_000  # different segments of one gram beyond which their strings meet by hash instead of in one block
 LAST = (1 << 63) - 1
 
 _PLACE = np.uint64((1 << 24) - 1)
 _ODD = 0x9E3779B97F4A7C15
-_RUNS = pa.list_(pa.struct([("hash", pa.int64()), ("start", pa.int64()), ("n", pa.int32())]))
+_FIELDS = {"hash": np.int64, "start": np.int64, "n": np.int32, "same": np.int64, "before": np.int64, "after": np.int64}
+_KINDS = ["hash:long", "start:long", "n:int", "same:long", "before:long", "after:long"]
 
 
 def gram_hashes(data):
-    """A hash of every GRAM consecutive bytes, doubling the width of what is hashed."""
+    """Hashes of every GRAM and every 2 * GRAM consecutive bytes, doubling the width of what is hashed."""
     found, factor, width = data.astype(np.uint64) + np.uint64(1), _ODD, 1
     while width < GRAM:
         found = found[:-width] * np.uint64(factor) + found[width:]
         factor, width = factor * factor % (1 << 64), 2 * width
-    return mixed(found)
+    return mixed(found), found[:-width] * np.uint64(factor) + found[width:]
 
 
 def anchor_runs(data, ends, length=LENGTH):
-    """(hash, start, n) of the segments of joined pieces that end at `ends`: n strings from `start` share their least gram."""
-    none = np.zeros(0, np.int64)
+    """The segments of joined pieces that end at `ends`, as arrays of _FIELDS: n strings from `start` share their least gram, of this hash.
+
+    `same` is a hash of the segment, `before` and `after` of the gram with the GRAM bytes before or after it.
+    """
     if len(data) < length:
-        return none, none, none
-    hashes = gram_hashes(data)
+        return [np.zeros(0, t) for t in _FIELDS.values()]
+    hashes, wide = gram_hashes(data)
     # the leftmost least gram of every string; 40 bits of the hash decide, then the place
     least, width, reach = hashes & ~_PLACE | np.arange(len(hashes), dtype=np.uint64), 1, length - GRAM + 1
     while 2 * width <= reach:
@@ -68,7 +76,12 @@ def anchor_runs(data, ends, length=LENGTH):
     least = least[inside]
     cut = np.flatnonzero(np.concatenate((np.ones(min(1, len(least)), bool), least[1:] != least[:-1])))
     anchor = (least[cut] & _PLACE).astype(np.int64)
-    return hashes[anchor].astype(np.int64), inside[cut], np.diff(cut, append=len(least))
+    start, n = inside[cut], np.diff(cut, append=len(least))
+    raw = data.tobytes()
+    same = [xxh64_intdigest(raw[a:z]) for a, z in zip(start.tolist(), (start + n + (length - 1)).tolist())]
+    # beyond the ends these mean nothing, and no string reaches there
+    before, after = wide[np.maximum(anchor - GRAM, 0)], wide[np.minimum(anchor, len(wide) - 1)] + np.uint64(1)
+    return [hashes[anchor].astype(np.int64), start, n, np.array(same, np.uint64).astype(np.int64), before.astype(np.int64), after.astype(np.int64)]
 
 
 def _pieces(column, length, chunk):
@@ -87,28 +100,30 @@ def _pieces(column, length, chunk):
         yield found
 
 
-def anchors(docs, length=LENGTH, chunk=CHUNK):
-    """(doc, tie, runs): the segments of every text of (doc, tie, text as binary), a struct of hash, start and n each."""
+def anchors(docs, length=LENGTH, chunk=CHUNK, fields=tuple(_FIELDS)):
+    """(doc, tie, runs): the segments of every text of (doc, tie, text as binary), an array of structs of `fields`."""
+    at = [list(_FIELDS).index(f) for f in fields]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sizes, parts = np.zeros(batch.num_rows, np.int64), []
             for pieces in _pieces(batch.column(2), length, chunk):
                 ends = np.cumsum([len(p) for _, _, p in pieces])
-                hashes, starts, counts = anchor_runs(np.frombuffer(b"".join(p for _, _, p in pieces), np.uint8), ends, length)
-                piece = np.searchsorted(ends, starts, "right")
-                shift = np.array([offset for _, offset, _ in pieces]) - (ends - [len(p) for _, _, p in pieces])
-                parts.append((hashes, starts + shift[piece], counts))
+                found = anchor_runs(np.frombuffer(b"".join(p for _, _, p in pieces), np.uint8), ends, length)
+                piece = np.searchsorted(ends, found[1], "right")
+                found[1] = found[1] + (np.array([offset for _, offset, _ in pieces]) - (ends - [len(p) for _, _, p in pieces]))[piece]
+                parts.append([found[k] for k in at])
                 sizes += np.bincount(np.array([row for row, _, _ in pieces])[piece], minlength=batch.num_rows)
             offsets = np.zeros(batch.num_rows + 1, np.int32)
             np.cumsum(sizes, out=offsets[1:])
-            columns = [np.concatenate(c) for c in zip(*parts)] if parts else [np.zeros(0, np.int64)] * 3
-            arrays = [pa.array(c.astype(t)) for c, t in zip(columns, (np.int64, np.int64, np.int32))]
-            runs = pa.ListArray.from_arrays(pa.array(offsets), pa.StructArray.from_arrays(arrays, fields=list(_RUNS.value_type)))
+            columns = [np.concatenate(c) for c in zip(*parts)] if parts else [()] * len(at)
+            arrays = [pa.array(np.asarray(c, _FIELDS[f])) for c, f in zip(columns, fields)]
+            runs = pa.ListArray.from_arrays(pa.array(offsets), pa.StructArray.from_arrays(arrays, list(fields)))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), runs], ["doc", "tie", "runs"])
 
     short_batches(docs.sparkSession)
-    return docs.select("doc", "tie", "text").mapInArrow(run, "doc long, tie long, runs array<struct<hash:long,start:long,n:int>>")
+    kind = ",".join(_KINDS[k] for k in at)
+    return docs.select("doc", "tie", "text").mapInArrow(run, f"doc long, tie long, runs array<struct<{kind}>>")
 
 
 def suffix_order(text, depth=LENGTH):
@@ -202,8 +217,8 @@ def repeats_in(segments, doc, tie, start, length=LENGTH):
 _SPANS = "doc long, tie long, begin long, end long"
 
 
-def _sorted_blocks(rows, length, block):
-    """Intervals of the segments in `rows` (hash, doc, tie, start, seg), whole grams a block."""
+def _sorted_blocks(rows, size, length, block):
+    """Intervals of the segments in `rows` (hash, doc, tie, start, seg), `size` bytes in all, whole grams a block."""
 
     def run(batches):
         held, size, last = [], 0, None
@@ -225,16 +240,11 @@ def _sorted_blocks(rows, length, block):
             yield finish()
 
     # as many partitions as give each a few blocks
-    total = rows.agg(F.sum(F.octet_length("seg"))).first()[0] or 0
-    parts = max(1, total // (2 * block), min(total // 65_536, rows.sparkSession.sparkContext.defaultParallelism))
+    parts = max(1, size // (4 * block), min(size // 65_536, rows.sparkSession.sparkContext.defaultParallelism))
     dealt = rows.select("hash", "doc", "tie", "start", "seg").repartition(int(parts), "hash").sortWithinPartitions("hash")
     return dealt.mapInArrow(run, _SPANS)
 
 
-def _first(*names):
-    return F.min(F.struct(*names)).alias("first")
-
-
 def document_rows(documents):
     """(doc_id, doc, tie, key, text): `doc` puts null ids last, `tie` tells rows of one id apart, text as binary."""
     text = F.coalesce(F.col("text"), F.lit(""))
@@ -246,9 +256,11 @@ def document_rows(documents):
 def repeated_spans(documents, length=LENGTH, hot=HOT, block=BLOCK, chunk=CHUNK):
     """(doc, tie, spans): the maximal runs of bytes to remove, as structs of begin and end, of every document that loses any.
 
-    `doc` and `tie` are those of `document_rows`. Equal texts are one text, of
+    `doc` and `tie` are those of `document_rows`; `length` is 3 * GRAM at least. Equal texts are one text, of
     their first document; the other documents with it lose it whole.
     """
+    if length < 3 * GRAM:  # a string must hold the bytes before or after its gram
+        raise ValueError(f"length must be {3 * GRAM} at least")
     rows = document_rows(documents).filter(F.octet_length("text") >= length)
     # texts that several rows have, without their words
     same = rows.groupBy("key").agg(F.min("doc").alias("lead"), F.count("*").alias("n")).filter("n > 1")
@@ -264,51 +276,64 @@ def repeated_spans(documents, length=LENGTH, hot=HOT, block=BLOCK, chunk=CHUNK):
     copies = copies.filter("_maybe").join(same, "key").filter("doc <> lead")
     copies = copies.select("doc", "tie", F.lit(0).cast("long").alias("begin"), "end").distinct()
 
-    # grams that are the least of several strings
-    runs = anchors(docs, length, chunk)
-    hashes = runs.select(F.explode("runs.hash").alias("hash"))
+    # grams that are the least of several strings: a bit set of them spares the others a shuffle
+    hashes = anchors(docs, length, chunk, ["hash"]).select(F.explode("runs.hash").alias("hash"))
     repeated = materialize(hashes.groupBy("hash").agg(F.count("*").alias("n")).filter("n > 1").select("hash"))
     bits = bits_for(repeated)
-    runs = with_maybe(runs.select("doc", "tie", F.inline("runs")), F.col("hash"), bit_table(repeated, bits), bits)
-    runs = runs.filter("_maybe").drop("_maybe").join(repeated, "hash", "left_semi")
-    wanted = runs.groupBy("doc", "tie").agg(F.collect_list(F.struct("hash", "start", "n")).alias("runs"))
+    runs = anchors(docs, length, chunk).select("doc", "tie", F.inline("runs"))
+    runs = materialize(with_maybe(runs, F.col("hash"), bit_table(repeated, bits), bits).filter("_maybe").drop("_maybe"))
+    discard(repeated)
+
+    # equal segments: the first stands for all, the others go whole
+    kinds = materialize(runs.groupBy("hash", "same").agg(
+        F.min(F.struct("doc", "tie", "start")).alias("first"), F.count("*").alias("times"), *[F.min(c).alias(c) for c in ("n", "before", "after")]))
+    several = kinds.filter("times > 1").select("hash", "same", "first")
+    later = runs.select("hash", "same", "doc", "tie", "start", "n").join(several, ["hash", "same"])
+    later = materialize(later.filter(F.struct("doc", "tie", "start") != F.col("first")).select(
+        "doc", "tie", F.col("start").alias("begin"), (F.col("start") + F.col("n") + F.lit(length - 1)).alias("end")).unionAll(copies))
+    discard(runs)
+
+    # different segments of one gram that agree beside it
+    sides = kinds.select("hash", "first.*", "n", F.explode(F.array_distinct(F.array("before", "after"))).alias("side"))
+    agree = sides.groupBy("hash", "side").agg(F.count("*").alias("times")).filter("times > 1").drop("times")
+    agree = materialize(sides.join(agree, ["hash", "side"]).select("hash", "doc", "tie", "start", "n").distinct())
+    left = materialize(agree.join(agree.groupBy("hash").agg(F.count("*").alias("kinds")), "hash"))
+    discard(agree)
+    discard(kinds)
+    size, most = left.agg(F.sum(F.col("n") + F.lit(length - 1)), F.max("kinds")).first()
+    segments = fetched(docs, left, length)
+    found = [later, _sorted_blocks(segments.filter(F.col("kinds") <= hot), size or 0, length, block)]
+    if (most or 0) > hot:
+        found.append(_by_hash(segments.filter(F.col("kinds") > hot), length))
+    spans = materialize(reduce(DataFrame.unionAll, found))
+    discard(left)
+    discard(later)
+    return spans.groupBy("doc", "tie").agg(merged_spans(F.collect_list(F.struct("begin", "end"))).alias("spans"))
+
+
+def fetched(docs, runs, length):
+    """(hash, kinds, doc, tie, start, n, seg): the runs (hash, doc, tie, start, n, kinds) with their bytes; texts without any are not moved."""
+    wanted = runs.groupBy("doc", "tie").agg(F.collect_list(F.struct("hash", "kinds", "start", "n")).alias("runs"))
 
     def cut(batches):
         for batch in batches:
-            for row in range(batch.num_rows):
-                doc, tie, text, found = (batch.column(c)[row] for c in range(4))
-                data = text.as_py()
-                hash_, start, n = (np.asarray(c) for c in found.values.flatten())
-                segs = [data[s : s + k] for s, k in zip(start.tolist(), (n + (length - 1)).tolist())]
+            for doc, tie, text, found in zip(*batch.columns):
+                data, (hash_, kinds, start, n) = text.as_py(), (c for c in found.values.flatten())
+                segs = [data[a : a + k + length - 1] for a, k in zip(start.to_pylist(), n.to_pylist())]
                 yield pa.RecordBatch.from_arrays([
-                    pa.array(hash_), pa.array([doc.as_py()] * len(segs), pa.int64()), pa.array([tie.as_py()] * len(segs), pa.int64()),
-                    pa.array(start), pa.array(n), pa.array(segs, pa.binary()),
-                ], ["hash", "doc", "tie", "start", "n", "seg"])
+                    hash_, kinds, pa.array([doc.as_py()] * len(segs), pa.int64()), pa.array([tie.as_py()] * len(segs), pa.int64()),
+                    start, n, pa.array(segs, pa.binary()),
+                ], ["hash", "kinds", "doc", "tie", "start", "n", "seg"])
 
     texts = docs.join(wanted, ["doc", "tie"]).select("doc", "tie", "text", "runs")
-    found = texts.mapInArrow(cut, "hash long, doc long, tie long, start long, n int, seg binary")
-    found = materialize(found.withColumn("same", F.xxhash64("seg")))
-    discard(repeated)
-
-    # equal segments: the first stands for all, the others go whole
-    kinds = found.groupBy("hash", "same").agg(_first("doc", "tie", "start"))
-    counts = kinds.groupBy("hash").agg(F.count("*").alias("kinds"))
-    known = found.join(kinds, ["hash", "same"]).withColumn("own", F.struct("doc", "tie", "start") == F.col("first"))
-    whole = F.col("start") + F.col("n") + F.lit(length - 1)
-    later = known.filter("not own").select("doc", "tie", F.col("start").alias("begin"), whole.alias("end"))
-    left = materialize(known.filter("own").join(counts.filter("kinds > 1"), "hash").drop("same", "own", "first"))
-    spans = materialize(later.unionAll(copies).unionAll(_sorted_blocks(left.filter(F.col("kinds") <= hot), length, block)).unionAll(
-        _by_hash(left.filter(F.col("kinds") > hot), length)))
-    discard(found)
-    discard(left)
-    return spans.groupBy("doc", "tie").agg(merged_spans(F.collect_list(F.struct("begin", "end"))).alias("spans"))
+    return texts.mapInArrow(cut, "hash long, kinds long, doc long, tie long, start long, n int, seg binary")
 
 
 def _by_hash(rows, length):
     """Intervals of segments of which a gram has too many for one block: their single strings meet by 128 bits of hash."""
     single = rows.select("hash", "doc", "tie", "start", "seg", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("k")).select(
         "hash", "doc", "tie", (F.col("start") + F.col("k")).alias("begin"), F.xxhash64(F.substr("seg", F.col("k") + 1, F.lit(length))).alias("string"))
-    first = single.groupBy("hash", "string").agg(_first("doc", "tie", "begin"), F.count("*").alias("times")).filter("times > 1")
+    first = single.groupBy("hash", "string").agg(F.min(F.struct("doc", "tie", "begin")).alias("first"), F.count("*").alias("times")).filter("times > 1")
     later = single.join(first, ["hash", "string"]).filter(F.struct("doc", "tie", "begin") != F.col("first"))
     return later.select("doc", "tie", "begin", (F.col("begin") + F.lit(length)).alias("end"))
 
@@ -357,12 +382,15 @@ def cut_repeats(documents, length=LENGTH, **limits):
     What stays may begin or end inside a character, hence binary. See the
     module for null, short, equal and repeated rows.
     """
-    spans = repeated_spans(documents, length, **limits)
-    rows = document_rows(documents).select("doc_id", "doc", "tie", "text").join(spans, ["doc", "tie"], "left")
+    spans = materialize(repeated_spans(documents, length, **limits))
+    rows = document_rows(documents).select("doc_id", "doc", "tie", "text")
+    at, bits = F.xxhash64("doc", "tie"), bits_for(spans)
+    rows = with_maybe(rows, at, bit_table(spans.select(at.alias("hash")), bits), bits)
     none = F.array().cast("array<struct<begin:long,end:long>>")
-    return rows.select(
-        "doc_id", F.octet_length("text").cast("long").alias("n_bytes"), F.coalesce("spans", none).alias("spans"),
-        F.when(F.col("spans").isNull(), F.col("text")).otherwise(kept_bytes("text", "spans")).alias("kept"))
+    whole = rows.filter("not _maybe").select("doc_id", "text", none.alias("spans"), F.col("text").alias("kept"))
+    found = rows.filter("_maybe").join(spans, ["doc", "tie"], "left").withColumn("spans", F.coalesce("spans", none))
+    found = found.select("doc_id", "text", "spans", kept_bytes("text", "spans").alias("kept"))
+    return whole.unionAll(found).select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), "spans", "kept")
 
 
 def op13(spark, folder):
