@@ -279,9 +279,10 @@ def repeated_spans(documents, length=LENGTH, hot=HOT, block=BLOCK, chunk=CHUNK):
     # grams that are the least of several strings: a bit set of them spares the others a shuffle
     hashes = anchors(docs, length, chunk, ["hash"]).select(F.explode("runs.hash").alias("hash"))
     repeated = materialize(hashes.groupBy("hash").agg(F.count("*").alias("n")).filter("n > 1").select("hash"))
-    bits = bits_for(repeated)
+    # least hashes lie low, so they are hashed once more to spread over the bits
+    at, bits = F.xxhash64("hash"), bits_for(repeated)
     runs = anchors(docs, length, chunk).select("doc", "tie", F.inline("runs"))
-    runs = materialize(with_maybe(runs, F.col("hash"), bit_table(repeated, bits), bits).filter("_maybe").drop("_maybe"))
+    runs = materialize(with_maybe(runs, at, bit_table(repeated.select(at.alias("hash")), bits), bits).filter("_maybe").drop("_maybe"))
     discard(repeated)
 
     # equal segments: the first stands for all, the others go whole
