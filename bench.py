@@ -50,7 +50,7 @@ def main():
         "host_window_features": lambda: run(X.host_window_features(ev)),
         "stratified_reservoir": lambda: run(E.stratified_reservoir(ev)),
         "roc_auc": lambda: run(EV.roc_auc(w.triaged, "is_redteam", "risk_score")),
-        "incident_attack_match": lambda: run(EV.incident_attack_match(w.corr_labels, w.members, w.bridge)),
+        "incident_attack_match": lambda: run(EV.incident_attack_match(w.labels, w.members, w.bridge)),
         "investigation": lambda: run(investigate(ev, base, iocs).responses),
     }
     # inputs of single steps are tables in a real flow: written before timing

@@ -7,9 +7,10 @@ def fragment(name, sql, *needs):
     FRAGMENTS[name] = (sql, needs)
 
 
-def compose(query, *needs):
-    """`query` with the fragments it needs, in dependency order."""
+def compose(query, *needs, wide=False):
+    """`query` with the fragments it needs, in dependency order; `wide` takes the events in real time, over thirty days."""
     order = []
+    swap = _in_real_time if wide else lambda sql: sql
 
     def add(name):
         for n in FRAGMENTS[name][1]:
@@ -21,7 +22,15 @@ def compose(query, *needs):
         add(n)
     if not order:
         return query
-    return "WITH RECURSIVE " + ",\n".join(f"{n} AS ({FRAGMENTS[n][0]})" for n in order) + "\n" + query
+    body = lambda n: FRAGMENTS["evw" if wide and n == "ev" else n][0]
+    return swap("WITH RECURSIVE " + ",\n".join(f"{n} AS ({body(n)})" for n in order) + "\n" + query)
+
+
+def _in_real_time(sql):
+    """The study's cut times, 120 times as far from its origin."""
+    for cut in (702000, 707400, 712800):
+        sql = sql.replace(str(cut), str(691200 + (cut - 691200) * 120))
+    return sql
 
 
 def _canonical(squeeze):
@@ -82,43 +91,40 @@ JOIN pairs p ON p.usr = e.usr AND p.host = coalesce(e.dst, e.src) LEFT JOIN proc
 """, "ev", "recent_auth", "recent_proc", "pairs", "procs")
 
 
-def _scored(use3, use5):
-    r3, r5 = ("r3", "r5") if use3 else ("0", "0")
-    n = f"(r1 + r2 + {r3} + r4 + {r5} + r6 + r7)"
-    return f"""
+fragment("triaged", """
 SELECT *, points + CASE WHEN n >= 2 THEN 2 ELSE 0 END AS risk,
   CAST(points + CASE WHEN n >= 2 THEN 2 ELSE 0 END >= 3 AS INT) AS flagged,
   concat_ws(';', CASE WHEN r1 = 1 THEN 'R1_AUTH_FAILURE' END, CASE WHEN r2 = 1 THEN 'R2_AUTH_BURST' END,
-    CASE WHEN {r3} = 1 THEN 'R3_UNUSUAL_AUTH' END, CASE WHEN r4 = 1 THEN 'R4_RARE_USER_HOST' END,
-    CASE WHEN {r5} = 1 THEN 'R5_SUSPICIOUS_PROC' END, CASE WHEN r6 = 1 THEN 'R6_PROC_BURST' END,
+    CASE WHEN r3 = 1 THEN 'R3_UNUSUAL_AUTH' END, CASE WHEN r4 = 1 THEN 'R4_RARE_USER_HOST' END,
+    CASE WHEN r5 = 1 THEN 'R5_SUSPICIOUS_PROC' END, CASE WHEN r6 = 1 THEN 'R6_PROC_BURST' END,
     CASE WHEN r7 = 1 THEN 'R7_NETWORK_ANOMALY' END, CASE WHEN n >= 2 THEN 'R10_TEMPORAL_BURST' END) AS rules,
   concat_ws(' | ', CASE WHEN r1 = 1 THEN 'Authentication attempt failed' END,
     CASE WHEN r2 = 1 THEN 'Rapid auth burst: ' || auth_recent || ' logons in 5 minutes' END,
-    CASE WHEN {r3} = 1 THEN 'Network logon / NTLM authentication protocol observed' END,
+    CASE WHEN r3 = 1 THEN 'Network logon / NTLM authentication protocol observed' END,
     CASE WHEN r4 = 1 THEN 'Rare user-to-host lateral mapping (' || usr || ' -> ' || pair_host || ')' END,
-    CASE WHEN {r5} = 1 THEN 'Infrequently executed process (' || proc || ')' END,
+    CASE WHEN r5 = 1 THEN 'Infrequently executed process (' || proc || ')' END,
     CASE WHEN r6 = 1 THEN 'Process burst: ' || proc_recent || ' processes spawned in 2 minutes' END,
     CASE WHEN r7 = 1 THEN 'High-volume or prolonged network flow (' || bytes || ' bytes, ' || duration || 's)' END,
     CASE WHEN n >= 2 THEN 'Compound threat: ' || n || ' distinct risk indicators triggered simultaneously' END) AS reasons
-FROM (SELECT *, {n} AS n, 2*r1 + 2*r2 + {r3} + 2*r4 + 2*{r5} + 2*r6 + r7 AS points FROM fired)
-"""
-
+FROM (SELECT *, r1 + r2 + r3 + r4 + r5 + r6 + r7 AS n, 2*r1 + 2*r2 + r3 + 2*r4 + 2*r5 + 2*r6 + r7 AS points FROM fired)
+""", "fired")
 
-fragment("triaged", _scored(True, True), "fired")
 fragment("cand", "SELECT *, CASE event_type WHEN 'auth' THEN 'AuthenticationAgent' WHEN 'process' THEN 'ProcessAgent' "
-         "ELSE 'NetworkAgent' END AS agent FROM (" + _scored(False, False) + ") WHERE flagged = 1", "fired")
+         "ELSE 'NetworkAgent' END AS agent FROM triaged WHERE flagged = 1", "triaged")
 
 # correlation: consecutive events of one entity within the gap are linked
 def correlation(prefix, gap, source="cand"):
     fragment(f"{prefix}ent", f"SELECT event_id, ts, 'u' || usr AS e FROM {source} UNION ALL "
-             f"SELECT event_id, ts, 'h' || corr_host FROM {source}", source)
+             f"SELECT event_id, ts, 'h' || src FROM {source} UNION ALL "
+             f"SELECT event_id, ts, 'h' || dst FROM {source} WHERE dst IS NOT NULL AND dst <> src", source)
     fragment(f"{prefix}nxt", f"SELECT event_id AS a, lead(event_id) OVER w AS b, lead(ts) OVER w - ts AS gap FROM {prefix}ent "
              "WINDOW w AS (PARTITION BY e ORDER BY ts, event_id)", f"{prefix}ent")
     fragment(f"{prefix}lnk", f"SELECT a, b FROM {prefix}nxt WHERE gap <= {gap} UNION SELECT b, a FROM {prefix}nxt WHERE gap <= {gap}",
              f"{prefix}nxt")
-    fragment(f"{prefix}reach", f"SELECT event_id AS n, event_id AS m FROM {source} UNION "
-             f"SELECT r.n, l.b FROM {prefix}reach r JOIN {prefix}lnk l ON l.a = r.m", f"{prefix}lnk")
-    fragment(f"{prefix}comp", f"SELECT n AS event_id, min(m) AS component FROM {prefix}reach GROUP BY 1", f"{prefix}reach")
+    reach = f"{prefix}reach(n, m) USING KEY (n)"  # the smallest event that reaches n, so far
+    fragment(reach, f"SELECT event_id, event_id FROM {source} UNION SELECT l.b, min(r.m) FROM {prefix}reach r JOIN {prefix}lnk l ON l.a = r.n "
+             f"JOIN recurring.{prefix}reach p ON p.n = l.b WHERE r.m < p.m GROUP BY l.b", f"{prefix}lnk")
+    fragment(f"{prefix}comp", f"SELECT n AS event_id, m AS component FROM {prefix}reach", reach)
     fragment(f"{prefix}mem", f"SELECT c.*, k.component FROM {source} c JOIN {prefix}comp k USING (event_id) "
              f"WHERE component IN (SELECT component FROM {source} JOIN {prefix}comp USING (event_id) GROUP BY 1 "
              "HAVING count(*) >= 3 OR max(risk) >= 5)", f"{prefix}comp")
@@ -128,7 +134,7 @@ correlation("", 600)
 correlation("g300_", 300)
 correlation("g1800_", 1800)
 fragment("bridge", "SELECT DISTINCT component, 'user' AS entity_type, usr AS entity FROM mem UNION "
-         "SELECT DISTINCT component, 'host', corr_host FROM mem UNION "
+         "SELECT DISTINCT component, 'host', src FROM mem UNION SELECT DISTINCT component, 'host', dst FROM mem WHERE dst IS NOT NULL UNION "
          "SELECT DISTINCT component, 'process', proc FROM mem WHERE proc IS NOT NULL", "mem")
 fragment("inc0", """
 SELECT component, min(ts) AS t0, max(ts) AS t1, greatest(1, max(ts) - min(ts)) AS dur, count(*) AS n,
@@ -136,10 +142,11 @@ SELECT component, min(ts) AS t0, max(ts) AS t1, greatest(1, max(ts) - min(ts)) A
   string_agg(DISTINCT event_type, ';' ORDER BY event_type) AS sources, count(DISTINCT event_type) AS n_sources,
   string_agg(DISTINCT agent, ';' ORDER BY agent) AS agents, count(DISTINCT agent) AS n_agents,
   string_agg(DISTINCT usr, ';' ORDER BY usr) AS users, count(DISTINCT usr) AS n_users,
-  string_agg(DISTINCT corr_host, ';' ORDER BY corr_host) AS hosts, count(DISTINCT corr_host) AS n_hosts,
+  any_value(h.hosts) AS hosts, any_value(h.n) AS n_hosts,
   coalesce(string_agg(DISTINCT proc, ';' ORDER BY proc), '') AS processes, count(DISTINCT proc) AS n_processes,
   max(CAST(contains(rules, 'BURST') AS INT)) AS has_burst
-FROM mem GROUP BY component""", "mem")
+FROM mem JOIN (SELECT component, string_agg(entity, ';' ORDER BY entity) AS hosts, count(*) AS n FROM bridge WHERE entity_type = 'host' GROUP BY 1) h USING (component)
+GROUP BY component""", "mem", "bridge")
 fragment("inc", "SELECT *, 'INC-' || CASE WHEN no < 10000 THEN lpad(CAST(no AS VARCHAR), 4, '0') ELSE CAST(no AS VARCHAR) END AS incident_id "
          "FROM (SELECT *, row_number() OVER (ORDER BY t0, n DESC, component) AS no FROM inc0)", "inc0")
 SCORED = """

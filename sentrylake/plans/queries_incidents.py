@@ -1,18 +1,24 @@
 """Queries: correlation, incidents, scoring, review and documented variants."""
 
+from functools import partial
+
 from pyspark.sql import functions as F
 
 from sentrylake.functions import fixed_values as V
 from sentrylake.functions.scale import gap_segments
+from sentrylake.operators import baselines as B
 from sentrylake.operators import correlate as C
 from sentrylake.operators import incidents as I
 from sentrylake.operators import lists as L
 from sentrylake.operators import variants as VA
 from sentrylake.plans import queries_rules  # noqa: F401  (its SQL fragments are used here)
 from sentrylake.plans.fragments import SCORED, fragment
-from sentrylake.plans.registry import register
+from sentrylake.plans import registry
 from sentrylake.sources.driver_tables import verdict_log
 
+# every query here runs in real time, over thirty days, on all rules and both hosts
+register = partial(registry.register, wide=True)
+
 # ---- correlation ---------------------------------------------------------------------------
 
 register("collect_candidates", lambda w: C.collect_candidates(
@@ -85,7 +91,7 @@ JOIN (SELECT m, count(DISTINCT e) AS h FROM {cc} JOIN gent ON event_id = n WHERE
 
 
 graph_query("graph_alert_clusters", 600)
-graph_query("graph_alert_clusters_short_gap", 1)
+graph_query("graph_alert_clusters_short_gap", 60)
 
 # ---- the whole chain on specialist findings, real users and both hosts ---------------------------
 
@@ -217,16 +223,22 @@ SELECT component, round(least(100, risk_score / 100 * 50 + CASE WHEN n_hosts >=
 register("confidence_v2", lambda w: VA.confidence_v2(w.scored).select("component", "confidence_v2"), """
 SELECT component, CAST(least(100, least(50, n_sources * 25) + least(25, n * 2.5) + CASE WHEN n_agents >= 2 THEN 25 ELSE 0 END) AS DOUBLE) AS confidence_v2 FROM scored""", ["scored"])
 prob = lambda w: w.triaged.withColumn("probability", F.col("risk_score") / 10)
-register("escalated_lookup", lambda w: VA.escalated_lookup(
-    prob(w).filter("event_type = 'auth'").withColumn("destination_host", F.col("source_host")), w.events), """
-SELECT a.event_id AS auth_event_id, a.ts AS auth_time, a.src AS host, p.proc AS process, p.event_id AS process_event_id, p.ts AS process_time
-FROM triaged a JOIN ev p ON p.src = a.src AND p.event_type = 'process' AND a.ts - p.ts BETWEEN 0 AND 300
+registry.register("escalated_lookup", lambda w: VA.escalated_lookup(prob(w).filter("event_type = 'auth'"), w.events), """
+SELECT a.event_id AS auth_event_id, a.ts AS auth_time, a.dst AS host, p.proc AS process, p.event_id AS process_event_id, p.ts AS process_time
+FROM triaged a JOIN ev p ON p.src = a.dst AND p.event_type = 'process' AND a.ts - p.ts BETWEEN 0 AND 300
 WHERE a.event_type = 'auth' AND a.risk / 10 >= 0.7""", ["triaged"])
+def rarity(w):
+    """How rare the pair of user and host of an event is: 1 for a pair seen once."""
+    host = F.coalesce("destination_host", "source_host").alias("host")
+    return w.events.select("event_id", "user", host).join(B.pair_frequency(w.events), ["user", "host"]).select(
+        "event_id", (1 / F.col("pair_count")).alias("probability"))
+
+
 register("evidence_conflicts", lambda w: VA.evidence_conflicts(
-    w.events.select("event_id", (F.length("corr_host") / 4).alias("probability")),
-    w.triaged.filter("risk_score > 0").select("event_id", F.col("triggered_rules").alias("rules"), (F.col("risk_score") >= 6).cast("int").alias("strong")), high=0.9, low=0.75), """
-SELECT event_id, length(corr_host) / 4 AS probability, CASE WHEN length(corr_host) / 4 >= 0.9 AND risk = 0 THEN 'unexplained_anomaly' ELSE 'rule_overrides_model' END AS conflict
-FROM triaged WHERE (length(corr_host) / 4 >= 0.9 AND risk = 0) OR (length(corr_host) / 4 <= 0.75 AND risk >= 6)""", ["triaged"])
+    rarity(w),
+    w.triaged.filter("risk_score > 0").select("event_id", F.col("triggered_rules").alias("rules"), (F.col("risk_score") >= 6).cast("int").alias("strong")), high=0.5, low=0.25), """
+SELECT event_id, round(1 / pair_count, 6) AS probability, CASE WHEN pair_count <= 2 AND risk = 0 THEN 'unexplained_anomaly' ELSE 'rule_overrides_model' END AS conflict
+FROM triaged JOIN pairs USING (usr) WHERE host = pair_host AND ((pair_count <= 2 AND risk = 0) OR (pair_count >= 4 AND risk >= 6))""", ["triaged", "pairs"])
 register("rule_variants", lambda w: VA.rule_variants(w.events), """
 SELECT event_id, 'failure_burst_3' AS rule FROM (SELECT event_id, count(*) OVER (PARTITION BY usr ORDER BY ts RANGE BETWEEN 300 PRECEDING AND CURRENT ROW) AS n
   FROM ev WHERE event_type = 'auth' AND contains(lower(details), 'fail')) WHERE n >= 3
@@ -242,9 +254,9 @@ SELECT 'R' || h AS destination_host, n AS contacts, round(s, 6) AS gap_std FROM
  WHERE g IS NOT NULL GROUP BY 1) WHERE n >= 5 AND s <= 1900""", ["ev"])
 register("list_adjustment", lambda w: VA.list_adjustment(
     w.triaged.select("event_id", "user", "source_host", "process", "risk_score"), w.iocs,
-    w.events.filter("is_redteam = 1 and process is not null").select("user", F.col("source_host").alias("host"), "process")).select("event_id", "adjusted_risk"), """
+    w.events.filter("process is not null and md5(process) like '8%'").select("user", F.col("source_host").alias("host"), "process")).select("event_id", "adjusted_risk"), """
 SELECT event_id, CAST(greatest(0, risk + CASE WHEN usr IN (SELECT value FROM badu) OR src IN (SELECT value FROM badh) THEN 20 ELSE 0 END
- - CASE WHEN EXISTS (SELECT 1 FROM ev s WHERE s.is_redteam = 1 AND s.proc = t.proc AND s.usr = t.usr AND s.src = t.src) THEN 30 ELSE 0 END) AS BIGINT) AS adjusted_risk
+ - CASE WHEN t.proc IS NOT NULL AND md5(t.proc) LIKE '8%' THEN 30 ELSE 0 END) AS BIGINT) AS adjusted_risk
 FROM triaged t""", ["triaged", "badu", "badh"])
 register("response_actions", lambda w: VA.response_actions(w.scored).select("component", "action_id", "techniques", "status"), """
 SELECT component, action_id, techniques, CASE WHEN mode = 'human' THEN 'AWAITING_APPROVAL' ELSE 'AUTOMATIC' END AS status FROM scored, (VALUES

@@ -18,7 +18,7 @@ from sentrylake.plans import queries_incidents  # noqa: F401  (its SQL fragments
 from sentrylake.plans.fragments import fragment
 from sentrylake.plans.investigate import investigate
 from sentrylake.plans.registry import register
-from sentrylake.plans.workspace import CANDIDATE_SKIP, TRAIN_END
+from sentrylake.plans.workspace import TRAIN_END
 from sentrylake.sources.driver_tables import threat_rows
 
 INT_FEATURES = [f for f in V.WINDOW_FEATURES if f not in (
@@ -184,16 +184,16 @@ severe = lambda w: w.full.members.join(w.full.responses.filter("severity in ('Cr
 register("event_level_eval", lambda w: EV.event_level_eval(w.events, w.full.findings, w.full.members, severe(w)), metric_sql("""
 SELECT 'specialists' AS scope, is_redteam AS y, CAST(event_id IN (SELECT event_id FROM finds) AS INT) AS pred FROM ev UNION ALL
 SELECT 'incidents', is_redteam, CAST(event_id IN (SELECT event_id FROM imem) AS INT) FROM ev UNION ALL
-SELECT 'escalated', is_redteam, CAST(event_id IN (SELECT event_id FROM imem JOIN iscored USING (component) WHERE severity IN ('Critical', 'High')) AS INT) FROM ev""", "scope"), ["finds", "imem", "iscored"])
+SELECT 'escalated', is_redteam, CAST(event_id IN (SELECT event_id FROM imem JOIN iscored USING (component) WHERE severity IN ('Critical', 'High')) AS INT) FROM ev""", "scope"), ["finds", "imem", "iscored"], wide=True)
 fragment("near", """
-SELECT l.event_id, i.component, greatest(0, i.t0 - l.ts, l.ts - i.t1) AS d FROM (SELECT event_id, ts, usr, corr_host FROM ev WHERE is_redteam = 1) l JOIN inc i
-ON greatest(0, i.t0 - l.ts, l.ts - i.t1) <= 600 AND (list_contains(string_split(i.users, ';'), l.usr) OR list_contains(string_split(i.hosts, ';'), l.corr_host))""", "inc", "ev")
-register("incident_attack_match", lambda w: EV.incident_attack_match(w.corr_labels, w.members, w.bridge), """
+SELECT l.event_id, i.component, greatest(0, i.t0 - l.ts, l.ts - i.t1) AS d FROM (SELECT event_id, ts, usr, src, dst FROM ev WHERE is_redteam = 1) l JOIN inc i
+ON greatest(0, i.t0 - l.ts, l.ts - i.t1) <= 600 AND (list_contains(string_split(i.users, ';'), l.usr) OR list_contains(string_split(i.hosts, ';'), l.src) OR list_contains(string_split(i.hosts, ';'), l.dst))""", "inc", "ev")
+register("incident_attack_match", lambda w: EV.incident_attack_match(w.labels, w.members, w.bridge), """
 SELECT CAST(t AS BIGINT) AS tolerance, a AS attacks, c AS captured, a - c AS missed, round(c * 100 / a, 2) AS attack_recall, i AS incidents, h AS tp_incidents, i - h AS fp_incidents,
  round(h * 100 / i, 2) AS incident_precision FROM (SELECT t, count(DISTINCT event_id) FILTER (d <= t) AS c, count(DISTINCT component) FILTER (d <= t) AS h FROM near,
- (SELECT unnest([0, 60, 300, 600]) AS t) GROUP BY 1), (SELECT count(*) AS a FROM ev WHERE is_redteam = 1), (SELECT count(*) AS i FROM inc)""", ["near"])
-register("unmatched_attacks", lambda w: EV.unmatched_attacks(w.corr_labels, w.members, w.bridge).select("event_id", "timestamp", "user"), """
-SELECT event_id, ts AS timestamp, usr AS "user" FROM ev WHERE is_redteam = 1 AND event_id NOT IN (SELECT event_id FROM near WHERE d <= 60)""", ["near"])
+ (SELECT unnest([0, 60, 300, 600]) AS t) GROUP BY 1), (SELECT count(*) AS a FROM ev WHERE is_redteam = 1), (SELECT count(*) AS i FROM inc)""", ["near"], wide=True)
+register("unmatched_attacks", lambda w: EV.unmatched_attacks(w.labels, w.members, w.bridge).select("event_id", "timestamp", "user"), """
+SELECT event_id, ts AS timestamp, usr AS "user" FROM ev WHERE is_redteam = 1 AND event_id NOT IN (SELECT event_id FROM near WHERE d <= 60)""", ["near"], wide=True)
 
 
 def minute_windows(w):
@@ -206,20 +206,20 @@ flagged = lambda w: w.triaged.filter("is_suspicious = 1")
 spans = lambda w: w.incidents.select("time_start", "time_end")
 register("window_alert_overlap", lambda w: EV.window_alert_overlap(minute_windows(w), flagged(w), spans(w)).select("window_id", "event_alert", "incident_alert"), """
 SELECT window_id, CAST(EXISTS (SELECT 1 FROM triaged t WHERE t.flagged = 1 AND t.ts BETWEEN a AND b) AS BIGINT) AS event_alert,
- CAST(EXISTS (SELECT 1 FROM inc WHERE t1 >= a AND t0 <= b) AS BIGINT) AS incident_alert FROM mw""", ["mw", "triaged", "inc"])
-graph = lambda w: C.graph_alert_clusters(w.events, gap=1).select("time_start", "time_end")
+ CAST(EXISTS (SELECT 1 FROM inc WHERE t1 >= a AND t0 <= b) AS BIGINT) AS incident_alert FROM mw""", ["mw", "triaged", "inc"], wide=True)
+graph = lambda w: C.graph_alert_clusters(w.events, gap=60).select("time_start", "time_end")
 # a fixed linear model of window features, so that its scores can be compared
 minute_score = lambda w: X.tumbling_features(w.indicated, 60).select(
     "window_id", (3 * (F.col("is_flow") + F.col("auth_fail")) / F.col("total_events")).alias("score"))
-fragment("gspan", "SELECT m, min(ts) AS t0, max(ts) AS t1 FROM gcc1 JOIN ev ON event_id = n JOIN (SELECT m, count(DISTINCT e) AS h FROM gcc1 JOIN gent ON event_id = n "
-         "WHERE e LIKE 'h%' GROUP BY 1) USING (m) GROUP BY 1 HAVING count(*) >= 3 AND any_value(h) >= 2", "gcc1(n, m) USING KEY (n)")
+fragment("gspan", "SELECT m, min(ts) AS t0, max(ts) AS t1 FROM gcc60 JOIN ev ON event_id = n JOIN (SELECT m, count(DISTINCT e) AS h FROM gcc60 JOIN gent ON event_id = n "
+         "WHERE e LIKE 'h%' GROUP BY 1) USING (m) GROUP BY 1 HAVING count(*) >= 3 AND any_value(h) >= 2", "gcc60(n, m) USING KEY (n)")
 register("four_system_comparison", lambda w: EV.four_system_comparison(minute_windows(w), flagged(w), graph(w), minute_score(w), spans(w)), metric_sql("""
 SELECT system, y, CASE system WHEN 'rule_triage' THEN e WHEN 'incidents' THEN i WHEN 'graph_clusters' THEN g WHEN 'model_0.8459' THEN CAST(coalesce(s >= 0.8459, FALSE) AS INT)
  ELSE CAST(coalesce(s >= 0.93, FALSE) AS INT) END AS pred FROM
  (SELECT y, CAST(EXISTS (SELECT 1 FROM triaged t WHERE t.flagged = 1 AND t.ts BETWEEN a AND b) AS INT) AS e, CAST(EXISTS (SELECT 1 FROM inc WHERE t1 >= a AND t0 <= b) AS INT) AS i,
   CAST(EXISTS (SELECT 1 FROM gspan WHERE t1 >= a AND t0 <= b) AS INT) AS g, s FROM mw LEFT JOIN
   (SELECT (ts - 691200) // 60 AS window_id, 3 * (sum(is_flow) + sum(auth_fail)) / count(*) AS s FROM ind GROUP BY 1) USING (window_id)),
- (SELECT unnest(['rule_triage', 'incidents', 'graph_clusters', 'model_0.8459', 'model_0.93']) AS system)""", "system"), ["mw", "triaged", "inc", "gspan", "ind"])
+ (SELECT unnest(['rule_triage', 'incidents', 'graph_clusters', 'model_0.8459', 'model_0.93']) AS system)""", "system"), ["mw", "triaged", "inc", "gspan", "ind"], wide=True)
 register("specialist_ablation", lambda w: EV.specialist_ablation(w.events, w.findings), metric_sql("""
 SELECT CAST(stage AS BIGINT) AS stage, is_redteam AS y, CAST(event_id IN (SELECT event_id FROM finds WHERE CASE agent WHEN 'AuthenticationAgent' THEN 1 WHEN 'ProcessAgent' THEN 2 ELSE 3 END <= stage) AS INT) AS pred
 FROM ev, (SELECT unnest([1, 2, 3]) AS stage)""", "stage"), ["finds"])
@@ -240,7 +240,7 @@ SELECT criterion, matched, (SELECT count(*) FROM lab) AS labels FROM (
    EXISTS (SELECT 1 FROM q0 WHERE (q0.ts - 691200) // 300 = (l.ts + 1 - 691200) // 300 AND q0.src = l.src) AS f,
    EXISTS (SELECT 1 FROM q0 WHERE (q0.ts - 691200) // 300 = (l.ts + 1 - 691200) // 300 AND q0.dst = l.dst) AS g FROM lab l))""", ["lab", "q0"])
 register("label_invariance_check", lambda w: EV.label_invariance_check(
-    lambda df: triage(df, rare_pair_at_most=1, skip=CANDIDATE_SKIP).select("event_id", "risk_score", "is_suspicious"), w.events).agg(
+    lambda df: triage(df, rare_pair_at_most=1).select("event_id", "risk_score", "is_suspicious"), w.events).agg(
     F.count("*").alias("differences")), "SELECT CAST(count(*) AS BIGINT) AS differences FROM events WHERE FALSE")
 
 
@@ -270,7 +270,7 @@ SELECT stage, CAST(0 AS BIGINT) AS differences FROM (SELECT unnest(['findings',
 register("coverage_metrics", lambda w: EV.coverage_metrics(w.events, w.members), """
 SELECT e AS events, CAST(l AS BIGINT) AS labels, c AS captured, li AS label_incidents, i AS incidents, round(c * 100 / l, 6) AS label_coverage, round((e - i) * 100 / e, 6) AS alert_reduction FROM
  (SELECT count(*) AS e, sum(is_redteam) AS l FROM ev), (SELECT count(*) FILTER (is_redteam = 1) AS c, count(DISTINCT component) FILTER (is_redteam = 1) AS li,
-  count(DISTINCT component) AS i FROM mem)""", ["ev", "mem"])
+  count(DISTINCT component) AS i FROM mem)""", ["ev", "mem"], wide=True)
 
 # ---- models ------------------------------------------------------------------------------------
 

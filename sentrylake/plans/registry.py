@@ -24,8 +24,11 @@ def tidy(df):
     return df.select(*out)
 
 
-def register(name, run, sql=None, needs=()):
-    """`run(workspace)` gives the result; `sql` is its oracle over `needs`."""
-    QUERIES[name] = lambda spark, folder: tidy(run(workspace(spark, folder)))
+def register(name, run, sql=None, needs=(), wide=False):
+    """`run(workspace)` gives the result; `sql` is its oracle over `needs`.
+
+    `wide` runs both on the events in real time instead of thirty days packed into six hours.
+    """
+    QUERIES[name] = lambda spark, folder: tidy(run(workspace(spark, folder, wide)))
     if sql is not None:
-        ORACLES[name] = compose(sql, *needs)
+        ORACLES[name] = compose(sql, *needs, wide=wide)

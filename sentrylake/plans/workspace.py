@@ -20,29 +20,34 @@ from sentrylake.operators.lists import build_iocs
 from sentrylake.operators.triage import triage
 from sentrylake.plans.investigate import investigate
 from sentrylake.session import materialize
-from sentrylake.sources.driver_tables import canonical_events, red_team_labels, threat_rows
+from sentrylake.sources.driver_tables import canonical_events, red_team_labels, table, threat_rows
 
 TRAIN_END, VALIDATION_END, END = 702000, 707400, 712800
-CANDIDATE_SKIP = ("R3_UNUSUAL_AUTH", "R5_SUSPICIOUS_PROC")
 ML_WINDOW = 30
 
 _open = {}
 
 
-def workspace(spark: SparkSession, folder: str) -> "Workspace":
-    key = (spark.sparkContext.applicationId, folder)
-    if key not in _open:
-        _open[key] = Workspace(spark, folder)
-    return _open[key]
+def workspace(spark: SparkSession, folder: str, wide=False) -> "Workspace":
+    """The workspace of a folder; of a folder that was rewritten, a new one."""
+    events = table(spark, folder, "events")
+    state = events.select("_metadata.file_path", "_metadata.file_modification_time", "_metadata.file_size").distinct()
+    version = state.agg(F.max("file_modification_time"), F.sum("file_size"), F.count("*")).first()
+    key = (spark.sparkContext.applicationId, folder, wide)
+    if key not in _open or _open[key][0] != version:
+        _open[key] = version, Workspace(spark, folder, 1 if wide else 120)
+    return _open[key][1]
 
 
 class Workspace:
-    def __init__(self, spark, folder):
-        self.spark, self.folder = spark, folder
+    def __init__(self, spark, folder, squeeze=120):
+        self.spark, self.folder, self.squeeze = spark, folder, squeeze
+        self.train_end, self.validation_end = (
+            V.STUDY_ORIGIN + (t - V.STUDY_ORIGIN) * 120 // squeeze for t in (TRAIN_END, VALIDATION_END))
 
     @cached_property
     def events(self) -> DataFrame:
-        return canonical_events(self.spark, self.folder)
+        return canonical_events(self.spark, self.folder, self.squeeze)
 
     @cached_property
     def wide(self) -> DataFrame:
@@ -55,7 +60,7 @@ class Workspace:
 
     @cached_property
     def iocs(self) -> DataFrame:
-        return build_iocs(threat_rows(self.events))
+        return materialize(build_iocs(threat_rows(self.events)))
 
     @cached_property
     def triaged(self) -> DataFrame:
@@ -63,25 +68,16 @@ class Workspace:
 
     @cached_property
     def candidates(self) -> DataFrame:
-        """Flagged events for correlation, linked by user and `corr_host`."""
-        flagged = triage(self.events, rare_pair_at_most=1, skip=CANDIDATE_SKIP).filter("is_suspicious = 1")
+        """All events that triage flags, with their users and both hosts."""
+        flagged = self.triaged.filter("is_suspicious = 1")
         rows = S.route_events(flagged).select(
             "event_id", "timestamp", "event_type", "user", "source_user", "destination_user",
-            F.lit(None).cast("string").alias("source_host"),
-            F.col("corr_host").alias("destination_host"),
-            "process", "action", "details", "agent",
+            "source_host", "destination_host", "process", "action", "details", "agent",
             F.col("risk_score").cast("bigint").alias("risk_score"),
             F.col("triggered_rules").alias("rules"), F.col("triage_reasons").alias("evidence"),
         )
         return materialize(rows)
 
-    @cached_property
-    def corr_labels(self) -> DataFrame:
-        return self.events.filter("is_redteam = 1").select(
-            "event_id", "timestamp", "user", F.lit(None).cast("string").alias("source_host"),
-            F.col("corr_host").alias("destination_host"),
-        )
-
     @cached_property
     def components(self) -> DataFrame:
         return materialize(C.correlate_incidents(self.candidates))
@@ -110,7 +106,7 @@ class Workspace:
     @cached_property
     def baseline(self) -> B.Baseline:
         """Profiles learned before the training cutoff, applied to later rows too."""
-        return B.store_baseline(B.build_baseline(B.baseline_cutoff(self.events, TRAIN_END)))
+        return B.store_baseline(B.build_baseline(B.baseline_cutoff(self.events, self.train_end)))
 
     @cached_property
     def findings(self) -> DataFrame:
@@ -123,7 +119,7 @@ class Workspace:
 
     @cached_property
     def rare(self) -> DataFrame:
-        return B.rare_process_set(self.events, TRAIN_END)
+        return B.rare_process_set(self.events, self.train_end)
 
     @cached_property
     def indicated(self) -> DataFrame:
@@ -142,7 +138,7 @@ class Workspace:
 
     def split_of(self, size):
         start = F.col("window_id") * size + V.STUDY_ORIGIN
-        return F.when(start < TRAIN_END, "train").when(start < VALIDATION_END, "validation").otherwise("test")
+        return F.when(start < self.train_end, "train").when(start < self.validation_end, "validation").otherwise("test")
 
     def ml_split(self, name) -> DataFrame:
         return self.ml_windows.filter(F.col("split") == name)
