@@ -1,94 +1,93 @@
 """Source divergence audit on count vectors.
 
-`CountVectorizer` with minDF and the largest vocabulary size fits the terms of
-every language at once: a term carries its language, and a document has one, so
-document frequencies are those within the language. It gives each document an
-exact sparse vector; vectors are added up by (language, source), sparse, and
-each group is compared with every other of its language and with the language.
-
-The vocabulary of a fit goes through the driver. It is bounded: terms are dealt
-by hash into as many blocks as keep one fit below VOCABULARY different terms,
-each block with its own fit and vectors; sums do not depend on the blocks.
+Every document becomes an exact sparse vector, the counts of its terms. A
+vocabulary is fitted for each language: the terms of at least MIN_DOCUMENTS of
+its documents, as many as there are. Vectors are added up by (language, source)
+and cut to the vocabulary, and each group is compared with every other of its
+language and with the language itself.
+
+Vocabularies grow with the corpus, so none goes through the driver or into a
+broadcast, as that of Spark ML's CountVectorizer does. A task adds up the
+vectors of its documents, term by term, and passes them on whenever it holds
+HELD sums; document frequencies travel along, and the vocabulary is a table
+that is joined to the sums.
 
 Pairs are evaluated from sparse counts: a pair's sum over all terms is that of
 two histograms of counts against an absent term, corrected on the terms that
 both sources have, plus the terms that neither has.
 """
 
-import uuid
+import re
+from collections import Counter
+from collections.abc import Iterator
 
-from pyspark.ml.feature import CountVectorizer
+import pyarrow as pa
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from sentrylake.functions.scale import top_k_per_group
-from sentrylake.session import checkpoint_root, discard, materialize
+from sentrylake.llm.common import short_batches, texts_of
+from sentrylake.session import discard, materialize
 
 MIN_DOCUMENTS = 3
-VOCABULARY = 1_000_000
-LARGEST = (1 << 31) - 1
 UNIT = 1_000_000_000
 TERMS = 200
-TERM = r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+"
-UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-MARK = "\0"  # no term has it
-# a stored vector, read as what it is made of
-VECTOR = "lang string, source string, vector struct<type:tinyint,size:int,indices:array<int>,values:array<double>>"
-
-
-def document_terms(documents):
-    """(lang, source, terms) of every document: terms in order, each after its language and MARK; nulls are ''."""
-    text, lang, source = (F.coalesce(F.col(c).cast("string"), F.lit("")) for c in ("text", "lang", "source"))
-    terms = F.regexp_extract_all(F.translate(text, UPPER, LOWER), F.lit(TERM), F.lit(0))
-    return documents.select(lang.alias("lang"), source.alias("source"), terms.alias("terms")).withColumn(
-        "terms", F.transform("terms", lambda t: F.concat(F.col("lang"), F.lit(MARK), t)))
-
-
-def _blocks(rows, vocabulary):
-    """The rows by blocks of terms that have at most about `vocabulary` different ones each, and the numbers of the blocks."""
-    distinct = rows.select(F.explode("terms").alias("t")).agg(F.approx_count_distinct("t", 0.02)).first()[0]
-    blocks = int(-(-distinct // vocabulary))
-    if blocks <= 1:
-        return [rows], None
-    each = rows.withColumn("_id", F.monotonically_increasing_id()).select("_id", "lang", "source", F.explode("terms").alias("t"))
-    dealt = each.withColumn("block", F.pmod(F.xxhash64("t"), F.lit(blocks)).cast("int"))
-    dealt = materialize(dealt.groupBy("block", "_id", "lang", "source").agg(F.collect_list("t").alias("terms")).repartition("block", "_id"))
-    return [dealt.filter(F.col("block") == b).select("lang", "source", "terms") for b in range(blocks)], dealt
-
-
-def group_counts(documents, min_documents=MIN_DOCUMENTS, vocabulary=VOCABULARY):
+TERM = re.compile(r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+")
+HELD = 300_000
+LONG = 1 << 20  # texts beyond it are not split at once
+SUMS = "lang string, source string, term string, count long, documents long"
+
+
+def count_vector(text):
+    """The counts of a text's terms, only A to Z lower-cased."""
+    text = text.encode().lower().decode()
+    if len(text) <= LONG:
+        return Counter(TERM.findall(text))
+    return Counter(found.group() for found in TERM.finditer(text))
+
+
+def group_sums(documents, held=HELD):
+    """(lang, source, term, count, documents): the vectors of each group added up, and the documents that have the term; nulls are ''."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums, documents_of, size = {}, {}, 0
+
+        def parts():
+            for (lang, source), terms in sums.items():
+                n = len(terms)
+                seen = documents_of[lang, source]
+                yield pa.RecordBatch.from_arrays([
+                    pa.array([lang] * n), pa.array([source] * n), pa.array(list(terms), pa.string()), pa.array(list(terms.values()), pa.int64()),
+                    pa.array([seen[t] for t in terms], pa.int64()),
+                ], ["lang", "source", "term", "count", "documents"])
+
+        for batch in batches:
+            for lang, source, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), texts_of(batch.column(2))):
+                vector = count_vector(text)
+                total, seen = sums.setdefault((lang, source), Counter()), documents_of.setdefault((lang, source), Counter())
+                size -= len(total)
+                total.update(vector)
+                seen.update(vector.keys())
+                size += len(total)
+                if size >= held:
+                    yield from parts()
+                    sums, documents_of, size = {}, {}, 0
+        yield from parts()
+
+    short_batches(documents.sparkSession)
+    name = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c)
+    found = documents.select(name("lang"), name("source"), name("text")).mapInArrow(run, SUMS)
+    return found.groupBy("lang", "source", "term").agg(F.sum("count").alias("count"), F.sum("documents").alias("documents"))
+
+
+def group_counts(documents, min_documents=MIN_DOCUMENTS, held=HELD):
     """(lang, term, source, count) of the kept terms that occur in each group, and (lang, term) of all kept terms; both written."""
-    spark = documents.sparkSession
-    rows = document_terms(documents)
-    # every document has the mark, so that no fit is without terms
-    marked = lambda part: part.withColumn("terms", F.concat(F.array(F.lit(MARK)), F.col("terms")))
-    sums = kept = None
-    parts, dealt = _blocks(rows, vocabulary)
-    for part in parts if rows.limit(min_documents).count() >= min_documents else []:
-        part = marked(part)
-        if part.limit(min_documents).count() < min_documents:
-            continue
-        model = CountVectorizer(inputCol="terms", outputCol="vector", minDF=min_documents, vocabSize=LARGEST).fit(part)
-        folder = f"{checkpoint_root(spark)}/vocabulary-{uuid.uuid4().hex}"
-        model.write().save(folder)
-        words = spark.read.parquet(f"{folder}/data").select(F.posexplode("vocabulary").alias("index", "word"))
-        words = words.filter(F.col("word") != MARK).select(
-            "index", F.substring_index("word", MARK, 1).alias("lang"), F.substring_index("word", MARK, -1).alias("term"))
-        words = materialize(words)
-        vectors = materialize(model.transform(part).select("lang", "source", "vector"))
-        stored = spark.read.schema(VECTOR).parquet(vectors._stored_at)
-        cells = stored.select("lang", "source", F.explode(F.arrays_zip("vector.indices", "vector.values")).alias("c"))
-        added = cells.groupBy("lang", "source", F.col("c.indices").alias("index")).agg(
-            F.sum(F.col("c.values").cast("long")).alias("count"))
-        found = materialize(added.join(words.drop("lang"), "index").select("lang", "term", "source", "count"))
-        discard(vectors)
-        sums, kept = (x if y is None else y.unionAll(x) for x, y in ((found, sums), (words.select("lang", "term"), kept)))
-    if dealt is not None:
-        discard(dealt)
-    if sums is None:
-        none = "lang string, term string, source string, count long"
-        return spark.createDataFrame([], none), spark.createDataFrame([], "lang string, term string")
-    return sums, kept
+    sums = materialize(group_sums(documents, held))
+    kept = sums.groupBy("lang", "term").agg(F.sum("documents").alias("documents")).filter(F.col("documents") >= min_documents)
+    kept = materialize(kept.select("lang", "term"))
+    counts = materialize(sums.join(kept, ["lang", "term"]).select("lang", "term", "source", "count"))
+    discard(sums)
+    return counts, kept
 
 
 def _share(count, total, terms):
@@ -140,15 +139,16 @@ def term_divergence(counts, totals, terms=TERMS):
     return top_k_per_group(rows, ["lang", "source"], [F.col("value").desc(), F.col("item")], terms)
 
 
-def audit_sources(documents, min_documents=MIN_DOCUMENTS, terms=TERMS, vocabulary=VOCABULARY):
+def audit_sources(documents, min_documents=MIN_DOCUMENTS, terms=TERMS, held=HELD):
     """lang, source, part, item, value, rank: every group against the other sources of its language (part pair) and its own terms (part term).
 
     Null text, lang and source are ''. A group whose documents have no terms,
     and a language without kept terms, still give their pairs. Repeated rows
     count as documents of their own. Groups are few; terms are not collected.
     """
-    counts, kept = group_counts(documents, min_documents, vocabulary)
-    groups = document_terms(documents).select("lang", "source").distinct()
+    counts, kept = group_counts(documents, min_documents, held)
+    name = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c)
+    groups = documents.select(name("lang"), name("source")).distinct()
     sizes = kept.groupBy("lang").agg(F.count("*").alias("n_terms"))
     has = counts.groupBy("lang", "source").agg(F.sum("count").alias("total"), F.count("*").alias("present"))
     zero = lambda c: F.coalesce(F.col(c), F.lit(0).cast("long")).alias(c)
