@@ -57,7 +57,7 @@ def group_sums(documents, held=HELD):
                 n = len(terms)
                 seen = documents_of[lang, source]
                 yield pa.RecordBatch.from_arrays([
-                    pa.array([lang] * n), pa.array([source] * n), pa.array(list(terms), pa.string()), pa.array(list(terms.values()), pa.int64()),
+                    pa.array([lang] * n, pa.string()), pa.array([source] * n, pa.string()), pa.array(list(terms), pa.string()), pa.array(list(terms.values()), pa.int64()),
                     pa.array([seen[t] for t in terms], pa.int64()),
                 ], ["lang", "source", "term", "count", "documents"])
 
