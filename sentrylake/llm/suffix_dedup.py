@@ -302,13 +302,13 @@ def repeated_spans(documents, length=LENGTH, hot=HOT, block=BLOCK, chunk=CHUNK):
     discard(agree)
     discard(kinds)
     size, most = left.agg(F.sum(F.col("n") + F.lit(length - 1)), F.max("kinds")).first()
-    segments = fetched(docs, left, length)
+    segments = materialize(fetched(docs, left, length))  # read by both ways
     found = [later, _sorted_blocks(segments.filter(F.col("kinds") <= hot), size or 0, length, block)]
     if (most or 0) > hot:
         found.append(_by_hash(segments.filter(F.col("kinds") > hot), length))
     spans = materialize(reduce(DataFrame.unionAll, found))
-    discard(left)
-    discard(later)
+    for table in (left, later, segments):
+        discard(table)
     return spans.groupBy("doc", "tie").agg(merged_spans(F.collect_list(F.struct("begin", "end"))).alias("spans"))
 
 
