@@ -24,8 +24,8 @@ def collect_candidates(findings: DataFrame) -> DataFrame:
     return best.select("event_id", "row.*").select(*columns)
 
 
-def event_entities(events: DataFrame) -> DataFrame:
-    """(event_id, timestamp, entity_type, entity), each entity once per event."""
+def event_entities(events: DataFrame, *keep) -> DataFrame:
+    """(event_id, timestamp, entity_type, entity), each entity once per event; `keep` names further columns."""
     entry = lambda kind, c: F.struct(
         F.lit(kind).alias("entity_type"), present(c).alias("entity")
     )
@@ -34,9 +34,9 @@ def event_entities(events: DataFrame) -> DataFrame:
         *[entry("host", c) for c in ("source_host", "destination_host")],
     )
     return (
-        events.select("event_id", "timestamp", F.explode(F.array_distinct(entries)).alias("e"))
+        events.select("event_id", "timestamp", *keep, F.explode(F.array_distinct(entries)).alias("e"))
         .filter(F.col("e.entity").isNotNull())
-        .select("event_id", "timestamp", "e.entity_type", "e.entity")
+        .select("event_id", "timestamp", *keep, "e.entity_type", "e.entity")
     )
 
 

@@ -75,6 +75,11 @@ def apply_verdicts(verdicts: DataFrame) -> DataFrame:
     membership and its replacement follow from one `max_by`, so the verdict log
     itself is the only state.
     """
+    return teaching_verdicts(verdicts).drop("seq")
+
+
+def teaching_verdicts(verdicts: DataFrame) -> DataFrame:
+    """(type, value, list, seq): the latest teaching verdict of each entity with its place in the log."""
     entity = lambda col, kind: F.transform(
         F.coalesce(F.col(col), F.array().cast("array<string>")),
         lambda x: F.struct(F.lit(kind).alias("type"), F.trim(x).alias("value")),
@@ -91,11 +96,25 @@ def apply_verdicts(verdicts: DataFrame) -> DataFrame:
         )
         .select("seq", "list", "e.type", "e.value")
         .filter(F.col("value") != "")
-        .groupBy("type", "value")
-        .agg(F.max_by("list", "seq").alias("list"))
+        .transform(latest_lists)
+    )
+
+
+def latest_lists(entries: DataFrame) -> DataFrame:
+    """(type, value, list, seq): of several entries of an entity, the one with the largest seq."""
+    return entries.groupBy("type", "value").agg(
+        F.max_by("list", "seq").alias("list"), F.max("seq").alias("seq")
     )
 
 
+def listed_risk(events: DataFrame, learned: DataFrame) -> DataFrame:
+    """Adds `listed_risk`: risk_score, +3 for a watched user, +2 for a watched source host, 0 for a safe user."""
+    rows = list_lookup(events, learned, "user", "user").withColumnsRenamed({"is_watched": "_user", "is_safe": "_safe"})
+    rows = list_lookup(rows, learned, "source_host", "host")
+    raised = F.col("risk_score") + 3 * F.col("_user") + 2 * F.col("is_watched")
+    return rows.withColumn("listed_risk", F.when(F.col("_safe") == 1, 0).otherwise(raised)).select(*events.columns, "listed_risk")
+
+
 def watchlist(learned: DataFrame) -> DataFrame:
     return learned.filter("list = 'watch'").select("type", "value")
 

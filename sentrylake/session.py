@@ -57,7 +57,10 @@ def discard(df: DataFrame) -> None:
     """Delete a table written by `materialize` that nothing reads any more."""
     path = getattr(df, "_stored_at", None)
     if path:
-        spark = df.sparkSession
-        hadoop_path = spark._jvm.org.apache.hadoop.fs.Path(path)
-        fs = hadoop_path.getFileSystem(spark._jsc.hadoopConfiguration())
-        fs.delete(hadoop_path, True)
+        delete_folder(df.sparkSession, path)
+
+
+def delete_folder(spark: SparkSession, path: str) -> None:
+    hadoop_path = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = hadoop_path.getFileSystem(spark._jsc.hadoopConfiguration())
+    fs.delete(hadoop_path, True)

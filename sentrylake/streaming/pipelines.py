@@ -1,16 +1,16 @@
-"""Streaming forms of scoring, bursts, features, sessions, incidents and feedback."""
+"""Streaming forms of scoring, bursts, features, sessions and feedback."""
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor
 
 from sentrylake.functions import fixed_values as V
-from sentrylake.functions.scale import recent_sums
-from sentrylake.operators.correlate import correlate_incidents, event_entities
+from sentrylake.operators.correlate import event_entities
 from sentrylake.operators.features import COUNTED, DISTINCT
-from sentrylake.operators.lists import apply_verdicts
+from sentrylake.operators.lists import latest_lists, listed_risk, teaching_verdicts
 from sentrylake.operators.triage import triage_frozen
-from sentrylake.session import materialize
-from sentrylake.streaming.state import VersionedTable
+from sentrylake.streaming.state import EpochTable, keep_large_state
 
 
 def event_time(ts="timestamp"):
@@ -22,25 +22,49 @@ def stream_score(events: DataFrame, pairs, processes, iocs=None, **limits) -> Da
     return triage_frozen(events, pairs, processes, iocs, **limits)
 
 
+SKETCH_BITS = 14  # 2**14 registers: a standard error of 0.8 %, and practically exact up to a thousand values
+
+
 def stream_features(indicated: DataFrame, size=V.WINDOW_SECONDS, late="10 minutes") -> DataFrame:
-    """Window sums and approximate distinct counts.
+    """Window sums, and a sketch of the different values of each entity column.
 
+    Sketches merge: `window_counts` reads them, `wider_windows` adds windows up.
     Windows are aligned to the study origin, which is a multiple of the size.
     """
     timed = indicated.withColumn("event_time", event_time()).withWatermark("event_time", late)
     return timed.groupBy(F.window("event_time", f"{size} seconds").alias("w")).agg(
         F.count("*").alias("total_events"),
         *[F.sum(c).alias(c) for c in COUNTED],
-        *[F.approx_count_distinct(c).alias(f"approx_{c}") for c in DISTINCT],
+        *[F.hll_sketch_agg(c, SKETCH_BITS).alias(f"{c}_sketch") for c in DISTINCT],
     ).select(
         F.floor((F.unix_timestamp("w.start") - V.STUDY_ORIGIN) / size).alias("window_id"),
-        F.col("total_events"), *COUNTED, *[f"approx_{c}" for c in DISTINCT],
+        F.col("total_events"), *COUNTED, *[f"{c}_sketch" for c in DISTINCT],
+    )
+
+
+def window_counts(features: DataFrame) -> DataFrame:
+    """The distinct counts in place of their sketches."""
+    return features.select(
+        "window_id", "total_events", *COUNTED, *[F.hll_sketch_estimate(f"{c}_sketch").alias(c) for c in DISTINCT]
+    )
+
+
+def wider_windows(features: DataFrame, times: int) -> DataFrame:
+    """Windows of `times` the size: sums add up, sketches unite, events are not read again."""
+    return features.groupBy(F.floor(F.col("window_id") / times).alias("window_id")).agg(
+        F.sum("total_events").alias("total_events"),
+        *[F.sum(c).alias(c) for c in COUNTED],
+        *[F.hll_union_agg(f"{c}_sketch").alias(f"{c}_sketch") for c in DISTINCT],
     )
 
 
 def stream_sessions(events: DataFrame, gap=V.CORRELATION_GAP, late="10 minutes") -> DataFrame:
-    """Per-entity sessions: events at most `gap` seconds apart (touching sessions merge)."""
-    entities = event_entities(events).withColumn("event_time", event_time()).withWatermark("event_time", late)
+    """Per-entity sessions: events at most `gap` seconds apart (touching sessions merge).
+
+    For append mode: a session is given once, when the watermark has passed its
+    end, and then leaves the state.
+    """
+    entities = event_entities(events.withColumn("event_time", event_time()).withWatermark("event_time", late), "event_time")
     return (
         entities.groupBy(
             "entity_type", "entity", F.session_window("event_time", f"{gap} seconds").alias("s")
@@ -74,82 +98,60 @@ def scenario_slice(events: DataFrame, name: str, scenarios=SCENARIOS) -> DataFra
     return events.filter(F.col("timestamp").between(start, end))
 
 
-class StreamBursts:
-    """Burst counts across micro-batches.
+class RecentCounts(StatefulProcessor):
+    """Per key, the sum over the last `seconds` for every second, from (timestamp, n) in the order of the watermark.
 
-    State is per-second counts of the last `seconds` before the watermark, at
-    most one row per user and second. Rows later than `late` seconds behind
-    the newest event of earlier batches are dropped.
+    State is the counts of the last `seconds` of the key; a timer clears it
+    when the watermark has passed them.
     """
 
-    def __init__(self, root, key="user", seconds=V.AUTH_BURST_SECONDS, more_than=V.BURST_MORE_THAN, late=600):
-        self.key, self.seconds, self.more_than, self.late = key, seconds, more_than, late
-        self.root = root
-        self.tail = VersionedTable(f"{root}/tail", f"{key} string, timestamp bigint, n bigint, newest bigint")
-
-    def __call__(self, batch: DataFrame, epoch: int) -> None:
-        spark, key = batch.sparkSession, self.key
-        tail = self.tail.before(spark, epoch)
-        clock = tail.agg(F.max("newest").alias("_seen"))
-        rows = batch.filter(F.col(key).isNotNull()).select(key, "timestamp", "event_id")
-        rows = rows.crossJoin(F.broadcast(clock)).filter(
-            F.col("_seen").isNull() | (F.col("timestamp") >= F.col("_seen") - self.late)
-        ).drop("_seen")
-        rows = materialize(rows)
-        counted = rows.groupBy(key, "timestamp").agg(F.count("*").alias("n"))
-        merged = materialize(
-            counted.unionByName(tail.select(key, "timestamp", "n"))
-            .groupBy(key, "timestamp").agg(F.sum("n").alias("n"))
-        )
-        counts = recent_sums(merged, [key], self.seconds)
-        rows.join(counts, [key, "timestamp"]).filter(F.col("n_recent") > self.more_than).write.mode(
-            "overwrite"
-        ).parquet(f"{self.root}/rows/epoch={epoch}")
-        newest = merged.agg(F.max("timestamp").alias("newest")).unionByName(
-            tail.select("newest").limit(1)
-        ).agg(F.max("newest").alias("newest"))
-        keep = F.col("timestamp") >= F.col("newest") - self.late - self.seconds
-        self.tail.write(
-            merged.crossJoin(F.broadcast(newest)).filter(keep).select(key, "timestamp", "n", "newest"), epoch
-        )
-
-
-class StreamIncidents:
-    """Correlates arriving flagged events with the events of open incidents.
-
-    An incident closes when its last event is more than the gap plus the
-    allowed lateness behind the newest event; its rows then leave the state.
-    The id is a hash of the incident's first event id, so it does not change
-    between batches.
+    def __init__(self, key, seconds, more_than):
+        self.key, self.seconds, self.more_than = key, seconds, more_than
+
+    def init(self, handle):
+        self.handle = handle
+        self.tail = handle.getListState("tail", "timestamp bigint, n bigint")
+
+    def handleInputRows(self, key, rows, timerValues):
+        new = pd.concat(rows)[["timestamp", "n"]].sort_values("timestamp")
+        old = pd.DataFrame(list(self.tail.get()), columns=["timestamp", "n"])
+        both = pd.concat([old, new]).astype("int64")
+        ts, total = both["timestamp"].to_numpy(), both["n"].cumsum().to_numpy()
+        start = ts.searchsorted(ts - self.seconds)
+        both["n_recent"] = total - total[start] + both["n"].to_numpy()[start]
+        self.tail.put([tuple(r) for r in both.loc[ts >= ts[-1] - self.seconds, ["timestamp", "n"]].itertuples(index=False)])
+        self.handle.registerTimer(int(ts[-1] + self.seconds + 1) * 1000)
+        out = both.iloc[len(old):]
+        out = out[out["n_recent"] > self.more_than].copy()
+        out.insert(0, self.key, key[0])
+        yield out
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        newest = max((t for t, _ in self.tail.get()), default=None)
+        if newest is not None and (newest + self.seconds) * 1000 < expiredTimerInfo.getExpiryTimeInMs():
+            self.tail.clear()
+        yield pd.DataFrame({self.key: pd.Series(dtype=str), **{c: pd.Series(dtype="int64") for c in ("timestamp", "n", "n_recent")}})
+
+    def close(self):
+        pass
+
+
+def stream_bursts(events: DataFrame, key="user", seconds=V.AUTH_BURST_SECONDS, more_than=V.BURST_MORE_THAN, late="10 minutes") -> DataFrame:
+    """(key, timestamp, n, n_recent): the seconds at which a key has more than `more_than` events in the last `seconds`.
+
+    For append mode. Events are first counted by (key, second), combined on the
+    map side, so the state of a key gets a row a second however busy it is.
+    Events behind the watermark are dropped.
     """
-
-    def __init__(self, root, columns, gap=V.CORRELATION_GAP, late=600):
-        self.root, self.gap, self.late, self.columns = root, gap, late, columns
-        self.open = VersionedTable(f"{root}/open", columns)
-
-    def __call__(self, batch: DataFrame, epoch: int) -> None:
-        spark = batch.sparkSession
-        before = self.open.before(spark, epoch)
-        names = before.columns
-        rows = materialize(batch.select(*names).unionByName(before).dropDuplicates(["event_id"]))
-        members = rows.join(correlate_incidents(rows, self.gap), "event_id")
-        newest = rows.agg(F.max("timestamp").alias("_newest"))
-        spans = members.groupBy("component").agg(F.max("timestamp").alias("_last"))
-        state = spans.crossJoin(F.broadcast(newest)).select(
-            "component", (F.col("_last") < F.col("_newest") - self.gap - self.late).alias("closed")
-        )
-        members = materialize(members.join(state, "component"))
-        members.filter("closed").drop("closed").write.mode("overwrite").parquet(f"{self.root}/closed/epoch={epoch}")
-        members.filter("not closed").drop("closed").write.mode("overwrite").parquet(f"{self.root}/live/epoch={epoch}")
-        self.open.write(members.filter("not closed").select(*names), epoch)
-
-    def members(self, spark) -> DataFrame:
-        """All member rows: closed ones of every epoch and live ones of the last."""
-        closed = spark.read.parquet(f"{self.root}/closed").drop("epoch")
-        live = spark.read.parquet(f"{self.root}/live")
-        last = live.agg(F.max("epoch").alias("_e"))
-        live = live.crossJoin(F.broadcast(last)).filter("epoch = _e").drop("epoch", "_e")
-        return closed.unionByName(live).withColumn("incident_id", stable_id(F.col("component")))
+    keep_large_state(events.sparkSession)
+    timed = events.withColumn("event_time", event_time()).withWatermark("event_time", late)
+    # a condition that reads the time is not moved below the watermark, which rows without a key move too
+    keyed = timed.filter(F.when(F.col("event_time").isNotNull(), F.col(key).isNotNull()))
+    counted = keyed.groupBy(key, F.window("event_time", "1 second").alias("w")).agg(F.count("*").alias("n"))
+    counted = counted.select(
+        key, F.window_time("w").alias("event_time"), F.unix_timestamp("w.start").alias("timestamp"), "n")
+    return counted.groupBy(key).transformWithStateInPandas(
+        RecentCounts(key, seconds, more_than), f"{key} string, timestamp bigint, n bigint, n_recent bigint", "Append", "EventTime")
 
 
 def stable_id(component):
@@ -157,20 +159,30 @@ def stable_id(component):
 
 
 class StreamFeedback:
-    """Appends arriving verdicts; later batches read the lists that follow from all of them."""
+    """Scores the events of each batch with the lists that followed from the verdicts of all batches before it.
 
-    def __init__(self, root):
-        self.path = f"{root}/verdicts"
+    Batches hold rows of `tagged`: events and verdicts. The lists have a
+    version for each epoch: that of the epoch before, with newer verdicts.
+    """
 
-    def __call__(self, batch: DataFrame, epoch: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{self.path}/epoch={epoch}")
+    def __init__(self, root, score=listed_risk):
+        self.root, self.score = root, score
+        self.versions = EpochTable(f"{root}/lists", "type string, value string, list string, seq bigint")
 
-    def lists(self, spark, schema) -> DataFrame:
-        """Current (type, value, list); empty before the first verdict."""
-        from pyspark.errors import AnalysisException
+    @staticmethod
+    def tagged(events: DataFrame, verdicts: DataFrame) -> DataFrame:
+        """One stream of both, as a column `event` and a column `verdict`, one of them null."""
+        event, verdict = F.struct(*events.columns), F.struct(*verdicts.columns)
+        none = lambda df: F.lit(None).cast(df.select(F.struct(*df.columns).alias("s")).schema["s"].dataType)
+        return events.select(event.alias("event"), none(verdicts).alias("verdict")).unionByName(
+            verdicts.select(none(events).alias("event"), verdict.alias("verdict")))
 
-        try:
-            verdicts = spark.read.parquet(self.path).drop("epoch")
-        except AnalysisException:
-            verdicts = spark.createDataFrame([], schema)
-        return apply_verdicts(verdicts)
+    def __call__(self, batch: DataFrame, epoch: int) -> None:
+        lists = self.versions.before(batch.sparkSession, epoch)
+        events = batch.filter("event is not null").select("event.*")
+        self.score(events, lists).write.mode("overwrite").parquet(f"{self.root}/rows/epoch={epoch}")
+        newer = teaching_verdicts(batch.filter("verdict is not null").select("verdict.*"))
+        self.versions.write(latest_lists(lists.unionByName(newer)), epoch)
+
+    def scored(self, spark) -> DataFrame:
+        return spark.read.parquet(f"{self.root}/rows")
