@@ -130,6 +130,30 @@ def top_k_per_group(df, group, order, k, salts=SALTS):
     )
 
 
+def bottom_k_per_group(df, group, key, ties, k, digits=4):
+    """The `k` rows of each group with the smallest `key`, a column of uniform hex digits, then by `ties`.
+
+    Rows are counted by the first digits of the key, which fixes in each group
+    the bucket in which the k-th row lies: rows below it stay unranked, and only
+    the rows of that bucket, 1 in 16**digits of the group, are ordered. `k` may
+    be a column of the group. Adds no column.
+    """
+    group, k = list(group), k if isinstance(k, Column) else F.lit(k)
+    keyed = df.withColumn("_bucket", F.substring(key, 1, digits))
+    counts = keyed.groupBy(*group, "_bucket").agg(F.count("*").alias("_n"))
+    before = W.partitionBy(*group).orderBy("_bucket").rowsBetween(W.unboundedPreceding, -1)
+    counts = counts.withColumn("_free", k - F.coalesce(F.sum("_n").over(before), F.lit(0))).filter("_free > 0")
+    cut = counts.groupBy(*group).agg(F.max("_bucket").alias("_cut"), F.min("_free").alias("_free"))
+    # groups may be null; a row a group
+    names = {g: f"_g{i}" for i, g in enumerate(group)}
+    same = reduce(lambda a, b: a & b, [F.col(g).eqNullSafe(F.col(n)) for g, n in names.items()])
+    rows = keyed.join(cut.withColumnsRenamed(names), same)
+    order = W.partitionBy(*group).orderBy(key, *ties)
+    last = rows.filter(F.col("_bucket") == F.col("_cut")).withColumn("_rank", F.row_number().over(order))
+    last = last.filter(F.col("_rank") <= F.col("_free"))
+    return rows.filter(F.col("_bucket") < F.col("_cut")).select(*df.columns).unionByName(last.select(*df.columns))
+
+
 def running_totals(df, order, sums):
     """Add `cum_<c>` (running totals in `order`, own row included) for each of `sums`.
 

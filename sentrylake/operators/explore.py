@@ -5,7 +5,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from sentrylake.functions import fixed_values as V
-from sentrylake.functions.scale import block_of, group_quantiles, top_k_per_group
+from sentrylake.functions.scale import block_of, bottom_k_per_group, group_quantiles, top_k_per_group
 
 
 def day_of(ts="timestamp"):
@@ -121,12 +121,9 @@ def sampling_key(seed, key="event_id"):
 
 def capped_sample(rows: DataFrame, relevant_cap=65_000, background_cap=65_000, seed=42) -> DataFrame:
     """At most K relevant and K background rows per source: uniform, deterministic."""
+    cap = F.when(F.col("relevant") == 1, relevant_cap).otherwise(background_cap)
     keyed = rows.withColumn("_h", sampling_key(seed))
-    order = [F.col("_h"), F.col("event_id")]
-    pick = lambda flag, k: top_k_per_group(
-        keyed.filter(F.col("relevant") == flag), ["event_type"], order, k
-    )
-    return pick(1, relevant_cap).unionByName(pick(0, background_cap)).drop("_h", "rank")
+    return bottom_k_per_group(keyed, ["event_type", "relevant"], "_h", ["event_id"], cap).drop("_h")
 
 
 def stratified_reservoir(rows: DataFrame, quotas=V.SAMPLE_QUOTAS, seed=42, origin=V.STUDY_ORIGIN) -> DataFrame:
@@ -187,17 +184,44 @@ def cohort_capture(rows: DataFrame, labels: DataFrame, sizes=(50, 100, 200, 500,
     return out
 
 
-def top_anomalous_hosts(rows: DataFrame, k=1000) -> DataFrame:
-    """Hosts by number of distinct destinations they reach."""
+def top_anomalous_hosts(rows: DataFrame, since, k=1000, pool=4) -> DataFrame:
+    """The k hosts that reach most destinations for the first time at or after `since`.
+
+    Two stages: a sketch of the destinations since then (standard error 2 %)
+    picks `pool` times k hosts; for these, the different destinations, those that
+    the host's history before `since` lacks, and the events are counted exactly.
+    """
+    edges = rows.filter(F.col("source_host").isNotNull() & F.col("destination_host").isNotNull()).select(
+        F.col("source_host").alias("host"), F.col("destination_host").alias("peer"), "timestamp")
+    late = F.col("timestamp") >= since
+    wide = edges.filter(late).groupBy("host").agg(F.approx_count_distinct("peer", 0.02).alias("_about"))
+    chosen = F.broadcast(wide.orderBy(F.col("_about").desc(), "host").limit(k * pool).select("host"))
+    seen = edges.join(chosen, "host").groupBy("host", "peer").agg(
+        F.min("timestamp").alias("first"), F.count_if(late).alias("events")).filter("events > 0")
     return (
-        rows.filter(F.col("source_host").isNotNull() & F.col("destination_host").isNotNull())
-        .groupBy(F.col("source_host").alias("host"))
-        .agg(F.countDistinct("destination_host").alias("peers"), F.count("*").alias("events"))
-        .orderBy(F.col("peers").desc(), F.col("events").desc(), "host")
+        seen.groupBy("host")
+        .agg(F.count_if(F.col("first") >= since).alias("novel_peers"), F.count("*").alias("peers"), F.sum("events").alias("events"))
+        .orderBy(F.col("novel_peers").desc(), F.col("peers").desc(), F.col("events").desc(), "host")
         .limit(k)
     )
 
 
+def lineage_checks(lines: DataFrame) -> DataFrame:
+    """Per file of numbered lines (file, line): rows, different line numbers, the first and the last; sound if all agree."""
+    per = lines.groupBy("file").agg(
+        F.count("*").alias("rows"), F.countDistinct("line").alias("distinct_lines"), F.min("line").alias("first_line"), F.max("line").alias("last_line"))
+    sound = (F.col("rows") == F.col("distinct_lines")) & (F.col("first_line") == 1) & (F.col("last_line") == F.col("rows"))
+    return per.withColumn("sound", sound.cast("int"))
+
+
+def number_checks(rows: DataFrame, columns) -> DataFrame:
+    """Per numeric column: nulls, NaN, infinite values."""
+    each = F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("v")) for c in columns])).alias("x")
+    return rows.select(each).groupBy(F.col("x.column").alias("column")).agg(
+        F.count_if(F.col("x.v").isNull()).alias("nulls"), F.count_if(F.isnan("x.v")).alias("nan"),
+        F.count_if(F.abs("x.v") == float("inf")).alias("infinite"))
+
+
 def quality_checks(rows: DataFrame, start=V.STUDY_ORIGIN, end=V.TEST_END, key="event_id") -> DataFrame:
     absent = lambda c: F.count_if(F.col(c).isNull()).alias(f"null_{c}")
     return rows.agg(

@@ -2,6 +2,7 @@
 
 import uuid
 
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from sentrylake.functions import fixed_values as V
@@ -77,16 +78,61 @@ register("time_range_scan", lambda w: R.time_range_scan(w.events, 694800, 698400
     "event_id", "timestamp", "event_type"),
     "SELECT event_id, ts AS timestamp, event_type FROM ev WHERE ts >= 694800 AND ts < 698400", ["ev"])
 
-register("detect_log_format", lambda w: w.events.select(
-    "event_id",
-    R.format_of(
-        F.when(F.col("event_type") == "process", "a.csv").when(F.col("event_type") == "dns", "a.ndjson").otherwise("a.log"),
-        F.when(F.col("source_host") == "C1", F.lit("  {\"a\": 1}"))
-        .when(F.col("source_host") == "C2", "CEF:0|a|b|c|d|e|f|x=1")
-        .when(F.col("source_host") == "C3", "<34>Jan  1 00:00:07 h sshd[7]: hi\nnext").otherwise("time,user"),
-    ).alias("format")), """
-SELECT event_id, CASE WHEN event_type = 'process' THEN 'csv' WHEN event_type = 'dns' OR src = 'C1' THEN 'json'
-  WHEN src = 'C2' THEN 'cef' WHEN src = 'C3' THEN 'syslog' ELSE 'csv' END AS format FROM ev""", ["ev"])
+def log_files(w):
+    """Files of every format, written from the events: the folder's name tells what is in them."""
+    path, e = scratch(w, "formats"), w.events
+    e.select("event_id", "user").write.option("header", True).csv(f"{path}/csv")
+    e.select("event_id", "user").write.json(f"{path}/json")
+    line = lambda name, *parts: e.select(F.concat(*parts).alias("value")).write.text(f"{path}/{name}")
+    line("json_text", F.lit('  {"a": '), F.col("event_id").cast("string"), F.lit("}"))
+    line("cef_text", F.lit("CEF:0|a|b|c|d|"), "user", F.lit("|f|x=1"))
+    line("syslog_text", F.lit("<34>Jan  1 00:00:07 "), "source_host", F.lit(" sshd[7]: hi"))
+    line("plain_text", F.col("timestamp").cast("string"), F.lit(","), "user")
+    return path
+
+
+register("detect_log_format", lambda w: R.detect_log_format(w.spark, log_files(w)).filter("format is not null").select(
+    F.element_at(F.split("file", "/"), -2).alias("folder"), "format").distinct(), """
+SELECT folder, format FROM (VALUES ('csv', 'csv'), ('json', 'json'), ('json_text', 'json'), ('cef_text', 'cef'), ('syslog_text', 'syslog'),
+ ('plain_text', 'csv')) AS f(folder, format) WHERE EXISTS (SELECT 1 FROM events)""")
+
+
+def files_by_type(w, value, name):
+    """One text file for each event type, lines in the order of event ids."""
+    path = scratch(w, name)
+    order = W.partitionBy("event_type").orderBy("event_id")
+    rows = w.events.withColumn("rn", F.row_number().over(order)).withColumn("size", F.count("*").over(W.partitionBy("event_type")))
+    rows.select("event_type", "rn", value.alias("value")).repartition("event_type").sortWithinPartitions("event_type", "rn").drop("rn").write.partitionBy(
+        "event_type").text(path)
+    return path
+
+
+def type_of(file):
+    return F.regexp_extract(file, "event_type=([a-z]+)", 1)
+
+
+lines_of = lambda w: R.numbered_lines(w.spark, files_by_type(w, F.col("event_id").cast("string"), "lines")).select(
+    type_of("file").alias("file"), "line", F.col("value").cast("bigint").alias("event_id"))
+register("numbered_lines", lines_of,
+         "SELECT event_type AS file, row_number() OVER (PARTITION BY event_type ORDER BY event_id) AS line, event_id FROM ev", ["ev"])
+register("lineage_checks", lambda w: E.lineage_checks(lines_of(w)), """
+SELECT event_type AS file, count(*) AS "rows", count(*) AS distinct_lines, CAST(1 AS BIGINT) AS first_line, count(*) AS last_line, CAST(1 AS BIGINT) AS sound FROM ev GROUP BY 1""", ["ev"])
+register("number_checks", lambda w: E.number_checks(w.events.withColumn(
+    "rate", F.when(F.col("duration") == 0, float("nan")).when(F.col("bytes") < 1000, float("inf")).otherwise(F.col("bytes") / F.col("duration"))), ["bytes", "rate"]), """
+SELECT 'bytes' AS "column", count(*) FILTER (bytes IS NULL) AS nulls, CAST(0 AS BIGINT) AS nan, CAST(0 AS BIGINT) AS infinite FROM ev
+UNION ALL SELECT 'rate', count(*) FILTER (bytes IS NULL), count(*) FILTER (duration = 0), count(*) FILTER (duration <> 0 AND bytes < 1000) FROM ev""", ["ev"])
+
+
+def json_arrays(w):
+    """Objects with nested braces, and quotes and braces inside strings; each file is one array."""
+    one = F.to_json(F.struct("event_id", F.struct(F.concat(F.lit('{"}\\\\ {'), "details").alias("details"), F.struct("user").alias("who")).alias("inner")))
+    end = F.when(F.col("rn") == F.col("size"), "]").otherwise(",")
+    path = files_by_type(w, F.concat(F.when(F.col("rn") == 1, "[ ").otherwise(""), one, end), "arrays")
+    found = R.read_json_logs(w.spark, path, "event_id: bigint, inner: struct<details: string, who: struct<user: string>>", array_files=True)
+    return found.select("event_id", "inner.details", "inner.who.user")
+
+
+register("json_array_objects", json_arrays, """SELECT event_id, '{"}\\\\ {' || details AS details, usr AS "user" FROM ev""", ["ev"])
 
 
 def csv_round_trip(w):
@@ -251,6 +297,9 @@ SELECT 'host', count(DISTINCT h) FROM (SELECT src AS h FROM ev UNION ALL SELECT
 register("capped_sample", lambda w: E.capped_sample(flagged(w), 300, 200).select("event_id", "event_type", "relevant"), """
 SELECT event_id, event_type, relevant FROM (SELECT *, row_number() OVER (PARTITION BY event_type, relevant ORDER BY md5('42:' || event_id), event_id) AS rn FROM rel)
 WHERE rn <= CASE WHEN relevant = 1 THEN 300 ELSE 200 END""", ["rel"])
+register("capped_sample_default", lambda w: E.capped_sample(flagged(w)).select("event_id", "event_type", "relevant"), """
+SELECT event_id, event_type, relevant FROM (SELECT *, row_number() OVER (PARTITION BY event_type, relevant ORDER BY md5('42:' || event_id), event_id) AS rn FROM rel)
+WHERE rn <= 65000""", ["rel"])
 fragment("resv", """
 SELECT * FROM (SELECT *, (ts - 691200) // 3600 AS hour_index,
   row_number() OVER (PARTITION BY event_type, (ts - 691200) // 3600 ORDER BY md5('42:' || event_id), event_id) AS rn FROM ev)
@@ -262,6 +311,9 @@ SELECT event_type AS modality, h AS hour_index, h * 3600 + 691200 AS t_start, (h
   round(least(n, q) / n, 6) AS sampling_fraction, CAST(n < q AS BIGINT) AS underflow FROM (
   SELECT event_type, (ts - 691200) // 3600 AS h, count(*) AS n, CASE event_type WHEN 'auth' THEN 500 WHEN 'dns' THEN 100 ELSE 200 END AS q
   FROM ev GROUP BY 1, 2)""", ["ev"])
+register("sampling_lineage", lambda w: lines_of(w).join(E.stratified_reservoir(w.events).select("event_id", "hour_index"), "event_id"), """
+SELECT file, line, event_id, hour_index FROM resv JOIN (SELECT event_type AS file, event_id,
+ row_number() OVER (PARTITION BY event_type ORDER BY event_id) AS line FROM ev) USING (event_id)""", ["resv"])
 fragment("hostseq", "SELECT h AS host, row_number() OVER (ORDER BY md5('42:' || h), h) AS rn FROM "
          "(SELECT src AS h FROM ev UNION SELECT dst FROM ev) WHERE h IS NOT NULL", "ev")
 register("blind_cohort", lambda w: E.blind_cohort(w.events, 50), "SELECT host FROM hostseq WHERE rn <= 50", ["hostseq"])
@@ -269,9 +321,10 @@ register("cohort_capture", lambda w: E.cohort_capture(w.events, w.labels, (10, 5
 SELECT CAST(k AS BIGINT) AS k, count(*) FILTER (side = 'src') AS src_hits, count(*) FILTER (side = 'dst') AS dst_hits FROM
   (SELECT DISTINCT 'src' AS side, src AS host FROM lab UNION SELECT DISTINCT 'dst', dst FROM lab WHERE dst IS NOT NULL)
   JOIN hostseq USING (host) JOIN (SELECT unnest([10, 50, 100]) AS k) ON rn <= k GROUP BY 1""", ["lab", "hostseq"])
-register("top_anomalous_hosts", lambda w: E.top_anomalous_hosts(w.events, 5), """
-SELECT src AS host, count(DISTINCT dst) AS peers, count(*) AS events FROM ev WHERE dst IS NOT NULL GROUP BY 1
-ORDER BY peers DESC, events DESC, host LIMIT 5""", ["ev"])
+register("top_anomalous_hosts", lambda w: E.top_anomalous_hosts(w.events, TRAIN_END, 5), """
+SELECT src AS host, count(*) FILTER (f >= 702000) AS novel_peers, count(*) AS peers, CAST(sum(n) AS BIGINT) AS events FROM
+ (SELECT src, dst, min(ts) AS f, count(*) FILTER (ts >= 702000) AS n FROM ev WHERE dst IS NOT NULL GROUP BY 1, 2) WHERE n > 0 GROUP BY 1
+ORDER BY novel_peers DESC, peers DESC, events DESC, host LIMIT 5""", ["ev"])
 register("quality_checks", lambda w: E.quality_checks(w.events), """
 SELECT count(*) AS "rows", count(DISTINCT event_id) AS distinct_keys, count(*) FILTER (ts < 691200 OR ts >= 1123200) AS out_of_bounds,
   count(*) FILTER (usr IS NULL) AS null_user, count(*) FILTER (src IS NULL) AS null_source_host, count(*) FILTER (dst IS NULL) AS null_destination_host,

@@ -1,9 +1,13 @@
 """Readers for delimited, JSON, syslog and CEF logs. All return string columns."""
 
+import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from sentrylake.functions import fixed_values as V
+from sentrylake.functions.scale import running_totals
 from sentrylake.functions.text import keyword_ladder
 
 # --- fixed values: headerless layouts (field order) ---
@@ -21,6 +25,24 @@ def text_lines(spark: SparkSession, path) -> DataFrame:
     return spark.read.text(path)
 
 
+def numbered_lines(spark: SparkSession, path, separator=None) -> DataFrame:
+    """(file, line, value): every line with its number in its file, from 1.
+
+    Splittable files are read in blocks by many tasks. Lines of a block come in
+    order, so a block's count (one row a block) gives the number of its first
+    line, and the place inside the block the rest; no file is one task's work.
+    """
+    reader = spark.read.option("lineSep", separator) if separator else spark.read
+    lines = reader.text(path).select(
+        F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("_block"),
+        F.monotonically_increasing_id().alias("_at"), "value")
+    blocks = lines.groupBy("file", "_block").agg(F.count("*").alias("_n"), F.min("_at").alias("_first"))
+    earlier = W.partitionBy("file").orderBy("_block").rowsBetween(W.unboundedPreceding, -1)
+    blocks = blocks.withColumn("_before", F.coalesce(F.sum("_n").over(earlier), F.lit(0)))
+    return lines.join(blocks, ["file", "_block"]).select(
+        "file", (F.col("_before") + F.col("_at") - F.col("_first") + 1).alias("line"), "value")
+
+
 def split_headerless(lines: DataFrame, layout: str, column="value") -> DataFrame:
     """Typed rows of one headerless layout.
 
@@ -97,19 +119,31 @@ def format_of(name, head):
     )
 
 
-def detect_log_format(spark: SparkSession, path) -> DataFrame:
-    """(file, format) per file.
+HEAD_BYTES = 1 << 16
 
-    The lines before the first non-blank one hold no format evidence, so one
-    line per file (its first non-blank one by offset) decides.
-    """
-    lines = spark.read.text(path).select(
-        F.col("_metadata.file_path").alias("file"),
-        F.monotonically_increasing_id().alias("at"),
-        "value",
-    ).filter(F.trim("value") != "")
-    heads = lines.groupBy("file").agg(F.min_by("value", "at").alias("head"))
-    return heads.select("file", format_of(F.element_at(F.split("file", "/"), -1), F.col("head")).alias("format"))
+
+def file_heads(spark: SparkSession, path, size=HEAD_BYTES) -> DataFrame:
+    """(file, bytes, head): the first `size` bytes of every file; the rest is not read."""
+
+    def read(batches):
+        for batch in batches:
+            heads = []
+            for name in batch.column(0).to_pylist():
+                system, place = fs.FileSystem.from_uri(name)
+                with system.open_input_file(place) as file:
+                    heads.append(file.read(size).decode("utf-8", "ignore"))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(heads, pa.string())], ["file", "bytes", "head"])
+
+    # the content column of the listing is not selected, so it is not read
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select(
+        F.col("path").alias("file"), F.col("length").alias("bytes"))
+    return files.mapInArrow(read, "file string, bytes long, head string")
+
+
+def detect_log_format(spark: SparkSession, path) -> DataFrame:
+    """(file, format) per file that is not empty, from its name and its first block: the first line that is not blank decides."""
+    head = F.regexp_replace("head", r"^\s+", "")
+    return file_heads(spark, path).select("file", format_of(F.element_at(F.split("file", "/"), -1), head).alias("format"))
 
 
 def parse_csv_logs(spark: SparkSession, path) -> DataFrame:
@@ -119,7 +153,7 @@ def parse_csv_logs(spark: SparkSession, path) -> DataFrame:
 def parse_json_logs(lines: DataFrame, schema: str, column="value") -> DataFrame:
     """Objects of JSON lines; a line that holds a list adds its objects; bad lines are dropped.
 
-    For a file that is one JSON array, read it with `wholetext` lines.
+    For files that are one JSON array each, see `json_array_objects`.
     """
     text = F.trim(F.col(column))
     many = F.from_json(text, f"array<struct<{schema}>>", {"mode": "PERMISSIVE"})
@@ -138,8 +172,47 @@ def parse_json_logs(lines: DataFrame, schema: str, column="value") -> DataFrame:
 
 
 def read_json_logs(spark: SparkSession, path, schema: str, array_files=False) -> DataFrame:
-    lines = spark.read.text(path, wholetext=array_files)
-    return parse_json_logs(lines, schema)
+    """Objects of JSON lines, or of files that hold one array each."""
+    if array_files:
+        return json_array_objects(spark, path).select(F.from_json("value", f"struct<{schema}>").alias("o")).select("o.*")
+    return parse_json_logs(spark.read.text(path), schema)
+
+
+def json_array_objects(spark: SparkSession, path) -> DataFrame:
+    """(file, value): the objects of files that are one JSON array each, as texts; no file is held whole.
+
+    Files are split after every closing brace. A piece opens and closes strings
+    and braces, and what it does depends on whether it begins inside a string:
+    running sums of quotes tell that, then running sums of braces tell where an
+    object of the array ends. The pieces of an object are put together again.
+    """
+    plain = F.regexp_replace("value", r"\\.", "")  # without escapes
+    rows = numbered_lines(spark, path, "}")
+    last = rows.groupBy("file").agg(F.max("line").alias("_last"))
+    # what follows the last brace of a file closes nothing
+    rows = rows.join(last, "file").filter(F.col("line") < F.col("_last")).drop("_last")
+    quotes = F.length(plain) - F.length(F.replace(plain, F.lit('"')))
+    rows = _file_totals(rows.withColumn("_q", quotes.cast("bigint")), "_q")
+    inside, ends_inside = (F.col("cum__q") - F.col("_q")) % 2 == 1, F.col("cum__q") % 2 == 1
+    text = F.when(inside, F.regexp_replace(plain, '^[^"]*(?:"|$)', "")).otherwise(plain)
+    text = F.regexp_replace(text, '"[^"]*(?:"|$)', "")
+    closed = F.when(ends_inside, 0).otherwise(1)
+    depth = F.length(text) - F.length(F.replace(text, F.lit("{"))) - closed
+    deep = _file_totals(rows.select("file", "line", "value", depth.cast("bigint").alias("_d"), closed.alias("_closed")), "_d")
+    ends = ((F.col("cum__d") == 0) & (F.col("_closed") == 1)).cast("bigint")
+    numbered = _file_totals(deep.select("file", "line", "value", ends.alias("_e")), "_e")
+    whole = numbered.groupBy("file", (F.col("cum__e") - F.col("_e")).alias("_object")).agg(
+        F.sort_array(F.collect_list(F.struct("line", "value"))).alias("_parts"))
+    joined = F.concat(F.array_join(F.transform("_parts", lambda p: p["value"]), "}"), F.lit("}"))
+    return whole.select("file", F.regexp_replace(joined, r"^[\s,\[]*", "").alias("value"))
+
+
+def _file_totals(rows: DataFrame, column) -> DataFrame:
+    """Add cum_<column>, the running total in the order of lines within each file."""
+    total = f"cum_{column}"
+    summed = running_totals(rows, [F.col("file"), F.col("line")], [column])
+    base = summed.groupBy("file").agg(F.min_by(F.col(total) - F.col(column), "line").alias("_base"))
+    return summed.join(base, "file").withColumn(total, F.col(total) - F.col("_base")).drop("_base")
 
 
 def parse_syslog(lines: DataFrame, column="value") -> DataFrame:
