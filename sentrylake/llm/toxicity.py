@@ -156,27 +156,27 @@ def toxicity_of(model):
     def make():
         bias = model[""]
         weight = WordWeights(model).__getitem__
-        base = math.log1p(-1 / (1 + math.exp(-bias)))
+        silent = math.log1p(-1 / (1 + math.exp(-bias)))
 
         def one(text):
             lowered = text.lower()
             if len(lowered) != len(text):  # a few characters grow in lower case; offsets stay those of the text
                 lowered = "".join(c if len(c.lower()) != 1 else c.lower() for c in text)
-            silent, total, found = 0, 0.0, []
+            total, found = 0.0, []
             for m in _SENTENCE.finditer(lowered):
                 words = _WORD.findall(m[0])
                 if not words:
                     continue
                 known = [x for x in map(weight, set(words)) if x]
                 if not known:
-                    silent += 1
                     continue
                 logit = min(max(bias + math.fsum(known), -30), 30)
                 p = 1 / (1 + math.exp(-logit))
-                total += math.log1p(-p)
+                # what a sentence adds to one without known words, so that length alone makes no text toxic
+                total += min(0.0, math.log1p(-p) - silent)
                 if p >= 0.5:
                     found.append({"start": m.start(), "end": m.end(), "score": p})
-            return -math.expm1(total + silent * base), found
+            return -math.expm1(total), found
 
         return one
 
@@ -184,7 +184,11 @@ def toxicity_of(model):
 
 
 def score_toxicity(documents, model):
-    """One row per document: doc_id, score, predicted, offending. A text without words (null, empty) has score 0."""
+    """One row per document: doc_id, score, predicted, offending.
+
+    A text without words (null, empty), or without any word that has a weight,
+    has score 0 at any length. Repeated rows are scored one by one.
+    """
     scored = documents.select("doc_id", toxicity_of(model)("text").alias("_s"))
     return scored.select(
         "doc_id", F.col("_s.score").alias("score"), (F.col("_s.score") >= 0.5).cast("int").alias("predicted"),

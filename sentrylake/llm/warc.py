@@ -18,13 +18,14 @@ from pyarrow import fs
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from sentrylake.llm.common import SLICE, bit_table, with_maybe
+from sentrylake.llm.common import SLICE, bit_table, short_batches, with_maybe
 from sentrylake.session import checkpoint_root, materialize
 
 REVISIT_BYTES = 1000
 FILE_BYTES = 256 << 20
 RANGE_BYTES = 8 << 20
 GAP_BYTES = 64 << 10
+TASK_BYTES = 64 << 20
 LEVEL = 4
 FILTER_BITS = 22
 DATE = "1970-01-01T00:00:00Z"  # pages carry no time of capture
@@ -130,13 +131,14 @@ def write_archives(pages, root, revisit_bytes=REVISIT_BYTES, file_bytes=FILE_BYT
         if out is not None:
             out.close()
 
+    short_batches(pages.sparkSession, "100")  # pages may be long
     return materialize(decide_records(pages, revisit_bytes).mapInArrow(write, INDEX))
 
 
 _READ = "record_id string, record_type string, page_id long, refers_to_id string, url string, payload_bytes long, payload_digest string, payload binary"
 
 
-def read_records(index, root, payloads=True, gap_bytes=GAP_BYTES, range_bytes=RANGE_BYTES):
+def read_records(index, root, payloads=True, gap_bytes=GAP_BYTES, range_bytes=RANGE_BYTES, task_bytes=TASK_BYTES):
     """The records of the selected index rows, from the archives; a revisit has no payload of its own (null).
 
     Raises where a payload does not match the digest in its record.
@@ -169,7 +171,10 @@ def read_records(index, root, payloads=True, gap_bytes=GAP_BYTES, range_bytes=RA
                 yield cut(file.read(end - base), base, places)
 
     places = index.select("file", "offset", "length")
-    return places.repartitionByRange("file", "offset").sortWithinPartitions("file", "offset").mapInArrow(read, _READ)
+    # index rows are short, so their own size says nothing: as many tasks as the archives' bytes need
+    total = places.agg(F.sum("length")).first()[0] or 0
+    tasks = max(total // task_bytes, min(total // range_bytes + 1, index.sparkSession.sparkContext.defaultParallelism))
+    return places.repartitionByRange(int(tasks), "file", "offset").sortWithinPartitions("file", "offset").mapInArrow(read, _READ)
 
 
 def ranges(batches, gap_bytes, range_bytes):

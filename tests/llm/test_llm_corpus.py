@@ -9,7 +9,8 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 
-from sentrylake.llm import plane_clusters, source_audit, suffix_dedup
+from sentrylake.llm import plane_clusters, source_audit, suffix_dedup, toxicity, warc
+from sentrylake.session import checkpoint_root
 
 
 # --- suffix-array removal ---
@@ -95,6 +96,27 @@ def test_suffix_order():
         assert strings == sorted(strings)
 
 
+# --- toxicity of long texts, archives in many tasks ---
+
+def test_length_alone_is_not_toxic(spark):
+    model = {"": -8.2, "vile": 9.0, "nice": -2.0, "odd": 0.001}
+    clean, nice = "Some neutral words here. " * 50_000, "A nice day. " * 50_000
+    docs = spark.createDataFrame([(1, clean), (2, nice), (3, clean + "How vile! " + clean), (4, None)], "doc_id long, text string")
+    got = {r.doc_id: (r.predicted, len(r.offending)) for r in toxicity.score_toxicity(docs, model).collect()}
+    assert got == {1: (0, 0), 2: (0, 0), 3: (1, 1), 4: (0, 0)}
+
+
+def test_archives_are_read_by_as_many_tasks_as_their_bytes_need(spark):
+    rng = np.random.default_rng(3)
+    long = [rng.integers(32, 127, 300_000, dtype=np.uint8).tobytes().decode() for _ in range(6)]
+    pages = spark.createDataFrame([(i, f"u{i}", h) for i, h in enumerate(long)], "page_id long, url string, html string")
+    root = f"{checkpoint_root(spark)}/long-{len(long)}-{rng.integers(1 << 40)}"
+    index = warc.write_archives(pages, root)
+    records = warc.read_records(index, root, range_bytes=400_000, task_bytes=500_000)
+    assert records.rdd.getNumPartitions() >= 3
+    assert {r.page_id: bytes(r.payload).decode() for r in records.collect()} == dict(enumerate(long))
+
+
 # --- bit planes ---
 
 def test_dot_products_and_planes():
