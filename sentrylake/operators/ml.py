@@ -157,6 +157,63 @@ def feature_ablation(windows: DataFrame, stages, estimator=None, train="train",
     return out
 
 
+def drop_one(windows: DataFrame, features, estimator=None, train="train", test="test") -> DataFrame:
+    """Test scores with all columns (stage `none`) and with each one left out (stage = its name)."""
+    stages = {"none": list(features)} | {f: [g for g in features if g != f] for f in features}
+    return feature_ablation(windows, stages, estimator, train, test)
+
+
+# --- certificates: what must hold for a fit, whatever the implementation -----------
+
+def _row(df, model, certificate, holds):
+    return df.agg(holds.cast("int").alias("holds")).select(F.lit(model).alias("model"), F.lit(certificate).alias("certificate"), "holds")
+
+
+def stationary(model, train: DataFrame, name, label="label", at_most=1e-4) -> DataFrame:
+    """An unpenalised logistic fit: the weighted mean of (p - y) x is 0 in every scaled feature, and of p - y."""
+    rows = model.transform(class_weights(train.withColumn(label, F.col(label).cast("double"))))
+    error = F.col("weight") * (_positive() - F.col(label))
+    each = rows.select(error.alias("e"), "weight", F.posexplode(F.concat(F.array(F.lit(1.0)), vector_to_array("features"))).alias("j", "x"))
+    slopes = each.groupBy("j").agg((F.sum(F.col("e") * F.col("x")) / F.sum("weight")).alias("g"))
+    return _row(slopes, name, "gradient_zero", F.max(F.abs("g")) <= at_most)
+
+
+def calibrated_leaves(model, train: DataFrame, name, label="label") -> DataFrame:
+    """A single tree: every score is the weighted share of positives among the training rows that get it."""
+    rows = model.transform(class_weights(train.withColumn(label, F.col(label).cast("double"))))
+    leaves = rows.select(_positive().alias("score"), label, "weight").groupBy("score").agg(
+        (F.sum(F.col(label) * F.col("weight")) / F.sum("weight")).alias("share"))
+    return _row(leaves, name, "leaf_shares", F.max(F.abs(F.col("score") - F.col("share"))) <= 1e-9)
+
+
+def better_than_prevalence(model, train: DataFrame, name, label="label") -> DataFrame:
+    """The weighted log loss on the training rows is below that of a constant score, which is log 2 under balanced weights."""
+    rows = model.transform(class_weights(train.withColumn(label, F.col(label).cast("double"))))
+    p = F.greatest(F.lit(1e-15), F.least(F.lit(1 - 1e-15), _positive()))
+    loss = -F.when(F.col(label) == 1, F.log(p)).otherwise(F.log(1 - p)) * F.col("weight")
+    return _row(rows.select(loss.alias("loss"), "weight"), name, "below_prevalence", F.sum("loss") / F.sum("weight") < float(np.log(2)))
+
+
+def no_inversion(scores: DataFrame, raw, score, name) -> DataFrame:
+    """A calibration keeps the order: among distinct raw scores, the calibrated one never falls."""
+    spans = scores.groupBy(raw).agg(F.min(score).alias("lo"), F.max(score).alias("hi"))
+    earlier = W.orderBy(raw).rowsBetween(W.unboundedPreceding, -1)
+    falls = spans.withColumn("_top", F.max("hi").over(earlier)).select((F.col("lo") < F.col("_top") - 1e-12).alias("falls"))
+    return _row(falls, name, "no_inversion", F.count_if("falls") == 0)
+
+
+def whole_shares(importance: DataFrame, name) -> DataFrame:
+    return _row(importance, name, "sum_to_one", (F.abs(F.sum("importance") - 1) < 1e-9) & (F.min("importance") >= 0))
+
+
+def sound_trees(forest: DataFrame, name) -> DataFrame:
+    """Isolation trees: every inner node's rows are those of its two children."""
+    inner = forest.filter("feature >= 0").select("tree", "node", "size")
+    children = forest.select("tree", F.floor(F.col("node") / 2).alias("node"), F.col("size").alias("_part"))
+    both = inner.join(children, ["tree", "node"]).groupBy("tree", "node", "size").agg(F.sum("_part").alias("_parts"), F.count("*").alias("_n"))
+    return _row(both, name, "children_add_up", F.count_if((F.col("size") != F.col("_parts")) | (F.col("_n") != 2)) == 0)
+
+
 # --- isolation forest (published algorithm: random splits, path length) ------------
 
 TREE_SCHEMA = "tree int, node int, feature int, cut double, size long"

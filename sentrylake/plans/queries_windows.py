@@ -19,6 +19,7 @@ from sentrylake.plans.fragments import fragment
 from sentrylake.plans.investigate import investigate
 from sentrylake.plans.registry import register
 from sentrylake.plans.workspace import TRAIN_END
+from sentrylake.session import materialize
 from sentrylake.sources.driver_tables import threat_rows
 
 INT_FEATURES = [f for f in V.WINDOW_FEATURES if f not in (
@@ -340,3 +341,55 @@ def isolated(w):
 
 
 register("isolation_forest", isolated)
+
+
+def certificates(w):
+    """What must hold for the fitted models, checked on the rows that they were fitted on."""
+    train, fitted = w.ml_split("train"), {n: M.fit(w.ml_split("train"), make()) for n, make in MODELS.items()}
+    calibrated = M.platt_calibration(train, w.ml_split("test"), M.random_forest(trees=20))
+    benign = train.filter("label = 0")
+    rows = [
+        M.stationary(fitted["logistic_regression"], train, "logistic_regression"),
+        M.calibrated_leaves(fitted["decision_tree"], train, "decision_tree"),
+        *[M.better_than_prevalence(model, train, name) for name, model in fitted.items()],
+        M.no_inversion(calibrated, "raw_score", "score", "platt_calibration"),
+        M.whole_shares(M.feature_importance(fitted["random_forest"]), "feature_importance"),
+        M.sound_trees(materialize(M.isolation_forest(benign, V.WINDOW_FEATURES, trees=50)), "isolation_forest"),
+    ]
+    return reduce(DataFrame.unionAll, rows)
+
+
+register("model_certificates", certificates, """
+SELECT model, certificate, CAST(1 AS BIGINT) AS holds FROM (VALUES ('logistic_regression', 'gradient_zero'), ('decision_tree', 'leaf_shares'),
+ ('logistic_regression', 'below_prevalence'), ('logistic_regression_l1', 'below_prevalence'), ('random_forest', 'below_prevalence'),
+ ('gradient_boosting', 'below_prevalence'), ('decision_tree', 'below_prevalence'), ('platt_calibration', 'no_inversion'),
+ ('feature_importance', 'sum_to_one'), ('isolation_forest', 'children_add_up')) AS c(model, certificate) WHERE EXISTS (SELECT 1 FROM events)""")
+register("drop_one", lambda w: EV.confusion_metrics(
+    M.drop_one(w.ml_windows, ["total_events", "is_flow", "auth_fail", "is_dns"], M.decision_tree(depth=4)).select(
+        "stage", F.col("label").alias("y"), (F.col("score") >= 0.5).cast("int").alias("pred")), by=("stage",)).select(
+    "stage", (F.col("tp") + F.col("fn")).alias("attacks"), (F.col("tp") + F.col("fp") + F.col("fn") + F.col("tn")).alias("windows")), """
+SELECT stage, CAST(sum(label) AS BIGINT) AS attacks, count(*) AS windows FROM mlw_f, (SELECT unnest(['none', 'total_events', 'is_flow', 'auth_fail', 'is_dns']) AS stage)
+WHERE split = 'test' GROUP BY 1""", ["mlw_f"])
+
+
+def size_scores(w, size):
+    """Windows of one size with a fixed linear score, held apart from fits so that it can be compared."""
+    return X.tumbling_features(w.indicated, size).select(
+        (3 * (F.col("is_flow") + F.col("auth_fail")) / F.col("total_events")).alias("score"), F.col("label").alias("y"))
+
+
+def sized(w):
+    rows = []
+    for size in (30, 60, 300):
+        scores = materialize(size_scores(w, size))
+        rows.append(EV.average_precision(scores).crossJoin(F.broadcast(EV.best_f1_threshold(scores).select("f1"))).select(
+            F.lit(size).alias("size"), "average_precision", "f1"))
+    return reduce(DataFrame.unionAll, rows)
+
+
+SIZED = " UNION ALL ".join(
+    f"""SELECT {s} AS size, 3 * (sum(is_flow) + sum(auth_fail)) / count(*) AS score, max(is_redteam) AS y FROM ind GROUP BY (ts - 691200) // {s}""" for s in (30, 60, 300))
+register("window_size_metrics", sized, f"""
+SELECT CAST(size AS BIGINT) AS size, round(sum(p / pa * cp / cn), 6) AS average_precision, round(max(2 * cp / (cn + pa)), 6) AS f1 FROM
+ (SELECT size, p, sum(n) OVER w AS cn, sum(p) OVER w AS cp, sum(p) OVER (PARTITION BY size) AS pa FROM
+  (SELECT size, score, count(*) AS n, sum(y) AS p FROM ({SIZED}) GROUP BY 1, 2) WINDOW w AS (PARTITION BY size ORDER BY score DESC)) GROUP BY 1""", ["ind"])
