@@ -315,6 +315,8 @@ def repeated_spans(documents, length=LENGTH, hot=HOT, block=BLOCK, chunk=CHUNK):
 def fetched(docs, runs, length):
     """(hash, kinds, doc, tie, start, n, seg): the runs (hash, doc, tie, start, n, kinds) with their bytes; texts without any are not moved."""
     wanted = runs.groupBy("doc", "tie").agg(F.collect_list(F.struct("hash", "kinds", "start", "n")).alias("runs"))
+    at, bits = F.xxhash64("doc", "tie"), bits_for(runs)
+    docs = with_maybe(docs, at, bit_table(runs.select(at.alias("hash")), bits), bits).filter("_maybe").drop("_maybe")
 
     def cut(batches):
         for batch in batches:
