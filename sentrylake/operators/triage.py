@@ -64,9 +64,8 @@ def triage(
 
     Only the keys that fire a count rule (bursts, rare pairs, rare processes)
     are joined back, and each event type only takes the joins it needs, so no
-    join sees a null key. On large input the four key tables are written first:
-    their exact sizes then decide whether the wide event rows must be shuffled
-    at all. The label is never read.
+    join sees a null key. Whether the wide event rows are shuffled for them
+    follows from the sizes that adaptive execution sees. The label is never read.
     """
     host = pair_host()
     bursts = auth_bursts(events).withColumnRenamed("n_recent", "auth_recent")
