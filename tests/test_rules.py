@@ -327,6 +327,14 @@ def test_isolation_forest_ranks_an_outlier_first(spark):
     assert scores.orderBy(F.col("raw").desc()).first().window_id == 999
 
 
+def test_isolation_forest_without_training_rows_scores_null(spark):
+    df = spark.createDataFrame([(i, float(i)) for i in range(20)], "window_id bigint, a double")
+    forest = M.isolation_forest(df.filter("a < 0"), ["a"], trees=5)
+    fitted = M.isolation_scores(forest, df.filter("a < 0"), ["a"])
+    rows = M.scaled_by(M.isolation_scores(forest, df, ["a"]), fitted).collect()
+    assert sorted((r.window_id, r.raw, r.score) for r in rows) == [(i, None, None) for i in range(20)]
+
+
 def test_labels_change_nothing(make_events):
     rows = [auth(i, user=f"u{i % 5}", details="NTLM|Network|Failure", is_redteam=i % 2) for i in range(60)]
     score = lambda df: T.triage(df).select("event_id", "risk_score")
