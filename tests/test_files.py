@@ -80,3 +80,10 @@ def test_hosts_are_ranked_by_new_destinations(spark, make_events):
     rows += [edge(100, "b", f"h{i}") for i in range(5)] + [edge(100, "b", "h0"), edge(10, "c", "h1"), edge(100, None, "h1"), edge(100, "d", None)]
     got = [tuple(r) for r in E.top_anomalous_hosts(make_events(rows), 50, 2).collect()]
     assert got == [("b", 5, 5, 6), ("a", 0, 30, 30)]
+
+
+def test_formats_are_told_for_every_event(spark, folder):
+    from sentrylake.plans.catalog import QUERIES
+
+    rows = QUERIES["detect_log_format"](spark, folder)
+    assert rows.select("event_id").distinct().count() == spark.read.parquet(f"{folder}/events.parquet").count()
