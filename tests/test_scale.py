@@ -232,6 +232,36 @@ def test_joins_of_rules_are_keyed(spark, folder):
     assert plan_of(S.auth_specialist(w.events, w.baseline, w.iocs)).count("BroadcastNestedLoopJoin") == 1
 
 
+def test_shared_steps_read_parsed_events(spark, folder):
+    w = workspace(spark, folder)
+    assert "get_json_object" not in plan_of(w.indicated) + plan_of(S.all_findings(w.stored, w.baseline, w.iocs))
+
+
+def test_events_without_a_process_are_spread(spark, make_events):
+    events = make_events([{"event_type": "auth", "timestamp": i, "user": f"u{i}"} for i in range(2000)])
+    rare = spark.createDataFrame([("p",)], "process string")
+    conf = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.enabled": "false"}
+    old = {k: spark.conf.get(k) for k in conf}
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        sizes = [r["count"] for r in X.event_indicators(events, rare).groupBy(F.spark_partition_id()).count().collect()]
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+    assert sum(sizes) == 2000 and max(sizes) < 1000
+
+
+def test_windows_without_time_or_values(make_events):
+    rows = [{"timestamp": t, "event_type": "auth", "user": u, "source_host": "h"} for t, u in ((None, "a"), (None, "b"), (691200, None), (691201, "a"))]
+    got = {r.window_id: r for r in X.tumbling_features(X.event_indicators(make_events(rows))).collect()}
+    assert {k: (r.total_events, r.user, r.source_host, r.process, r.is_auth) for k, r in got.items()} == {None: (2, 2, 1, 0, 2), 0: (2, 1, 1, 0, 2)}
+
+
+def test_segments_do_not_pass_through_the_driver(hot):
+    assert "BroadcastHashJoin" not in plan_of(gap_segments(hot[1], ["user"], 600))
+
+
 def test_filters_and_columns_reach_the_scan(spark, folder):
     src = spark.read.parquet(f"{folder}/events.parquet")
     from sentrylake.sources.driver_tables import canonical_of
