@@ -16,6 +16,11 @@ overlap, by a known amount, so an inverted index over the rarest differences
 finds those pairs and the differences alone decide them. Every pair that shares
 a signature is linked through a hub, found by that index, or provably not
 similar.
+
+`first_of_each` works at lower bounds too, where sets have many signatures and
+unlike ones often share some, through passages they have in common. It takes as
+signatures the prefixes of the sets under one order of the elements, and only
+those of sets with enough shared elements (`prefix_signatures`).
 """
 
 from bisect import bisect_left
@@ -35,6 +40,7 @@ WORDS = 3
 PERCENT = 90
 WORD = r"[^\x20\x09-\x0D]"
 FILTER_BITS = 25
+EXTRA = 10
 MEMO = 200_000
 
 _MIX = (np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
@@ -130,6 +136,18 @@ class PartEnum:
         return np.unique(np.concatenate(found)) if found else np.zeros(0, np.uint64)
 
 
+class Prefixes:
+    """The first elements of a set in ascending signed order: as many as leave the least overlap with a partner, and EXTRA percent of the set and one more."""
+
+    def __init__(self, percent=PERCENT):
+        self.percent = percent
+
+    def of(self, shingles):
+        size = len(shingles)
+        least = -(-self.percent * size // 100)
+        return np.sort(shingles.view(np.int64))[: size - least + size * EXTRA // 100 + 1]
+
+
 def fingerprint(shingles):
     """A hash of a set as a signed 64-bit integer."""
     return int(mixed(mixed(shingles).sum(dtype=np.uint64, keepdims=True) * _ODD + np.uint64(len(shingles))).astype(np.int64)[0])
@@ -152,11 +170,11 @@ def _slices(batches):
             yield batch.slice(start, STEP)
 
 
-def set_rows(documents, words=WORDS, percent=PERCENT):
+def set_rows(documents, words=WORDS, percent=PERCENT, make=PartEnum):
     """(doc_id, key, n_shingles, fp, sigs) of every document; `key` stands for the text, `fp` for the set."""
 
     def run(batches):
-        hashes, enum = WordHashes(), PartEnum(percent)
+        hashes, enum = WordHashes(), make(percent)
         for part in _slices(batches):
             sets = [shingles_of(t, hashes, words) for t in texts_of(part.column(2))]
             yield pa.RecordBatch.from_arrays([
@@ -180,6 +198,34 @@ def shared_signatures(rows):
     return materialize(maybe.join(shared, "sig").distinct())
 
 
+def prefix_signatures(rows, percent=PERCENT):
+    """(sig, fp) as of `shared_signatures`, for the `Prefixes` of sets.
+
+    Let t(n) = ceil(n * percent / 100) and l(n) = floor(n * EXTRA / 100) + 1. Sets x and y
+    that link have at least t(|x|) and t(|y|) elements in common, so the k smallest of these
+    are among the first |x| - t(|x|) + k of x, and likewise of y. For k = l(t(|x|)), at most
+    l(|x|) and l(|y|) since |y| >= t(|x|), that many are in both prefixes: sets with fewer
+    shared signatures link to nothing. Of the others, with s shared ones, the first s - k + 1
+    in any common order hold one that both have: rarest first, it is seldom one of a passage
+    that unlike documents have in common.
+    """
+    shared = shared_signatures(rows)
+    enough = F.expr(f"(({percent} * n_shingles + 99) DIV 100) * {EXTRA} DIV 100 + 1").alias("_enough")
+    least = rows.select("fp", enough).distinct()
+    able = shared.groupBy("fp").agg(F.count("*").alias("_n")).join(least, "fp").filter("_n >= _enough")
+    near = materialize(shared.join(able.select("fp", "_enough"), "fp"))
+    discard(shared)
+    counts = near.groupBy("sig").agg(F.count("*").alias("_c")).filter("_c > 1")
+    own = Window.partitionBy("fp")
+    ranked = near.join(counts, "sig").withColumn("_n", F.count("*").over(own)).withColumn("_rank", F.row_number().over(own.orderBy("_c", "sig")))
+    first = materialize(ranked.filter("_rank <= _n - _enough + 1").select("sig", "fp"))
+    discard(near)
+    several = first.groupBy("sig").agg(F.min("fp").alias("a"), F.max("fp").alias("b")).filter("a < b").select("sig")
+    found = materialize(first.join(several, "sig"))
+    discard(first)
+    return found
+
+
 def hub_pairs(shared):
     """(fp, hub): every set with the hubs of its groups; the hub is the member with most shared signatures."""
     scored = shared.join(shared.groupBy("fp").agg(F.count("*").alias("score")), "fp")
@@ -256,10 +302,10 @@ def residual_links(found, percent=PERCENT):
     return both.filter(_similar(different, F.col("_nx") + F.col("_ny"), percent)).select(F.col("x").alias("a"), F.col("y").alias("b"))
 
 
-def _components(documents, words, percent):
+def _components(documents, words, percent, make=PartEnum, signatures=shared_signatures):
     """(doc_id, n_shingles, key, _c): the component of every document; `key` stands for its text."""
-    sets = materialize(set_rows(documents, words, percent))
-    shared = shared_signatures(sets)
+    sets = materialize(set_rows(documents, words, percent, make))
+    shared = signatures(sets)
     rows = materialize(sets.drop("sigs"))
     discard(sets)
     pairs = hub_pairs(shared)
@@ -291,7 +337,7 @@ def first_of_each(documents, words=WORDS, percent=PERCENT):
 
     Documents without words are in no component and all stay.
     """
-    rows = _components(documents, words, percent)
+    rows = _components(documents, words, percent, Prefixes, lambda sets: prefix_signatures(sets, percent))
     rows = rows.filter("n_shingles > 0").groupBy("_c", "doc_id", "key").agg(F.count("*").alias("n"))
     order = F.struct(F.col("doc_id").isNull(), "doc_id", "key")
     lead = rows.groupBy("_c").agg(F.min_by(F.struct("doc_id", "key", "n"), order).alias("k"))

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 from sentrylake.llm import decontaminate, jaccard_join, mixing, warc
 from sentrylake.llm.queries import ORACLES, QUERIES
-from sentrylake.session import checkpoint_root
+from sentrylake.session import checkpoint_root, materialize
 
 from oracle import compare, connect
 
@@ -309,6 +309,25 @@ def test_one_document_of_each_component_stays(spark):
     assert kept.filter(~F.coalesce("text", F.lit("")).rlike(r"\S")).count() == 4
 
 
+@pytest.mark.parametrize("words,percent", [(3, 90), (5, 80), (2, 50)])
+def test_documents_that_stay_equal_brute_force(spark, documents, words, percent):
+    for rows in (planted(), [tuple(r) for r in documents.select("doc_id", "text").collect()]):
+        kept = jaccard_join.first_of_each(spark.createDataFrame(rows, "doc_id long, text string"), words, percent)
+        want = {lead for _, size, lead in map(literal_eval, brute_components(rows, words, percent)) if size}
+        got = [r.doc_id for r in kept.filter(F.coalesce("text", F.lit("")).rlike(r"\S")).collect()]
+        assert sorted(map(repr, got)) == sorted(map(repr, want))
+
+
+def test_a_common_passage_gives_unlike_documents_no_signature(spark):
+    passage = " ".join(f"p{k}" for k in range(60))
+    rows = [(i, " ".join(f"d{i}w{k}" for k in range(300)) + " " + passage) for i in range(40)]
+    rows += [(100 + i, f"d0w0 {i} " + rows[1][1]) for i in range(2)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    sets = materialize(jaccard_join.set_rows(docs, 5, 80, jaccard_join.Prefixes))
+    found = jaccard_join.prefix_signatures(sets, 80).join(sets.select("fp", "doc_id"), "fp")
+    assert {r.doc_id for r in found.select("doc_id").distinct().collect()} == {1, 100, 101}
+
+
 # --- pipeline ---
 
 def test_pipeline_stages(spark, folder, documents):
