@@ -22,6 +22,7 @@ from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -50,28 +51,30 @@ def group_sums(documents, held=HELD):
     """(lang, source, term, count, documents): the vectors of each group added up, and the documents that have the term; nulls are ''."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums, documents_of, size = {}, {}, 0
+        sums, size = {}, 0
 
         def parts():
-            for (lang, source), terms in sums.items():
-                n = len(terms)
-                seen = documents_of[lang, source]
+            for (lang, source), (seen, more) in sums.items():
+                n, documents_of = len(seen), pa.array(list(seen.values()), pa.int64())
                 yield pa.RecordBatch.from_arrays([
-                    pa.array([lang] * n, pa.string()), pa.array([source] * n, pa.string()), pa.array(list(terms), pa.string()), pa.array(list(terms.values()), pa.int64()),
-                    pa.array([seen[t] for t in terms], pa.int64()),
+                    pa.array([lang] * n, pa.string()), pa.array([source] * n, pa.string()), pa.array(list(seen), pa.string()),
+                    pc.add(documents_of, pa.array([more.get(t, 0) for t in seen], pa.int64())), documents_of,
                 ], ["lang", "source", "term", "count", "documents"])
 
         for batch in batches:
             for lang, source, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), texts_of(batch.column(2))):
                 vector = count_vector(text)
-                total, seen = sums.setdefault((lang, source), Counter()), documents_of.setdefault((lang, source), Counter())
-                size -= len(total)
-                total.update(vector)
+                # the documents of a term, and what its counts are above one each: most counts are one
+                seen, more = sums.setdefault((lang, source), (Counter(), {}))
+                size -= len(seen)
                 seen.update(vector.keys())
-                size += len(total)
+                size += len(seen)
+                for term, count in vector.items():
+                    if count > 1:
+                        more[term] = more.get(term, 0) + count - 1
                 if size >= held:
                     yield from parts()
-                    sums, documents_of, size = {}, {}, 0
+                    sums, size = {}, 0
         yield from parts()
 
     short_batches(documents.sparkSession)
@@ -103,7 +106,7 @@ def _gap(p, q):
 def pair_divergence(counts, groups):
     """(lang, source, item, value): the sum over all kept terms, for each two sources of a language.
 
-    `counts` has lang, term, source, p of the terms that occur; `groups` lang, source, n_terms, present (terms that occur), p0 (of an absent term).
+    `counts` has lang, term, source, p of the terms that occur, and the group's p0; `groups` lang, source, n_terms, present (terms that occur), p0 (of an absent term).
     """
     spectrum = counts.groupBy("lang", "source", "p").agg(F.count("*").alias("m"))
     side = lambda name: groups.select("lang", *[F.col(c).alias(f"{c}_{name}") for c in ("source", "present", "p0")])
@@ -112,15 +115,11 @@ def pair_divergence(counts, groups):
     # own terms against an absent one, in both directions
     alone = seen.groupBy("lang", "source_a", "source_b").agg(
         F.sum(F.col("m") * _gap("p", "p0_b")).alias("out"), F.sum(F.col("m") * _gap("p0_b", "p")).alias("back"))
-    ends = groups.select("lang", F.col("source").alias("source_a"), F.col("p0").alias("p0_a"))
-    ends = ends.join(groups.select("lang", F.col("source").alias("source_b"), F.col("p0").alias("p0_b")), "lang")
-    has = lambda name: counts.select("lang", "term", F.col("source").alias(f"source_{name}"), F.col("p").alias(f"p_{name}"))
-    met = has("a").join(has("b"), ["lang", "term"]).filter("source_a < source_b").groupBy(
-        "lang", "source_a", "source_b", "p_a", "p_b").agg(F.count("*").alias("m"))
-    met = met.join(ends, ["lang", "source_a", "source_b"])
-    change = lambda a, b: F.sum(F.col("m") * (_gap(f"p_{a}", f"p_{b}") - _gap(f"p_{a}", f"p0_{b}") - _gap(f"p0_{a}", f"p_{b}")))
-    met = met.groupBy("lang", "source_a", "source_b").agg(
-        F.sum("m").alias("shared"), change("a", "b").alias("change_a"), change("b", "a").alias("change_b"))
+    # added up on the map side: terms that two sources have are not shuffled again
+    has = lambda name: counts.select("lang", "term", *[F.col(c).alias(f"{c}_{name}") for c in ("source", "p", "p0")])
+    change = lambda a, b: F.sum(_gap(f"p_{a}", f"p_{b}") - _gap(f"p_{a}", f"p0_{b}") - _gap(f"p0_{a}", f"p_{b}"))
+    met = has("a").join(has("b"), ["lang", "term"]).filter("source_a < source_b").groupBy("lang", "source_a", "source_b").agg(
+        F.count("*").alias("shared"), change("a", "b").alias("change_a"), change("b", "a").alias("change_b"))
     both = met.select("lang", "source_a", "source_b", "shared", F.col("change_a").alias("change")).unionAll(
         met.select("lang", F.col("source_b").alias("source_a"), F.col("source_a").alias("source_b"), "shared", F.col("change_b").alias("change")))
     back = alone.select("lang", F.col("source_a").alias("source_b"), F.col("source_b").alias("source_a"), "back")
@@ -157,7 +156,7 @@ def audit_sources(documents, min_documents=MIN_DOCUMENTS, terms=TERMS, held=HELD
     absent = F.when(F.col("n_terms") > 0, _share("0", "total", "n_terms"))
     groups = materialize(groups.withColumn("p0", absent))
     shares = materialize(counts.join(groups, ["lang", "source"]).select(
-        "lang", "term", "source", "count", _share("count", "total", "n_terms").alias("p")))
+        "lang", "term", "source", "count", _share("count", "total", "n_terms").alias("p"), "p0"))
     languages = groups.groupBy("lang").agg(F.sum("total").alias("total"), F.first("n_terms").alias("n_terms"))
     totals = counts.groupBy("lang", "term").agg(F.sum("count").alias("count")).join(languages, "lang").select(
         "lang", "term", _share("count", "total", "n_terms").alias("q"))
