@@ -51,6 +51,15 @@ def test_json_arrays_in_many_blocks(small_blocks, tmp_path):
     assert key(got) == key(want)
 
 
+def test_json_objects_longer_than_a_block(small_blocks, tmp_path):
+    want = [{"n": i, "s": "}" * (i % 3) + 'x"{' * (40 * (i % 5) ** 2), "l": [{"u": j} for j in range(i % 7 * 10)]} for i in range(60)]
+    (tmp_path / "one.json").write_text(json.dumps(want))
+    found = R.json_array_objects(small_blocks, str(tmp_path))
+    assert sorted((json.loads(r.value) for r in found.collect()), key=lambda o: o["n"]) == want
+    # whole objects are not shuffled: only the parts that lie across blocks
+    assert found._jdf.queryExecution().executedPlan().toString().count("Exchange") <= 2
+
+
 def test_formats_need_the_head_only(spark, tmp_path):
     texts = {"a.log": "\n\n  [1]", "b.log": "CEF:0|a|b|c|d|e|f|x=1\n" + "z" * 200_000, "c.jsonl": "?", "d": "", "e.log": "<34>Jan  1 00:00:07 h sshd[7]: hi"}
     for name, text in texts.items():
