@@ -211,3 +211,9 @@ def test_audit(spark):
     few = docs.limit(2)
     assert {r.value for r in source_audit.audit_sources(few).collect()} <= {0}
     assert source_audit.audit_sources(docs.limit(0)).collect() == []
+
+
+def test_shared_terms_are_added_up_before_the_shuffle(spark):
+    rows = [("en", s, f"alpha beta beta {s}") for s in "abc" for _ in range(3)]
+    plan = source_audit.audit_sources(spark.createDataFrame(rows, "lang string, source string, text string"))._jdf.queryExecution().executedPlan().toString()
+    assert not [line for line in plan.splitlines() if "hashpartitioning" in line and "p_a#" in line]
