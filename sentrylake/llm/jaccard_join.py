@@ -13,9 +13,9 @@ formed inside a group; each member is compared with the group's hub, the member
 with most shared signatures. Members that do not link to the hub are told apart
 by their differences from it: two members can only link if their differences
 overlap, by a known amount, so an inverted index over the rarest differences
-finds those pairs and the differences alone decide them. Every pair that shares
-a signature is linked through a hub, found by that index, or provably not
-similar.
+finds those pairs and the differences alone decide them. Only members of unlike
+components of the links to hubs are met. Every pair that shares a signature is
+linked through hubs, found by that index, or provably not similar.
 
 `first_of_each` works at lower bounds too, where sets have many signatures and
 unlike ones often share some, through passages they have in common. It takes as
@@ -266,8 +266,10 @@ def _similar(different, sizes, percent):
     return (100 + percent) * different <= (100 - percent) * sizes
 
 
-def residual_links(found, percent=PERCENT):
-    """(a, b): linked pairs of one hub's group of which at least one does not link to the hub.
+def residual_pairs(found, percent=PERCENT, joined=None):
+    """Members of the hubs' groups that have something to find, and pairs (hub, x, y, _cx, _cy) of them that may link.
+
+    x does not link to the hub; _cx and _cy are the components of x and y, which differ.
 
     With D the differences from the hub, a pair of members differs in
     |Dx| + |Dy| - 2 |Dx & Dy| elements. Let s = (100 - percent) / (100 + percent).
@@ -275,31 +277,55 @@ def residual_links(found, percent=PERCENT):
     and at least |Dx| - |x| (1 - percent/100) / (percent/100). It needs more than
     |Dx| (1 - s) / 2 only if y does not link to the hub either. Under one order of the
     elements, rarest first, the prefixes that these bounds leave must meet.
+
+    Both sides know their sizes when they meet, so the pair is held to its own bound:
+    2 |Dx & Dy| >= (|Dx| - s |x|) + (|Dy| - s |y|), and from the first element that both
+    have on, either has at least |Dx & Dy| elements (`_left`, `_slack`: these times 2 (100 +
+    percent)). Linked sets are also no smaller than percent/100 of each other.
     """
+    if joined is None:
+        found = found.withColumn("c", F.col("fp"))
+    else:
+        found = found.join(joined.select(F.col("node").alias("fp"), F.col("component").alias("c")), "fp", "left").withColumn("c", F.coalesce("c", "fp"))
     loose = found.filter(~F.col("linked")).select("hub").distinct()
     rows = materialize(found.filter(F.size("apart") > 0).join(loose, "hub", "left_semi"))
-    tokens = rows.select("hub", "fp", "linked", "size", F.size("apart").alias("n"), F.explode("apart").alias("e"))
-    counts = tokens.groupBy("hub", "e").agg(F.count("*").alias("c"), F.count_if("linked").alias("_c_linked"))
-    ordered = Window.partitionBy("hub", "fp").orderBy("c", "e")
+    tokens = rows.select("hub", "fp", "linked", "size", "c", F.size("apart").alias("n"), F.explode("apart").alias("e"))
+    counts = tokens.groupBy("hub", "e").agg(F.count("*").alias("_c"), F.count_if("linked").alias("_c_linked"))
+    ordered = Window.partitionBy("hub", "fp").orderBy("_c", "e")
     ranked = tokens.join(counts, ["hub", "e"]).withColumn("rank", F.row_number().over(ordered))
     # |Dx & Dy| > |Dy| (1 - s) / 2 with (1 - s) / 2 = percent / (100 + percent)
     as_partner = F.col("n") - F.floor(F.lit(percent) * F.col("n") / F.lit(100 + percent))
     as_loose = F.least("n", F.floor(F.col("size") * (100 - percent) / F.lit(percent)) + 1)
     # an element of one member meets nothing, and past the short prefix only linked members are met
-    partner = (F.col("rank") <= as_partner) & (F.col("c") > 1)
+    partner = (F.col("rank") <= as_partner) & (F.col("_c") > 1)
     probe = ~F.col("linked") & (F.col("rank") <= as_loose) & (partner | (F.col("_c_linked") > 0))
+    left = (2 * (100 + percent) * (F.col("n") - F.col("rank") + 1)).alias("_left")
+    slack = ((100 + percent) * F.col("n") - (100 - percent) * F.col("size")).alias("_slack")
     ranked = materialize(ranked.filter(partner | probe).select(
-        "hub", "e", "fp", "linked", partner.alias("partner"), probe.alias("probes")))
-    probes = ranked.filter("probes").select("hub", "e", F.col("fp").alias("x"), F.col("partner").alias("_short"))
-    partners = ranked.filter("partner").select("hub", "e", F.col("fp").alias("y"), "linked")
+        "hub", "e", "fp", "linked", "c", "size", left, slack, partner.alias("partner"), probe.alias("probes")))
+    member = lambda name: [F.col("fp").alias(name), F.col("c").alias(f"_c{name}"), F.col("size").alias(f"_n{name}"),
+                           F.col("_left").alias(f"_left{name}"), F.col("_slack").alias(f"_slack{name}")]
+    probes = ranked.filter("probes").select("hub", "e", *member("x"), F.col("partner").alias("_short"))
+    partners = ranked.filter("partner").select("hub", "e", *member("y"), "linked")
     # a partner that links to the hub is met by the whole prefix, a loose one by the short one
     met = F.col("linked") | (F.col("_short") & (F.col("x") < F.col("y")))
-    pairs = probes.join(partners, ["hub", "e"]).filter(met)
-    pairs = pairs.select("hub", "x", "y").distinct()
+    enough = F.least("_leftx", "_lefty") >= F.col("_slackx") + F.col("_slacky")
+    alike = 100 * F.least("_nx", "_ny") >= percent * F.greatest("_nx", "_ny")
+    pairs = probes.join(partners, ["hub", "e"]).filter(met & enough & alike & (F.col("_cx") != F.col("_cy")))
+    return rows, pairs.select("hub", "x", "y", "_cx", "_cy").distinct()
+
+
+def residual_links(found, percent=PERCENT, joined=None):
+    """(a, b): linked pairs of one hub's group of which at least one does not link to the hub.
+
+    With `joined` (node, component), only those of two components, as
+    (component of a, component of b): the others join nothing new.
+    """
+    rows, pairs = residual_pairs(found, percent, joined)
     side = lambda name: rows.select("hub", F.col("fp").alias(name), F.col("size").alias(f"_n{name}"), F.col("apart").alias(f"_d{name}"))
     both = pairs.join(side("x"), ["hub", "x"]).join(side("y"), ["hub", "y"])
     different = F.size("_dx") + F.size("_dy") - 2 * F.size(F.array_intersect("_dx", "_dy"))
-    return both.filter(_similar(different, F.col("_nx") + F.col("_ny"), percent)).select(F.col("x").alias("a"), F.col("y").alias("b"))
+    return both.filter(_similar(different, F.col("_nx") + F.col("_ny"), percent)).select(F.col("_cx").alias("a"), F.col("_cy").alias("b"))
 
 
 def _components(documents, words, percent, make=PartEnum, signatures=shared_signatures):
@@ -313,10 +339,11 @@ def _components(documents, words, percent, make=PartEnum, signatures=shared_sign
     arrays = sets_of(documents, rows, pairs, words)
     found = compared(pairs, arrays, percent)
     discard(arrays)
-    links = found.filter("linked").select(F.col("fp").alias("a"), F.col("hub").alias("b")).unionAll(residual_links(found, percent))
-    joined = connected_components(links)
-    found = rows.join(joined.withColumnRenamed("node", "fp"), "fp", "left")
-    return materialize(found.select("doc_id", "n_shingles", "key", F.coalesce("component", "fp").alias("_c")))
+    joined = connected_components(found.filter("linked").select(F.col("fp").alias("a"), F.col("hub").alias("b")))
+    wider = connected_components(residual_links(found, percent, joined))
+    found = rows.join(joined.withColumnRenamed("node", "fp"), "fp", "left").withColumn("_c", F.coalesce("component", "fp"))
+    found = found.join(wider.select(F.col("node").alias("_c"), F.col("component").alias("_wider")), "_c", "left")
+    return materialize(found.select("doc_id", "n_shingles", "key", F.coalesce("_wider", "_c").alias("_c")))
 
 
 def jaccard_components(documents, words=WORDS, percent=PERCENT):

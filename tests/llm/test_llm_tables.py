@@ -298,6 +298,33 @@ def test_links_past_a_hub_equal_brute_force(spark, percent):
     assert percent < 90 or frozenset((0, 1)) in want
 
 
+def near_group():
+    """(fp, hub, size, linked, apart) of 150 members that do not link to their hub, each with four runs of the hub's elements replaced."""
+    import random
+
+    draw = random.Random(3)
+    rows = []
+    for k in range(150):
+        gone = {e for at in draw.sample(range(1, 140), 4) for e in range(at, at + 5)}
+        rows.append((k, 1000, 146, False, sorted(gone | set(range(10_000 + 100 * k, 10_000 + 100 * k + len(gone))))))
+    return rows
+
+
+def test_members_of_one_component_do_not_meet(spark):
+    rows = near_group()
+    found = spark.createDataFrame(rows, "fp long, hub long, size int, linked boolean, apart array<long>")
+    sets = {r[0]: set(r[4]) for r in rows}
+    similar = lambda a, b: 180 * len(sets[a] ^ sets[b]) <= 20 * 2 * 146
+    links = {frozenset((a, b)) for a in sets for b in range(a) if similar(a, b)}
+    assert {frozenset(r) for r in jaccard_join.residual_links(found, 80).collect()} == links
+    joined = spark.createDataFrame([(k, 0) for k in range(1, 140)], "node long, component long")
+    part = lambda k: 0 if k < 140 else k
+    pairs = [(r.x, r.y) for r in jaccard_join.residual_pairs(found, 80, joined)[1].collect()]
+    assert all(part(x) != part(y) for x, y in pairs) and len(pairs) < 1500
+    got = {frozenset(r) for r in jaccard_join.residual_links(found, 80, joined).collect()}
+    assert got == {frozenset(map(part, pair)) for pair in links if len({*map(part, pair)}) == 2}
+
+
 def test_one_document_of_each_component_stays(spark):
     rows = planted()
     df = spark.createDataFrame([(i, t, k) for k, (i, t) in enumerate(rows)], "doc_id long, text string, _row int")
