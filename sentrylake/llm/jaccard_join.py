@@ -253,10 +253,12 @@ def sets_of(documents, rows, pairs, words=WORDS):
 
 def compared(pairs, sets, percent=PERCENT):
     """(fp, hub, size, linked, apart): `apart` are the elements in one of both sets only."""
-    both = pairs.join(sets, "fp").join(sets.select(F.col("fp").alias("hub"), F.col("shingles").alias("_hub")), "hub")
+    # renamed alike on both sides, the sets are shuffled once
+    both = pairs.join(sets.select(F.col("fp").alias("_f"), F.col("shingles").alias("_set")), F.col("fp") == F.col("_f"))
+    both = both.join(sets.select(F.col("fp").alias("_h"), F.col("shingles").alias("_hub")), F.col("hub") == F.col("_h"))
     apart = both.select(
-        "fp", "hub", F.size("shingles").alias("size"), F.size("_hub").alias("_other"),
-        F.concat(F.array_except("shingles", "_hub"), F.array_except("_hub", "shingles")).alias("apart"))
+        "fp", "hub", F.size("_set").alias("size"), F.size("_hub").alias("_other"),
+        F.concat(F.array_except("_set", "_hub"), F.array_except("_hub", "_set")).alias("apart"))
     linked = _similar(F.size("apart"), F.col("size") + F.col("_other"), percent)
     return materialize(apart.withColumn("linked", linked).drop("_other"))
 
@@ -287,17 +289,21 @@ def residual_pairs(found, percent=PERCENT, joined=None):
         found = found.withColumn("c", F.col("fp"))
     else:
         found = found.join(joined.select(F.col("node").alias("fp"), F.col("component").alias("c")), "fp", "left").withColumn("c", F.coalesce("c", "fp"))
-    loose = found.filter(~F.col("linked")).select("hub").distinct()
-    rows = materialize(found.filter(F.size("apart") > 0).join(loose, "hub", "left_semi"))
-    tokens = rows.select("hub", "fp", "linked", "size", "c", F.size("apart").alias("n"), F.explode("apart").alias("e"))
-    counts = tokens.groupBy("hub", "e").agg(F.count("*").alias("_c"), F.count_if("linked").alias("_c_linked"))
-    ordered = Window.partitionBy("hub", "fp").orderBy("_c", "e")
-    ranked = tokens.join(counts, ["hub", "e"]).withColumn("rank", F.row_number().over(ordered))
+    # a group whose members are all linked to the hub, or all in one component, has nothing to find
+    open_groups = found.groupBy("hub").agg(F.count_if(~F.col("linked")).alias("_loose"), F.min("c").alias("_low"), F.max("c").alias("_high"))
+    open_groups = open_groups.filter("_loose > 0 AND _low < _high").select("hub")
+    rows = materialize(found.filter(F.size("apart") > 0).join(open_groups, "hub", "left_semi").withColumn("n", F.size("apart")))
+    tokens = rows.select("hub", "fp", "linked", F.explode("apart").alias("e"))
+    counts = tokens.groupBy("hub", "e").agg(F.count("*").alias("_c"), F.count_if("linked").alias("_c_linked")).filter("_c > 1")
+    own = Window.partitionBy("hub", "fp")
+    # elements of one member come first in the order, and meet nothing: only their number moves on
+    several = tokens.drop("linked").join(counts, ["hub", "e"]).withColumn("_several", F.count("*").over(own)).withColumn("_at", F.row_number().over(own.orderBy("_c", "e")))
+    ranked = several.join(rows.drop("apart"), ["hub", "fp"]).withColumn("rank", F.col("n") - F.col("_several") + F.col("_at"))
     # |Dx & Dy| > |Dy| (1 - s) / 2 with (1 - s) / 2 = percent / (100 + percent)
     as_partner = F.col("n") - F.floor(F.lit(percent) * F.col("n") / F.lit(100 + percent))
     as_loose = F.least("n", F.floor(F.col("size") * (100 - percent) / F.lit(percent)) + 1)
-    # an element of one member meets nothing, and past the short prefix only linked members are met
-    partner = (F.col("rank") <= as_partner) & (F.col("_c") > 1)
+    # past the short prefix only linked members are met
+    partner = F.col("rank") <= as_partner
     probe = ~F.col("linked") & (F.col("rank") <= as_loose) & (partner | (F.col("_c_linked") > 0))
     left = (2 * (100 + percent) * (F.col("n") - F.col("rank") + 1)).alias("_left")
     slack = ((100 + percent) * F.col("n") - (100 - percent) * F.col("size")).alias("_slack")

@@ -325,6 +325,19 @@ def test_members_of_one_component_do_not_meet(spark):
     assert got == {frozenset(map(part, pair)) for pair in links if len({*map(part, pair)}) == 2}
 
 
+def test_groups_with_nothing_to_find_and_elements_of_one_member_are_not_moved(spark, monkeypatch):
+    rows = near_group()
+    rows += [(2000 + k, 3000 + k, 146, False, list(range(1, 60))) for k in range(20)]  # groups of one
+    rows += [(4000 + k, 5000, 146, k > 2, list(range(1, 60))) for k in range(5)]  # a group of one component
+    found = spark.createDataFrame(rows, "fp long, hub long, size int, linked boolean, apart array<long>")
+    joined = spark.createDataFrame([(4000 + k, 1) for k in range(5)], "node long, component long")
+    written = []
+    monkeypatch.setattr(jaccard_join, "materialize", lambda df: written.append(materialize(df)) or written[-1])
+    jaccard_join.residual_links(found, 80, joined)
+    assert {r.hub for r in written[0].select("hub").distinct().collect()} == {1000}
+    assert written[1].filter("e >= 10000").count() == 0
+
+
 def test_one_document_of_each_component_stays(spark):
     rows = planted()
     df = spark.createDataFrame([(i, t, k) for k, (i, t) in enumerate(rows)], "doc_id long, text string, _row int")
