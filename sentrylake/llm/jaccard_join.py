@@ -293,12 +293,12 @@ def residual_pairs(found, percent=PERCENT, joined=None):
     open_groups = found.groupBy("hub").agg(F.count_if(~F.col("linked")).alias("_loose"), F.min("c").alias("_low"), F.max("c").alias("_high"))
     open_groups = open_groups.filter("_loose > 0 AND _low < _high").select("hub")
     rows = materialize(found.filter(F.size("apart") > 0).join(open_groups, "hub", "left_semi").withColumn("n", F.size("apart")))
-    tokens = rows.select("hub", "fp", "linked", F.explode("apart").alias("e"))
+    tokens = rows.select("hub", "fp", "linked", "size", "c", "n", F.explode("apart").alias("e"))
     counts = tokens.groupBy("hub", "e").agg(F.count("*").alias("_c"), F.count_if("linked").alias("_c_linked")).filter("_c > 1")
     own = Window.partitionBy("hub", "fp")
     # elements of one member come first in the order, and meet nothing: only their number moves on
-    several = tokens.drop("linked").join(counts, ["hub", "e"]).withColumn("_several", F.count("*").over(own)).withColumn("_at", F.row_number().over(own.orderBy("_c", "e")))
-    ranked = several.join(rows.drop("apart"), ["hub", "fp"]).withColumn("rank", F.col("n") - F.col("_several") + F.col("_at"))
+    several = tokens.join(counts, ["hub", "e"]).withColumn("_several", F.count("*").over(own)).withColumn("_at", F.row_number().over(own.orderBy("_c", "e")))
+    ranked = several.withColumn("rank", F.col("n") - F.col("_several") + F.col("_at"))
     # |Dx & Dy| > |Dy| (1 - s) / 2 with (1 - s) / 2 = percent / (100 + percent)
     as_partner = F.col("n") - F.floor(F.lit(percent) * F.col("n") / F.lit(100 + percent))
     as_loose = F.least("n", F.floor(F.col("size") * (100 - percent) / F.lit(percent)) + 1)
